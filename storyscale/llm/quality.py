@@ -37,6 +37,8 @@ RULES = (
     Rule("length", "n_words", "v < 10", "v >= 40"),
     Rule("repeats", "n_repeat_words / greatest(n_words, 1)", "v > 0.2", "v <= 0.02"),
     Rule("symbols", "n_symbols / greatest(n_words, 1)", "v > 0.1", "v <= 0.01"),
+    Rule("symbol_share", "n_symbols / greatest(word_chars, 1)", "v > 0.03", "v <= 0.005"),
+    Rule("marks", "(word_chars - n_alnum) / greatest(word_chars, 1)", "v > 0.1", "v <= 0.06"),
     Rule("word_length", "word_chars / greatest(n_words, 1)", "v < 2.5 or v > 12", "v between 3.5 and 9"),
     Rule("dup_lines", "n_dup_lines / greatest(n_lines, 1)", "v > 0.3", "v = 0 and n_lines > 1"),
     Rule("digits", "n_digits / greatest(word_chars, 1)", "v > 0.15", "v <= 0.03"),
@@ -46,13 +48,15 @@ RULES = (
 
 
 class Model(NamedTuple):
+    """prior: share of good documents; good, bad: for each rule the chances of the votes -1, 0 and 1 on good and on bad documents."""
+
     prior: float
-    accuracies: tuple[float, ...]
+    good: tuple[tuple[float, float, float], ...]
+    bad: tuple[tuple[float, float, float], ...]
 
 
-#: Where EM starts, and what an empty table gives. An accuracy stays within LIMITS, so that a rule never votes against its meaning.
-START = Model(0.8, (0.8,) * len(RULES))
-LIMITS = (0.55, 0.99)
+#: Where EM starts, and what an empty table gives: votes are right more often than wrong.
+START = Model(0.8, ((0.05, 0.25, 0.7),) * len(RULES), ((0.5, 0.25, 0.25),) * len(RULES))
 
 
 def _shared(value: Column, body) -> Column:
@@ -113,6 +117,7 @@ def with_features(df: DataFrame, text_col: str = "text") -> DataFrame:
         "n_symbols": without(SYMBOLS).cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "n_repeat_words": _repeated_words(F.col("__windows")),
+        "n_alnum": F.length(F.regexp_replace(F.array_join("__words", ""), r"[^\p{L}\p{N}]+", "")).cast("long"),
         "n_digits": without("0123456789").cast("long"),
         "n_lines": F.size("__lines").cast("long"),
         "n_ended_lines": F.size(F.filter("__lines", lambda x: F.right(F.btrim(x, F.lit(_BLANKS)), F.lit(1)).isin(".", "!", "?", '"', ":", "»"))).cast("long"),
@@ -132,34 +137,52 @@ def votes() -> Column:
     return F.array(*map(_vote, RULES))
 
 
+def _gains(model: Model) -> list[tuple[float, float, float]]:
+    """Log odds of good that each vote of each rule adds. A vote never counts against its meaning."""
+    out = []
+    for g, b in zip(model.good, model.bad, strict=True):
+        no, none, yes = (math.log(x / y) for x, y in zip(g, b, strict=True))
+        out.append((min(no, 0.0), 0.0, max(yes, 0.0)))
+    return out
+
+
 def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
 def posterior(model: Model) -> Column:
     """Probability of good from the array of votes."""
-    logit = sum((F.get("votes", i) * _logit(a) for i, a in enumerate(model.accuracies)), F.lit(_logit(model.prior)))
+    logit = F.lit(_logit(model.prior))
+    for i, (no, _, yes) in enumerate(_gains(model)):
+        v = F.get("votes", i)
+        logit += F.when(v < 0, no).when(v > 0, yes).otherwise(0.0)
     return 1 / (1 + F.exp(-logit))
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> Model:
-    """EM over counted vote patterns: the accuracy of each rule where it votes, and the share of good."""
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, prior_weight: float = 0.01) -> Model:
+    """EM over counted vote patterns: each rule's accuracy on good and on bad documents, and the share of good.
+
+    The starting chances count as ``prior_weight`` of all documents, which keeps the classes from
+    trading places and a rule that hardly votes near its start.
+    """
     model = START
     patterns = sorted(patterns)
     total = sum(n for _, n in patterns)
     if not total:
         return model
+    m = prior_weight * total
     for _ in range(rounds):
-        good, right, cast = 0.0, [0.0] * len(RULES), [0.0] * len(RULES)
+        gains = _gains(model)
+        seen = {1: [[m * x for x in r] for r in START.good], 0: [[m * x for x in r] for r in START.bad]}
+        good = m * START.prior
         for v, n in patterns:
-            p = 1 / (1 + math.exp(-_logit(model.prior) - sum(x * _logit(a) for x, a in zip(v, model.accuracies, strict=True))))
+            p = 1 / (1 + math.exp(-_logit(model.prior) - sum(gains[j][x + 1] for j, x in enumerate(v))))
             good += n * p
             for j, x in enumerate(v):
-                if x:
-                    cast[j] += n
-                    right[j] += n * (p if x > 0 else 1 - p)
-        clip = lambda x: min(max(x, LIMITS[0]), LIMITS[1])
-        model = Model(min(max(good / total, 0.05), 0.95), tuple(clip((r + 1) / (c + 2)) if c else s for r, c, s in zip(right, cast, START.accuracies, strict=True)))
+                seen[1][j][x + 1] += n * p
+                seen[0][j][x + 1] += n * (1 - p)
+        rates = {k: tuple(tuple(x / sum(r) for x in r) for r in rows) for k, rows in seen.items()}
+        model = Model(min(max(good / (total + m), 0.05), 0.95), rates[1], rates[0])
     return model
 
 
@@ -172,7 +195,7 @@ def rate(df: DataFrame, text_col: str = "text", carry: list[str] | None = None,
     carried = df.columns if carry is None else carry
     rated = with_features(df, text_col).withColumn("votes", votes()).withColumn("base_failed", base_failed())
     made = [c for c in rated.columns if c not in df.columns or c in ("votes", "base_failed")]
-    own = [c for c in rated.columns if c in {*made, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_digits", "n_lines", "n_ended_lines", "n_distinct_words"}]
+    own = [c for c in rated.columns if c in {*made, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_alnum", "n_digits", "n_lines", "n_ended_lines", "n_distinct_words"}]
     rated = checkpointed(rated.select(*[c for c in carried if c not in own], *own), work_dir(df.sparkSession, "quality"))
     counted = rated.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** len(RULES) rows
     model = fit([(tuple(r["votes"]), r["n"]) for r in counted])
