@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyscale.llm import licenses, quality, sharding, simhash
+from storyscale.llm import elias_fano, licenses, packing, quality, sharding, simhash
 from storyscale.llm.common import table
 
 
@@ -21,6 +21,16 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = elias_fano.round_trip(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.rate(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -32,7 +42,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_licenses, op4_sharding, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op3_licenses, op4_sharding, op7_packing, op8_elias_fano, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
