@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyscale.llm import elias_fano, licenses, packing, quality, sharding, simhash
+from storyscale.llm import elias_fano, licenses, lm, packing, quality, sharding, simhash
 from storyscale.llm.common import table
 
 
@@ -21,6 +21,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm.score(docs, lm.train(docs.where(~lm.held_out())))
+    return out.select("doc_id", lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -42,7 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_licenses, op4_sharding, op7_packing, op8_elias_fano, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op3_licenses, op4_sharding, op6_lm, op7_packing, op8_elias_fano, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
