@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyscale.llm import elias_fano, licenses, lm, packing, quality, sharding, simhash
+from storyscale.llm import decontamination, elias_fano, licenses, lm, packing, quality, sharding, simhash, toxicity
 from storyscale.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontamination.matches(docs, table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return out.select("doc_id", F.inline("matches"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -21,6 +27,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model, carry=["doc_id"])
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "n_sentences", "offending")
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = lm.score(docs, lm.train(docs.where(~lm.held_out())))
@@ -48,7 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_licenses, op4_sharding, op6_lm, op7_packing, op8_elias_fano, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op3_licenses, op4_sharding, op5_toxicity, op6_lm, op7_packing, op8_elias_fano, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
