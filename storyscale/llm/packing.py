@@ -39,7 +39,7 @@ GAP = 16
 BLOCK = 1 << 18
 
 
-def windows(at: list[int], penalty: list[float], length: int) -> list[int]:
+def windows(at: list[int], penalty: list[int], length: int) -> list[int]:
     """Cuts of least cost: at[0] is the start and at[-1] the end, no step is above ``length``.
 
     Returns the indexes of the chosen cuts, without the start.
@@ -68,30 +68,23 @@ def windows(at: list[int], penalty: list[float], length: int) -> list[int]:
     return out[::-1]
 
 
-def cut_points(line: np.ndarray, ends: np.ndarray, stops: np.ndarray, length: int) -> tuple[list[int], list[float]]:
+def cut_points(line: np.ndarray, ends: np.ndarray, stops: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     """Possible cuts of a line of tokens and their penalties.
 
-    ends: places behind the documents; stops: token ids that close a sentence.
+    ends: places behind the documents; stops: for each token id whether it closes a sentence.
     """
     n = len(line)
-    sentence = np.flatnonzero(np.isin(line, stops)) + 1
-    at = np.union1d(sentence, ends)
-    at = np.union1d(at[(at > 0) & (at < n)], [0, n])
-    gaps = np.diff(at)
+    costs = np.full(n + 1, -1, np.int16)  # -1: no cut
+    costs[1:][stops[line]] = SENTENCE
+    costs[ends] = 0
+    costs[[0, n]] = 0
+    at = np.flatnonzero(costs >= 0)
     gap = min(GAP, length)
-    wide = np.flatnonzero(gaps > gap)
-    if len(wide):
-        steps = (gaps[wide] - 1) // gap
-        first = np.repeat(at[wide], steps)
-        k = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps) + 1
-        inside = first + k * gap
-        at = np.union1d(at, inside)
-    else:
-        inside = np.zeros(0, np.int64)
-    penalty = np.full(len(at), float(SENTENCE))
-    penalty[np.searchsorted(at, inside)] = INSIDE
-    penalty[np.isin(at, ends)] = 0
-    return at.tolist(), penalty.tolist()
+    steps = (np.diff(at) - 1) // gap
+    first = np.repeat(at[:-1], steps)
+    costs[first + gap * (np.arange(len(first)) - np.repeat(np.cumsum(steps) - steps, steps) + 1)] = INSIDE
+    at = np.flatnonzero(costs >= 0)
+    return at.tolist(), costs[at].tolist()
 
 
 def powers(n: int, length: int) -> list[int]:
@@ -158,7 +151,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary(tokenizer), "byte", "<u4")
-        stops = np.array(sorted({i[0] for s in (".", "!", "?", "\n") if len(i := enc.ids(s)) == 1}), np.uint32)
+        stops = np.zeros(enc.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        stops[[i for s in (".", "!", "?", "\n") for i in enc.ids(s)[-1:]]] = True
         end = np.array([END], "<u4").tobytes()
         line = _Line(length, stops, TaskContext.get().partitionId() << 40)
         id_type = None

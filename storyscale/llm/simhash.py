@@ -272,8 +272,8 @@ def components(edges: DataFrame) -> DataFrame:
         stars = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         nxt = checkpointed(stars, f"{root}/{k}")
         # done when every node points to one node that points nowhere
-        nodes = nxt.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        if nodes.where("n > 1").isEmpty() and nxt.join(nodes, nxt["v"] == nodes["u"], "left_semi").isEmpty():
+        nodes = nxt.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        if nodes.where("n > 1").isEmpty() and nxt.join(nodes, F.col("v") == F.col("node"), "left_semi").isEmpty():
             return nxt
         edges = nxt
 

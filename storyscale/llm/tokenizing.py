@@ -1,10 +1,13 @@
 """Token ids of many texts with a public tokenizer file of the tokenizers library.
 
-A text is cut at white space, where the tokenizer's own pre-tokenizer always cuts too, so a chunk
-has the same ids alone as in its text. The ids of a chunk are kept as bytes, and those of a text
-are the joined bytes of its chunks. A new chunk of plain Latin text is cut by the tokenizer's
-pattern here and its pieces go to the library's BPE model; any other chunk goes to the library as
-it is, and a text with unusual white space or a special token's name goes there whole. A worker remembers CHUNKS chunks.
+A pre-token (what the tokenizer's pattern cuts a text to) has the same ids in each text, so a worker
+asks the library's BPE model once for each distinct one and keeps its ids as bytes; the ids of a
+text are the joined bytes of its pre-tokens. Texts of Latin letters, digits and signs are cut by
+the pattern here, spelled out for these characters. Texts with any other character, unusual white
+space or a special token's name are cut only at plain white space, where the tokenizer always cuts
+too, and these chunks (or, where white space itself counts and is unusual, the text) go to the
+library as they are. A worker remembers up to twice PIECES pieces: the newer half, and of the older ones those not
+met since.
 """
 
 from __future__ import annotations
@@ -16,18 +19,24 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
-import regex
 
-#: Chunks that a worker remembers, and the longest of them.
-CHUNKS = 600_000
+#: Pre-tokens and chunks that a worker remembers, and the longest of them.
+PIECES = 500_000
 LONGEST = 100
 
-#: White space beside blank, tab and line ends, and controls that some libraries take for it.
-_UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_BYTE_CHUNK = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
-_WORD_CHUNK = re.compile(r"[^ \t\n\r]+")
-#: Up to here libraries agree on letters, digits and case, and texts are in normal form C.
-_PLAIN = "ɐ"
+#: Letters and numbers below U+0250; the rest of that range is signs, controls and white space.
+_L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_N = "0-9²³¹¼-¾"
+#: White space beside blank, tab and line ends, controls that some take for it, and a letter whose lower case is two characters.
+_SPACES = "\x0b\x0c\x1c-\x1f\x85\xa0  -​    　"
+_UNUSUAL = re.compile(f"[{_SPACES}]")
+_NOT_PLAIN = re.compile(f"[{_SPACES}İɐ-\U0010ffff]")
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_PIECE = {
+    "byte": f"{_CONTRACTIONS}| ?[{_L}]+| ?[{_N}]+| ?[^ \t\n\r{_L}{_N}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+",
+    "word": f"{_CONTRACTIONS}|[{_L}]+|[{_N}]|[^ \t\n\r{_L}{_N}]+",
+}
+_CHUNK = {"byte": r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+", "word": r"[^ \t\n\r]+"}
 
 
 def vocabulary(name: str) -> str:
@@ -44,54 +53,69 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-class Encoder(dict):
-    """Ids of chunks as bytes. kind: "byte" for byte-level BPE, "word" for BPE with word ends that drops white space and case."""
+class _Memory(dict):
+    """Ids of pieces as bytes, made by ``make`` where they are not known."""
 
-    def __init__(self, path: str, kind: str, dtype: str):
+    def __init__(self, make):
         super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.older.pop(piece, None)
+        if out is None:
+            out = self.make(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = out
+        return out
+
+    def bound(self):
+        """Lookup of a piece; a full memory becomes the older one."""
+        if len(self) > PIECES:
+            self.older = dict(self)
+            self.clear()
+        return self.__getitem__
+
+
+class Encoder:
+    """kind: "byte" for byte-level BPE, "word" for BPE with word ends that drops white space and case."""
+
+    def __init__(self, path: str, kind: str, dtype: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.kind, self.code = kind, {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
-        self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
-        contractions = "'s|'t|'re|'ve|'m|'ll|'d"
-        self.pattern = regex.compile(contractions + (r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+" if kind == "byte" else r"|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"))
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cut, self.cut_ascii = re.compile(_PIECE[kind]).findall, re.compile(_PIECE[kind].replace(_L, "A-Za-z").replace(_N, "0-9")).findall
+        self.chunk = re.compile(_CHUNK[kind]).findall
+        letters, tokenize, code = _byte_letters(), self.tokenizer.model.tokenize, self.code
+        blank = chr(letters[32])
 
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        def of_piece(p: str) -> bytes:
+            if not p.isascii() or not p.isprintable() or p[-1] == " ":
+                p = p.encode().decode("latin-1").translate(letters)
+            elif p[0] == " ":
+                p = blank + p[1:]
+            return array(code, [t.id for t in tokenize(p)]).tobytes()
 
-    def _piece(self, p: str) -> bytes:
-        if len(self.pieces) > CHUNKS:
-            self.pieces.clear()
-        out = self.pieces[p] = array(self.code, [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]).tobytes()
-        return out
+        self.pieces, self.chunks = _Memory(of_piece), _Memory(lambda c: array(code, self.ids(c)).tobytes())
 
-    def __missing__(self, chunk: str) -> bytes:
-        if max(chunk) < _PLAIN and not chunk.isspace() and not _UNUSUAL.search(chunk) and not ("<|" in chunk and any(s in chunk for s in self.specials)):
-            known = self.pieces
-            out = b"".join([known.get(p) or self._piece(p) for p in self.pattern.findall(chunk if self.kind == "byte" else chunk.lower())])
-        else:
-            out = array(self.code, self.ids(chunk)).tobytes()
-        if len(chunk) <= LONGEST:
-            self[chunk] = out
-        return out
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian integers."""
-        if len(self) > CHUNKS:
-            self.clear()
-        get, out = self.__getitem__, []
+        piece, chunk, out = self.pieces.bound(), self.chunks.bound(), []
         for t in texts:
-            if not _UNUSUAL.search(t) and not (self.kind == "byte" and "<|" in t and any(s in t for s in self.specials)):
-                out.append(b"".join(map(get, _BYTE_CHUNK.findall(t) if self.kind == "byte" else t.split())))
-            elif self.kind == "byte":
+            special = "<|" in t and any(s in t for s in self.specials)
+            if not special and not _NOT_PLAIN.search(t):
+                if self.kind == "word":
+                    t = t.lower()
+                out.append(b"".join(map(piece, self.cut_ascii(t) if t.isascii() else self.cut(t))))
+            elif self.kind == "byte" and (special or _UNUSUAL.search(t)):
                 out.append(array(self.code, self.ids(t)).tobytes())
             else:
-                out.append(b"".join(map(get, _WORD_CHUNK.findall(t))))
+                out.append(b"".join(map(chunk, self.chunk(t))))
         return out
 
 
