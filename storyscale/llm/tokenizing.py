@@ -88,7 +88,10 @@ class Encoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut, self.cut_ascii = re.compile(_PIECE[kind]).findall, re.compile(_PIECE[kind].replace(_L, "A-Za-z").replace(_N, "0-9")).findall
         self.chunk = re.compile(_CHUNK[kind]).findall
-        letters, tokenize, code = _byte_letters(), self.tokenizer.model.tokenize, self.code
+        letters, model, code = _byte_letters(), self.tokenizer.model, self.code
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # each piece is asked for once, so its own memory is in vain
+        tokenize = model.tokenize
         blank = chr(letters[32])
 
         def of_piece(p: str) -> bytes:
