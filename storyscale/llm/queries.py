@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyscale.llm import decontamination, elias_fano, licenses, lm, packing, quality, sharding, simhash, toxicity
+from storyscale.llm import decontamination, elias_fano, licenses, lm, packing, quality, sharding, simhash, token_counts, toxicity
 from storyscale.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.inline("matches"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count(docs.withColumn("edits", token_counts.scripted_edits()))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -61,7 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_licenses, op4_sharding, op5_toxicity, op6_lm, op7_packing, op8_elias_fano, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_licenses, op4_sharding, op5_toxicity, op6_lm, op7_packing, op8_elias_fano, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -101,21 +101,44 @@ class Encoder:
                 p = blank + p[1:]
             return array(code, [t.id for t in tokenize(p)]).tobytes()
 
-        self.pieces, self.chunks = _Memory(of_piece), _Memory(lambda c: array(code, self.ids(c)).tobytes())
+        self.pieces, self.chunks = _Memory(of_piece), _Memory(self._chunk)
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def whole(self, text: str) -> bool:
+        """Whether white space or special names in a text make its cuts unlike those at plain white space."""
+        return self.special(text) or bool(_UNUSUAL.search(text))
+
+    def special(self, text: str) -> bool:
+        """Whether a text holds the name of a special token."""
+        return "<|" in text and any(s in text for s in self.specials)
+
+    def refresh(self) -> None:
+        """Keep the memories within their bounds."""
+        self.pieces.bound()
+        self.chunks.bound()
+
+    def counts(self, chunks: list[str]) -> list[int]:
+        """Ids of each chunk. A plain chunk's ids are those of its pre-tokens."""
+        get, size = self.chunks.__getitem__, array(self.code).itemsize
+        return [len(x) // size for x in map(get, chunks)]
+
+    def _chunk(self, chunk: str) -> bytes:
+        if self.whole(chunk) or _NOT_PLAIN.search(chunk):
+            return array(self.code, self.ids(chunk)).tobytes()
+        return b"".join(map(self.pieces.__getitem__, self.cut(chunk.lower() if self.kind == "word" else chunk)))
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian integers."""
         piece, chunk, out = self.pieces.bound(), self.chunks.bound(), []
         for t in texts:
-            special = "<|" in t and any(s in t for s in self.specials)
+            special = self.special(t)
             if not special and not _NOT_PLAIN.search(t):
                 if self.kind == "word":
                     t = t.lower()
                 out.append(b"".join(map(piece, self.cut_ascii(t) if t.isascii() else self.cut(t))))
-            elif self.kind == "byte" and (special or _UNUSUAL.search(t)):
+            elif self.kind == "byte" and self.whole(t):
                 out.append(array(self.code, self.ids(t)).tobytes())
             else:
                 out.append(b"".join(map(chunk, self.chunk(t))))
