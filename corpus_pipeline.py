@@ -1,7 +1,65 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: from documents to packed token sequences.
+
+Toxic documents, then documents of low quality go; one document of each near-duplicate group stays;
+documents that hold a benchmark item go; the rest is packed. Each stage works on all that the one
+before kept; all but the last return the columns of documents. Stages are written as Parquet to the
+shared folder between each other.
+
+Columns beyond those of documents pass through; what the operators define for nulls, empty and
+repeated rows holds for the stages (see their modules). An empty table gives no pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storyscale.llm import decontamination, packing, quality, simhash, toxicity
+from storyscale.llm.common import checkpointed, table, work_dir
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weighted quality rules keep."""
+    return quality.rate(docs).where("kept").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return simhash.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontamination.matches(docs, table(spark, sf_dir, "benchmark")).where(F.size("matches") == 0).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences with their token ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", keep_quality),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+
+#: SQL cannot express fitted models, XXH64 fingerprints or tokenizers: tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    root = work_dir(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir), f"{root}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

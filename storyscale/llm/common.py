@@ -91,7 +91,7 @@ def map_array(uri: str, dtype: str) -> np.ndarray:
         return np.memmap(f.name, dtype=dtype, mode="r") if os.path.getsize(f.name) else np.empty(0, dtype)
 
 
-def rows_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
+def rows_of(batch: pa.RecordBatch, column: str | int = "text") -> pa.Array:
     """A text column of a batch with nulls as empty texts."""
     a = batch.column(column)
     return a.fill_null("") if a.null_count else a

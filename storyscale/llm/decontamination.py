@@ -181,23 +181,24 @@ def matches(df: DataFrame, benchmark: DataFrame, text_col: str = "text", carry:
     kind = T.StructType.fromDDL(f"matches {MATCHES.format(item_type.simpleString())}")["matches"].dataType
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text_col) + F.lit(16)), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // block))
-    out, made = df.select(*carried, F.coalesce(F.col(text_col), F.lit("")).alias("__text")), []
+    read = carried if text_col in carried else [*carried, text_col]
+    out, made = df.select(*read), []
     for i in range(n_blocks):
         part = benchmark.where(F.pmod(F.xxhash64(item_col, item_text_col), F.lit(n_blocks)) == i)
         items = [tuple(r) for r in part.select(item_col, item_text_col).collect()]  # at most about BLOCK bytes
         items.sort(key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1] or ""))
         index = build(items)
         made.append(f"__matches{i}")
-        out = out.mapInArrow(_pass(index, out.columns, made[-1], to_arrow_type(item_type)), T.StructType([*out.schema.fields, T.StructField(made[-1], kind)]))
+        out = out.mapInArrow(_pass(index, out.columns, read.index(text_col), made[-1], to_arrow_type(item_type)), T.StructType([*out.schema.fields, T.StructField(made[-1], kind)]))
     return out.select(*carried, (F.concat(*made) if made[1:] else F.col(made[0])).alias("matches"))
 
 
-def _pass(index: Index, columns: list[str], name: str, item: pa.DataType):
+def _pass(index: Index, columns: list[str], text_at: int, name: str, item: pa.DataType):
     fields = ("item_id", "similarity", "distance", "start_word", "n_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, offsets = text_bytes(_lower(rows_of(b, "__text")))
+            buf, offsets = text_bytes(_lower(rows_of(b, text_at)))
             got: list[list] = [[] for _ in range(b.num_rows)]
             for i, j in slices(offsets, _SLICE):
                 for t, found in _find(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], index).items():

@@ -34,8 +34,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from storyscale.llm.common import checkpointed, work_dir
+from storyscale.llm.common import checkpointed, rows_of, work_dir
 
 BITS = 64
 RADIUS = 2
@@ -73,16 +74,19 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint of each row as a signed long."""
-    ids = df.schema[id_col].dataType.simpleString()
+def fingerprints(df: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Columns ``carry`` of ``df`` (default: all) with fp, the fingerprint as a signed long."""
+    carried = [c for c in (df.columns if carry is None else carry) if c != "fp"]
+    read = carried if text_col in carried else [*carried, text_col]
+    text_at, names = read.index(text_col), [*carried, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(shingle_hashes(t or b"")) for t in (x.as_py() for x in b.column(1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            texts = rows_of(b, text_at).cast(pa.binary())
+            fps = np.fromiter((fingerprint(shingle_hashes(t.as_py())) for t in texts), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], pa.array(fps.view(np.int64))], names)
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {ids}, fp long")
+    return df.select(*read).mapInArrow(run, T.StructType([*[df.schema[c] for c in carried], T.StructField("fp", T.LongType())]))
 
 
 # -- parts and thresholds ------------------------------------------------------------------------
@@ -278,19 +282,37 @@ def components(edges: DataFrame) -> DataFrame:
         edges = nxt
 
 
+def _roots(docs: DataFrame, radius: int) -> DataFrame:
+    """(fp, first, root) of each distinct fingerprint: its smallest id and the smallest fingerprint that links reach."""
+    fps = checkpointed(docs.groupBy("fp").agg(F.min("id").alias("first")), work_dir(docs.sparkSession, "simhash-fps"))
+    member = components(links(fps.select("fp"), radius))
+    return fps.join(member.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, fp, component_id): for each row its fingerprint and the smallest id that links reach."""
-    spark = df.sparkSession
-    docs = checkpointed(fingerprints(df, id_col, text_col), work_dir(spark, "simhash-docs"))
-    fps = docs.groupBy("fp").agg(F.min("id").alias("first"))
-    fps = checkpointed(fps, work_dir(spark, "simhash-fps"))
-    member = components(links(fps.select("fp"), radius))
-    placed = fps.join(member.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    docs = checkpointed(fingerprints(df, text_col, [id_col]).withColumnRenamed(id_col, "id"), work_dir(df.sparkSession, "simhash-docs"))
+    placed = _roots(docs, radius)
     ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(ids, "root").select("fp", "component_id")
     return docs.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``df`` with one row of each group: the one of the smallest id; of rows repeated with their id any one."""
+    spark = df.sparkSession
+    docs = checkpointed(fingerprints(df, text_col), work_dir(spark, "simhash-rows"))
+    placed = _roots(docs.select(F.col(id_col).alias("id"), "fp"), radius)
+    chosen = placed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("c")).select(F.col("c.first").alias("__id"), F.col("c.fp").alias("__fp"))
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (docs["fp"] == F.col("__fp"))
+    kept = docs.join(chosen, same, "left_semi")
+    repeated = docs.groupBy(id_col, "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(id_col).alias("__id"), F.col("fp").alias("__fp"))
+    repeated = checkpointed(repeated, work_dir(spark, "simhash-repeated"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp"))
+    out = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_col, "fp"])) if not repeated.isEmpty() else kept
+    return out.select(df.columns)
+
+
 def hexed(fp: Column) -> Column:
     """16 lowercase hexadecimal digits of a signed long."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -202,11 +202,13 @@ def score(df: DataFrame, model: Model, text_col: str = "text", carry: list[str]
     own = T.StructType.fromDDL("score double, predicted int, n_sentences long, offending array<struct<start:int,score:double>>")
     carried = [c for c in (df.columns if carry is None else carry) if c not in own.names]
     schema = T.StructType([*[df.schema[c] for c in carried], *own.fields])
+    read = carried if text_col in carried else [*carried, text_col]
+    text_at = read.index(text_col)
     item = pa.struct([("start", pa.int32()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, offsets = text_bytes(rows_of(b, "__text"))
+            buf, offsets = text_bytes(rows_of(b, text_at))
             odds, count, bad = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)]
             for i, j in slices(offsets, _SLICE):
                 h, sent, text, first = _sentences(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -220,8 +222,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", carry: list[str]
             new = [pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32)), pa.array(count), pa.array(bad, pa.list_(item))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], *new], schema.names)
 
-    # the text passes twice only if it is carried too: Arrow shares no column
-    return df.select(*carried, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, schema)
+    return df.select(*read).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):
