@@ -2,15 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from typing import NamedTuple
+from storyscale.plans import texts
+from storyscale.plans.query import QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-class Query(NamedTuple):
-    run: Callable[[SparkSession, str], DataFrame]
-    oracle: str | None = None
-
-
-QUERIES: dict[str, Query] = {}
+__all__ = ["QUERIES", "texts"]
