@@ -15,32 +15,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyscale.llm import decontamination, packing, quality, simhash, toxicity
-from storyscale.llm.common import checkpointed, table, work_dir
+from storyscale.llm.common import checkpointed, ready, table, work_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.train(docs, table(ready(spark), sf_dir, "labels"))
     return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighted quality rules keep."""
+    ready(spark)
     return quality.rate(docs).where("kept").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
+    ready(spark)
     return simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    return decontamination.matches(docs, table(spark, sf_dir, "benchmark")).where(F.size("matches") == 0).select(docs.columns)
+    return decontamination.matches(docs, table(ready(spark), sf_dir, "benchmark")).where(F.size("matches") == 0).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences with their token ids."""
+    ready(spark)
     return packing.pack(docs)
 
 

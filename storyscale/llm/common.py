@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with this package on its Python workers' path, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_storyscale_shipped", None) is None:
+        root = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="storyscale-")) / "storyscale.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(target))
+        sc._storyscale_shipped = str(target)
+    return spark
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors share.
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyscale.llm import decontamination, elias_fano, licenses, lm, packing, quality, sharding, simhash, token_counts, toxicity
-from storyscale.llm.common import table
+from storyscale.llm.common import ready, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +66,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _on_ready(f: Callable) -> Callable:
+    return wraps(f)(lambda spark, sf_dir: f(ready(spark), sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_licenses, op4_sharding, op5_toxicity, op6_lm, op7_packing, op8_elias_fano, op9_quality, op10_simhash)}
+    return {f.__name__: _on_ready(f) for f in (op1_decontamination, op2_token_counts, op3_licenses, op4_sharding, op5_toxicity, op6_lm, op7_packing, op8_elias_fano, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -53,9 +53,10 @@ class Words(NamedTuple):
     end: np.ndarray  #: byte after it
     first: np.ndarray  #: for each text the number of its first word, and the number of all words
     hash: np.ndarray  #: 64-bit hash of the word with A-Z in lower case
+    prefix: np.ndarray = np.zeros(0, U)  #: if asked for, hash of the word's first bytes; 0 of a shorter word
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, hashes: bool = True) -> Words:
+def words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, prefix: int = 0) -> Words:
     """Words of the texts that lie in ``buf`` at ``offsets``; a word never spans two texts."""
     n = len(buf)
     if n == 0:
@@ -70,13 +71,16 @@ def words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, ha
     last[:-1] &= ~inside[1:] | cut[1:-1]
     start, end = np.flatnonzero(begin), np.flatnonzero(last) + 1
     first = np.searchsorted(start, offsets)
-    h = np.zeros(0, U)
-    if hashes:
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, U)
-            np.cumsum(_VALUE[buf] * _power(_BASE, n)[:n], out=total[1:])
-            h = mix((total[end] - total[start]) * _power(_INVERSE, n)[start] + (end - start).astype(U))
-    return Words(start, end, first, h)
+    with np.errstate(over="ignore"):
+        total = np.zeros(n + 1, U)
+        np.cumsum(_VALUE[buf] * _power(_BASE, n)[:n], out=total[1:])
+        back = _power(_INVERSE, n)[start]
+        h = mix((total[end] - total[start]) * back + (end - start).astype(U))
+        p = np.zeros(0, U)
+        if prefix:
+            p = mix((total[np.minimum(start + prefix, n)] - total[start]) * back + U(1 << 32))
+            p[end - start < prefix] = 0
+    return Words(start, end, first, h, p)
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
