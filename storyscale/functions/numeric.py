@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 _SPLIT = 134217729.0  # 2 ** 27 + 1: halves a double's digits
@@ -27,5 +27,12 @@ def exact_mean(x: Column) -> Column:
     return F.coalesce(F.sum(x.cast("decimal(18,4)")).cast("double") / F.count(x), F.lit(0.0))
 
 
-def rounded_mean(x: Column, digits: int = 4) -> Column:
-    return exact_round(exact_mean(x), digits)
+def rounded_means(df: DataFrame | GroupedData, means: dict[str, Column | tuple[Column, int]], *others: Column) -> DataFrame:
+    """Aggregates ``others`` and rounded means by name (a column, or one with its decimals; 4 by default).
+
+    Rounding stands above the aggregate: there Spark shares its repeated terms, and the code of the
+    aggregate stays within what the JVM compiles.
+    """
+    of = {n: m if isinstance(m, tuple) else (m, 4) for n, m in means.items()}
+    out = df.agg(*others, *[exact_mean(c).alias(n) for n, (c, _) in of.items()])
+    return out.withColumns({n: exact_round(F.col(f"`{n}`"), d) for n, (_, d) in of.items()})
