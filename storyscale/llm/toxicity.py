@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from storyscale.llm.common import crc_mod, rows_of, slices, text_bytes
 from storyscale.llm.words import ALNUM, words
 
-POSITIVES = NEGATIVES = 3000
+POSITIVES, NEGATIVES = 1000, 3000
 LONGEST = 1 << 20
 STEM = 5
 #: Words kept: the most telling ones of toxic texts, of a likelihood ratio (G squared) of at least TELLING, which chance reaches for about one word in 2,000.
@@ -129,7 +129,7 @@ def _sample(df: DataFrame, labels: DataFrame, id_col: str, label_col: str, text_
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.where(F.octet_length(text_col) <= LONGEST).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     got = texts.mapInArrow(gather, f"id {kind}, h binary, s binary").dropDuplicates(["id"]).collect()  # the sampled rows alone
-    got.sort(key=lambda r: r["id"])
+    got.sort(key=lambda r: str(r["id"]))
     return [(label[r["id"]], np.frombuffer(r["h"], np.uint64), np.frombuffer(r["s"], np.uint32).astype(np.int64)) for r in got]
 
 
