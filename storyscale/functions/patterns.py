@@ -24,34 +24,49 @@ BIT = {p: 1 << i for i, p in enumerate(PATTERNS)} | {"irregular": 1 << len(PATTE
 ADVANCED = (1 << len(PATTERNS)) - 1
 
 
+_VOWELS = "aeiouy"
+
+
+def _at(w: Column, place: int) -> Column:
+    """The character at a place from the end (-1: the last)."""
+    return F.substring(w, place, 1)
+
+
 def syllables(w: Column) -> Column:
     """Syllables by spelling: groups of vowels, less a silent final e, plus one for consonant and final le."""
-    groups = F.size(F.regexp_extract_all(w, F.lit("[aeiouy]+"), F.lit(0)))
-    silent = w.rlike("[^ly]e$") & (groups > 1)
-    return F.when(F.length(w) <= 3, 1).otherwise(F.greatest(groups - silent.cast("int") + w.rlike("[^aeiouy]le$").cast("int"), F.lit(1)))
+    groups = F.regexp_count(w, F.lit(f"[{_VOWELS}]+"))
+    ends_e = _at(w, -1) == "e"
+    silent = ends_e & ~_at(w, -2).isin("l", "y")
+    le = ends_e & (_at(w, -2) == "l") & ~_at(w, -3).isin(*_VOWELS)
+    return F.when(F.length(w) <= 3, 1).otherwise(F.greatest(groups - silent.cast("int") + le.cast("int"), F.lit(1)))
 
 
 def magic_e(w: Column) -> Column:
     """A final e behind vowel and consonant that lengthens the vowel."""
-    return ~w.isin(FINAL_E_EXCEPTIONS) & (F.length(w) >= 4) & w.rlike("[aeiou][^aeiou]e$")
+    return (_at(w, -1) == "e") & (F.length(w) >= 4) & _at(w, -3).isin(*"aeiou") & ~_at(w, -2).isin(*"aeiou") & ~w.isin(FINAL_E_EXCEPTIONS)
 
 
-def _any(parts: list[str], template: str = "{}") -> str:
-    return template.format("(?:" + "|".join(parts) + ")")
+def _any(w: Column, parts: list[str]) -> Column:
+    """Whether a word holds one of the parts: byte searches, which are cheaper than a regular expression."""
+    out = F.contains(w, F.lit(parts[0]))
+    for p in parts[1:]:
+        out |= F.contains(w, F.lit(p))
+    return out
 
 
 def mask(w: Column, n_syllables: Column | None = None) -> Column:
     """Bits of the word's patterns; an irregular word has only its own and the one of several syllables."""
     n = syllables(w) if n_syllables is None else n_syllables
     bit = lambda name, when: F.when(when, BIT[name]).otherwise(0)
-    diphthong = w.rlike(_any([d for d in DIPHTHONGS if d != "ow"])) | (F.contains(w, F.lit("ow")) & ~w.isin(OW_LONG_O))
+    diphthong = _any(w, [d for d in DIPHTHONGS if d != "ow"]) | (F.contains(w, F.lit("ow")) & ~w.isin(OW_LONG_O))
+    starts = [F.left(w, F.lit(n)).isin([b for b in INITIAL_BLENDS if len(b) == n]) for n in (2, 3)]
     regular = (
-        bit("digraph", w.rlike(_any(DIGRAPHS)))
-        + bit("blend", w.rlike(_any(INITIAL_BLENDS, "^{}") + "|" + _any(FINAL_BLENDS, "{}$")))
+        bit("digraph", _any(w, DIGRAPHS))
+        + bit("blend", starts[0] | starts[1] | F.right(w, F.lit(2)).isin(FINAL_BLENDS))
         + bit("final_e", magic_e(w))
-        + bit("vowel_team", w.rlike(_any(VOWEL_TEAMS)))
-        + bit("r_controlled", w.rlike(_any(R_CONTROLLED)))
-        + bit("l_controlled", w.rlike(_any(L_CONTROLLED)))
+        + bit("vowel_team", _any(w, VOWEL_TEAMS))
+        + bit("r_controlled", _any(w, R_CONTROLLED))
+        + bit("l_controlled", _any(w, L_CONTROLLED[-1:]))  # al is a part of the others
         + bit("diphthong", diphthong)
     )
     return bit("multisyllabic", n >= 2) + F.when(w.isin(IRREGULAR_WORDS), BIT["irregular"]).otherwise(regular)

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from storyscale.functions.lexicon import LEAKAGE_TERMS, MID_PHRASE, TRAILERS
 
-WORD = "[A-Za-z]+(?:['’][A-Za-z]+)?"
+_WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def strip(x: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(x, F.lit(_WHITE))
 
 
 def _lines(x: Column) -> Column:
@@ -20,16 +21,26 @@ def _lines(x: Column) -> Column:
     return F.regexp_replace(x, "\r\n?", "\n")
 
 
-def normalize_word(w: Column) -> Column:
-    """Lower case; a possessive, n't or whatever follows an apostrophe cut off."""
-    w = F.replace(F.lower(w), F.lit("’"), F.lit("'"))
+def _base(w: Column) -> Column:
+    """A lower-case word without its possessive, n't or whatever follows an apostrophe."""
     n = F.length(w)
     return F.when(F.endswith(w, F.lit("'s")) & (n > 2), F.left(w, n - 2)).when(F.endswith(w, F.lit("n't")) & (n > 3), F.left(w, n - 3)).otherwise(F.split_part(w, F.lit("'"), F.lit(1)))
 
 
+def normalize_word(w: Column) -> Column:
+    """Lower case; a possessive, n't or whatever follows an apostrophe cut off."""
+    return _base(F.replace(F.lower(w), F.lit("’"), F.lit("'")))
+
+
 def words(text: Column) -> Column:
-    """Normalised words of a text, in order."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), normalize_word)
+    """Normalised words of a text, in order.
+
+    Letters are folded in the whole text at once (A-Z alone, so no other letter turns to one of
+    theirs), and words are looked at singly only in a text that has an apostrophe.
+    """
+    low = F.translate(F.coalesce(text, F.lit("")), _UPPER + "’", _UPPER.lower() + "'")
+    found = F.regexp_extract_all(low, F.lit("[a-z]+(?:'[a-z]+)?"), F.lit(0))
+    return F.when(F.contains(low, F.lit("'")), F.transform(found, _base)).otherwise(found)
 
 
 def parse_targets(x: Column) -> Column:
@@ -80,7 +91,7 @@ def normalize_sentence(s: Column) -> Column:
 
 def repeated_sentences(parts: Column) -> Column:
     """Normalised sentences that occur twice or more, sorted."""
-    norms = F.array_sort(F.filter(F.transform(parts, normalize_sentence), lambda s: s != ""))
+    norms = F.sort_array(F.filter(F.transform(parts, normalize_sentence), lambda s: s != ""))
     return F.transform(F.array(norms), lambda n: F.array_distinct(F.filter(n, lambda s, i: (i > 0) & s.eqNullSafe(F.get(n, i - 1)))))[0]
 
 

@@ -28,7 +28,7 @@ def _distinct(tokens: Column) -> Column:
         at = F.filter(F.transform(s, lambda _, i: i), lambda i: F.when(i == 0, True).otherwise(F.get(s, i) != F.get(s, i - 1)))
         return _once(at, lambda a: F.transform(a, lambda i, k: F.struct(F.get(s, i).alias("word"), (F.coalesce(F.get(a, k + 1), n) - i).alias("freq"))))
 
-    return _once(F.array_sort(tokens), runs)
+    return _once(F.sort_array(tokens), runs)
 
 
 def with_words(df: DataFrame, story: str = "story") -> DataFrame:
