@@ -24,9 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch of rows for a Python worker, where the session has Spark's default.
+BATCH = "8m"
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """The session with this package on its Python workers' path, wherever the driver was started."""
+    """The session with this package on its Python workers' path, wherever the driver was started, and batches by size.
+
+    Rows differ in length by powers of ten, so batches are bounded by bytes; a longer row is a batch of its own.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     if getattr(sc, "_storyscale_shipped", None) is None:
         root = Path(__file__).resolve().parents[1]
         target = Path(tempfile.mkdtemp(prefix="storyscale-")) / "storyscale.zip"

@@ -143,23 +143,27 @@ def fit(sample: list, shares: tuple[float, float], rounds: int = 120) -> Model:
         p = min(max(shares[1], 1e-6), 1 - 1e-6) if len(y) else 1e-6
         return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0, 0.0, math.log(p / (1 - p)))
     n = len(y)
-    h = np.concatenate([x[1] for x in sample])
     sizes = np.array([x[2].max() + 1 if len(x[2]) else 0 for x in sample])
     base = np.cumsum(sizes) - sizes
-    sent = np.concatenate([x[2] + b for x, b in zip(sample, base)])
     text = np.repeat(np.arange(n), sizes)
-    vocabulary, word = np.unique(h, return_inverse=True)
-    seen = np.unique(text[sent] * len(vocabulary) + word)  # once a text
-    in_text, of = seen // len(vocabulary), seen % len(vocabulary)
-    df = np.bincount(of, minlength=len(vocabulary))
-    pos = np.bincount(of, y[in_text], len(vocabulary))
+    # in how many texts of either kind each word is: text by text, so that no table of all occurrences is made
+    vocabulary = np.zeros(0, np.uint64)
+    for i in range(0, n, 256):
+        vocabulary = np.union1d(vocabulary, np.concatenate([x[1] for x in sample[i : i + 256]]))
+    df, pos = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
+    for label, h, _ in sample:
+        at = np.searchsorted(vocabulary, np.unique(h))
+        df[at] += 1
+        pos[at] += label
     p1, p0 = (pos + 0.5) / (y.sum() + 1), (df - pos + 0.5) / (n - y.sum() + 1)
     g2 = _likelihood_ratio(pos, df, y.sum(), n) * (p1 > p0)
     kept = np.sort(np.argsort(-g2, kind="stable")[: min(WORDS, max(int((g2 >= TELLING).sum()), 1))])
-    number = np.full(len(vocabulary), -1)
-    number[kept] = np.arange(len(kept))
-    use = number[word] >= 0
-    sent, word = sent[use], number[word[use]]
+    sent, word = [], []
+    for (_, h, s), first in zip(sample, base):
+        at, which = _features(h, vocabulary[kept])
+        sent.append(s[at] + first)
+        word.append(which)
+    sent, word = np.concatenate(sent), np.concatenate(word)
     w, b = np.clip(np.log(p1[kept] / p0[kept]), 0, 3), -5.0
     gw, gb = np.full(len(w), 1e-6), 1e-6
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
