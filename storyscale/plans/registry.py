@@ -1,4 +1,4 @@
-"""Registered queries of the reference's own operators."""
+"""Registered queries of the reading-level engine."""
 
 from __future__ import annotations
 
