@@ -64,6 +64,15 @@ def validate(df: DataFrame, payload: str, dims: tuple[str, ...]) -> DataFrame:
     return df.withColumn("raw_json", F.when(F.col("error").isNull(), raw)).drop("__object", "__json", *[f"__{d}{k}" for d in dims for k in ("", "_kind", "_told", "_score", "_said", "_error")])
 
 
+def present(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is not null, by exploding it.
+
+    A plain filter on a column of ``validate`` would be pushed below it, with all its expressions
+    copied into the condition.
+    """
+    return df.withColumn(column, F.explode(F.array_compact(F.array(column))))
+
+
 # -- messages: the judge never sees the model's name ----------------------------------------------
 
 _ROLE = "You judge short decodable stories for early readers. Judge only the story against the requested patterns. Answer with JSON alone."

@@ -203,13 +203,13 @@ def judge_parse(spark, sf_dir):
 @query(O.query("SELECT id, error FROM parsed WHERE error IS NOT NULL", _PARSED))
 def judge_reject_reasons(spark, sf_dir):
     """Why payloads are rejected."""
-    return judge.validate(values(spark, "id payload", PAYLOADS), "payload", STORY_DIMENSIONS).where("error IS NOT NULL").select("id", "error")
+    return judge.present(judge.validate(values(spark, "id payload", PAYLOADS), "payload", STORY_DIMENSIONS).select("id", "error"), "error")
 
 
 @query()
 def judge_canonical_json(spark, sf_dir):
     """Accepted payloads written anew."""
-    return judge.validate(values(spark, "id payload", PAYLOADS), "payload", STORY_DIMENSIONS).where("error IS NULL").select("id", "raw_json")
+    return judge.present(judge.validate(values(spark, "id payload", PAYLOADS), "payload", STORY_DIMENSIONS).select("id", "raw_json"), "raw_json")
 
 
 @query()
