@@ -40,7 +40,9 @@ _CHUNK = {"byte": r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+", "word":
 
 
 def vocabulary(name: str) -> str:
-    """Where a public tokenizer file lies on this machine."""
+    """Where a tokenizer file lies on this machine: a path as given, or a public file by its name."""
+    if os.sep in name:
+        return name
     import public_tokenizers
 
     return public_tokenizers.path(name)
