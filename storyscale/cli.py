@@ -15,6 +15,7 @@ from storyscale.functions.lexicon import STORY_DIMENSIONS
 from storyscale.operators import errors, judge, objective, pairs, profile, prompts, rollup
 from storyscale.plans import report
 from storyscale.sources import io, judges
+from storyscale.sources.lexicon import read_lexicon
 
 KEYS = ("model", "prompt_id", "generation_id", "seed")
 
@@ -29,7 +30,7 @@ def _checked_targets(df: DataFrame) -> DataFrame:
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     """Row metrics, summaries and pairs of generated stories."""
-    rows = objective.scored(_checked_targets(io.read_outputs(spark, a.outputs))).persist()  # feeds every view below
+    rows = objective.scored(_checked_targets(io.read_outputs(spark, a.outputs)), read_lexicon(spark, a.lexicon)).persist()  # feeds every view below
     if a.matched:
         pairs.require_matched(rows)
     io.export_csv(rows.orderBy("row_ord"), f"{a.to}/objective_rows.csv", [c for c in objective.ROW if c != "row_ord"])
@@ -94,6 +95,7 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument(i)
         c.add_argument("--to", default="results")
         if name == "evaluate":
+            c.add_argument("--lexicon", help="pronunciations: lines WORD  P1 P2 ...")
             c.add_argument("--matched", action="store_true", help="fail unless base and tuned have the same keys")
         if name == "judge":
             c.add_argument("--provider", default="recorded")

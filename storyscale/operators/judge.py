@@ -64,6 +64,11 @@ def validate(df: DataFrame, payload: str, dims: tuple[str, ...]) -> DataFrame:
     return df.withColumn("raw_json", F.when(F.col("error").isNull(), raw)).drop("__object", "__json", *[f"__{d}{k}" for d in dims for k in ("", "_kind", "_told", "_score", "_said", "_error")])
 
 
+def subjective_total(dims: tuple[str, ...] = DIMENSIONS) -> Column:
+    """Sum of a row's scores; null of an unjudged row."""
+    return sum((F.col(f"{d}_score") for d in dims), F.lit(0))
+
+
 def present(df: DataFrame, column: str) -> DataFrame:
     """Rows whose ``column`` is not null, by exploding it.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from storyscale.functions import text
 from storyscale.functions.lexicon import DISPLAY, PASS_WORDS, STAGES
 from storyscale.functions.numeric import exact_round
-from storyscale.operators.profile import with_words, words_with
+from storyscale.operators.profile import with_lexicon, with_words, words_with
 
 INTERNAL = {d: p for p, d in DISPLAY.items()}
 
@@ -88,6 +88,14 @@ def with_targets(df: DataFrame) -> DataFrame:
     }).drop("__counts")
 
 
+def target_details(df: DataFrame) -> DataFrame:
+    """A row for each requested target of a story (with words): distinct words, credit and whether it passes; null of an unknown name."""
+    count = F.create_map(*[x for p, d in DISPLAY.items() for x in (F.lit(d), F.size(words_with(p)))])
+    df = df.withColumn("__count", count).withColumn("target", F.explode(F.array_distinct(text.parse_targets(F.col("target_phonics")))))
+    n = F.element_at("__count", F.col("target"))
+    return df.withColumns({"target_distinct": n, "target_credit": exact_round(F.least(n / float(PASS_WORDS), F.lit(1.0))), "target_pass": (n >= PASS_WORDS).cast("int")}).drop("__count")
+
+
 def with_text_checks(df: DataFrame, story: str = "story") -> DataFrame:
     """``df`` with title, leakage, sentence and completeness checks."""
     s = F.col(story)
@@ -117,9 +125,12 @@ ROW = (
 )
 
 
-def scored(df: DataFrame) -> DataFrame:
-    """All row metrics beside the input columns; works on streams too, as each row stands alone."""
-    df = with_text_checks(with_levels(with_targets(with_words(df)))).drop("words")
+def scored(df: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """All row metrics beside the input columns; without a lexicon each row stands alone, so this works on streams too."""
+    df = with_words(df)
+    if lexicon is not None:
+        df = with_lexicon(df, lexicon)
+    df = with_text_checks(with_levels(with_targets(df))).drop("words")
     return df.withColumns({
         "target_phonics_coverage": F.col("target_satisfaction_rate"),
         "off_target_phonics_rate": F.col("above_level_rate"),

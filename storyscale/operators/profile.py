@@ -41,6 +41,21 @@ def with_words(df: DataFrame, story: str = "story") -> DataFrame:
     return df.withColumn("words", staged).drop("__tokens", "__words")
 
 
+def with_lexicon(df: DataFrame, lexicon: DataFrame, key: str = "row_ord") -> DataFrame:
+    """``df`` of with_words, its words classified anew with the syllables of a lexicon where it has them.
+
+    Words are joined one row each and put together again by ``key``, which must be unique; the words
+    of a story are bounded by its text. Spark broadcasts the lexicon if it finds it small.
+    """
+    w = F.col("w.word")
+    rows = df.select(key, F.explode("words").alias("w")).join(lexicon.select(F.col("word").alias("__word"), "syllables"), w == F.col("__word"), "left")
+    m = patterns.mask(w, F.coalesce("syllables", patterns.syllables(w)))
+    rows = rows.select(key, F.struct(w.alias("word"), F.col("w.freq").alias("freq"), m.alias("mask"), patterns.stage(m).alias("stage")).alias("w"))
+    again = rows.groupBy(key).agg(F.sort_array(F.collect_list("w")).alias("__words"))
+    out = df.join(again, key, "left")
+    return out.withColumn("words", F.coalesce("__words", "words")).drop("__words")
+
+
 def vocabulary(df: DataFrame, story: str = "story") -> DataFrame:
     """(word, freq) over all stories: counted before the shuffle, so frequent words are no load."""
     return df.select(F.explode(text.words(F.col(story))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))

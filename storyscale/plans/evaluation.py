@@ -267,6 +267,12 @@ def interpretation_flags(spark, sf_dir):
     return rounded_means(df, means).select(F.inline(rows)).select("metric", "b", "t", F.when(gain > F.col("m"), "improved").when(gain < -F.col("m"), "regressed").otherwise("unchanged").alias("verdict"))
 
 
+@query(O.query("SELECT row_ord, CAST(" + " + ".join(f"{d}_score" for d in DIMENSIONS) + " AS INT) AS subjective_total FROM judge", O.JUDGED))
+def subjective_total(spark, sf_dir):
+    """Sum of the five scores of each judged row."""
+    return recorded_judge(spark, sf_dir).select("row_ord", judge.subjective_total().alias("subjective_total"))
+
+
 _HARD = _means([(f"mean_{d}", f"{d}_score", 4) for d in ("overall_spec_adherence", "decodability_adherence", "target_phonics_pattern_emphasis", "narrative_completeness")])
 
 

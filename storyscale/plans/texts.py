@@ -169,6 +169,14 @@ def target_pass_lists(spark, sf_dir):
     return df.select("row_ord", "targets_requested", "targets_passed", "targets_passed_list", "targets_failed_list", "permitted_ceiling_stage", "permitted_ceiling_label")
 
 
+@query(O.query(
+    f"""SELECT row_ord, target, n AS target_distinct, {O.rounded('least(n::double / 4, 1::double)')} AS target_credit, CAST(n >= 4 AS INT) AS target_pass FROM
+    (SELECT row_ord, targets[i] AS target, counts[i] AS n FROM (SELECT *, unnest(generate_series(1, len(targets))) AS i FROM levels))""", *O.TO_LEVELS))
+def target_details(spark, sf_dir):
+    """Each requested target of each story."""
+    return objective.target_details(profile.with_words(stories(spark, sf_dir))).select("row_ord", "target", "target_distinct", "target_credit", "target_pass")
+
+
 _LEAKS = [(t,) for t in ("Phonics fun", "The FINAL exam", "A short vowel and a digraph", "the cat sat", "R-Controlled and r controlled", "")] + [(None,)]
 
 

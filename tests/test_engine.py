@@ -13,6 +13,7 @@ from storyscale.functions import numeric, patterns, text
 from storyscale.operators import judge, objective, pairs, profile, rollup
 from storyscale.plans import evaluation, report
 from storyscale.sources import io, judges
+from storyscale.sources.lexicon import read_lexicon
 from storyscale.sources.tables import stories, values
 from storyscale.streaming.score import score_stream
 
@@ -93,6 +94,15 @@ def test_row_properties(spark, sf):
     assert rows(objective.objective_rows(stories(spark, sf).repartition(7))) == rows(objective.objective_rows(stories(spark, sf)))
 
 
+def test_lexicon(spark, tmp_path):
+    (tmp_path / "lex.txt").write_text(";;; note\nANY  EH1 N IY0\nANY(2)  EH1 N IY0 Z\nGAMES  G EY1 M Z\nHM  HH M\n")
+    lex = read_lexicon(spark, str(tmp_path / "lex.txt"))
+    assert {r["word"]: r["syllables"] for r in lex.collect()} == {"any": 2, "games": 1, "hm": 1}
+    df = values(spark, "row_ord model prompt_id generation_id seed target_phonics story", [("1", "base", "p", "1", "1", "vowel teams", "any games cat"), ("2", "base", "p", "1", "1", "vowel teams", "")])
+    rate = lambda lex: {r["row_ord"]: r["above_level_words"] for r in objective.scored(df, lex).collect()}
+    assert rate(lex) == {"1": "any", "2": ""} and rate(None) == {"1": "games", "2": ""} and read_lexicon(spark, None) is None
+
+
 def test_empty_and_null_stories(spark):
     df = values(spark, "row_ord model prompt_id generation_id seed target_phonics story", [("1", "base", "p", "1", "1", "", ""), ("2", "tuned", "p", "1", "1", None, None)])
     for r in objective.objective_rows(df).collect():
