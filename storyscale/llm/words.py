@@ -42,7 +42,7 @@ def _power(base: int, n: int) -> np.ndarray:
         seq[0] = 1
         with np.errstate(over="ignore"):
             have = np.multiply.accumulate(seq)
-        if n > 1 << 24:  # of an exceptionally long text: not kept
+        if n > 1 << 22:  # of an exceptionally long text: not kept
             return have
         _powers[str(base)] = have
     return have
