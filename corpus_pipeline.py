@@ -31,9 +31,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group: near fingerprints, or five-word shingles with similarity 0.8."""
     ready(spark)
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, similar_texts=True)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyscale.llm import similar
 from storyscale.llm.common import checkpointed, rows_of, work_dir
 
 BITS = 64
@@ -74,19 +75,22 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Columns ``carry`` of ``df`` (default: all) with fp, the fingerprint as a signed long."""
+def fingerprints(df: DataFrame, text_col: str = "text", carry: list[str] | None = None, with_sets: bool = False) -> DataFrame:
+    """Columns ``carry`` of ``df`` (default: all) with fp, the fingerprint as a signed long, and if asked for __set and __n, name and size of the set of ``similar``."""
     carried = [c for c in (df.columns if carry is None else carry) if c != "fp"]
     read = carried if text_col in carried else [*carried, text_col]
-    text_at, names = read.index(text_col), [*carried, "fp"]
+    text_at, more = read.index(text_col), ["__set", "__n"] if with_sets else []
+    names = [*carried, "fp", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = rows_of(b, text_at).cast(pa.binary())
             fps = np.fromiter((fingerprint(shingle_hashes(t.as_py())) for t in texts), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], pa.array(fps.view(np.int64))], names)
+            sets = similar.names(rows_of(b, text_at)) if with_sets else []
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], pa.array(fps.view(np.int64)), *sets], names)
 
-    return df.select(*read).mapInArrow(run, T.StructType([*[df.schema[c] for c in carried], T.StructField("fp", T.LongType())]))
+    schema = T.StructType([*[df.schema[c] for c in carried], *[T.StructField(c, T.LongType()) for c in ["fp", *more]]])
+    return df.select(*read).mapInArrow(similar.released(run) if with_sets else run, schema)
 
 
 # -- parts and thresholds ------------------------------------------------------------------------
@@ -282,10 +286,11 @@ def components(edges: DataFrame) -> DataFrame:
         edges = nxt
 
 
-def _roots(docs: DataFrame, radius: int) -> DataFrame:
-    """(fp, first, root) of each distinct fingerprint: its smallest id and the smallest fingerprint that links reach."""
+def _roots(docs: DataFrame, radius: int, more: DataFrame | None = None) -> DataFrame:
+    """(fp, first, root) of each distinct fingerprint: its smallest id and the smallest fingerprint that links, with ``more``, reach."""
     fps = checkpointed(docs.groupBy("fp").agg(F.min("id").alias("first")), work_dir(docs.sparkSession, "simhash-fps"))
-    member = components(links(fps.select("fp"), radius))
+    edges = links(fps.select("fp"), radius)
+    member = components(edges if more is None else edges.unionByName(more))
     return fps.join(member.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
@@ -298,11 +303,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``df`` with one row of each group: the one of the smallest id; of rows repeated with their id any one."""
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similar_texts: bool = False) -> DataFrame:
+    """``df`` with one row of each group: the one of the smallest id; of rows repeated with their id any one.
+
+    With ``similar_texts``, links between texts of similar shingle sets (see ``similar``) join groups too.
+    """
     spark = df.sparkSession
-    docs = checkpointed(fingerprints(df, text_col), work_dir(spark, "simhash-rows"))
-    placed = _roots(docs.select(F.col(id_col).alias("id"), "fp"), radius)
+    docs = checkpointed(fingerprints(df, text_col, with_sets=similar_texts), work_dir(spark, "simhash-rows"))
+    more = similar.links(docs.select(F.col(text_col).alias("text"), "fp", "__set", "__n")) if similar_texts else None
+    placed = _roots(docs.select(F.col(id_col).alias("id"), "fp"), radius, more)
     chosen = placed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("c")).select(F.col("c.first").alias("__id"), F.col("c.fp").alias("__fp"))
     same = docs[id_col].eqNullSafe(F.col("__id")) & (docs["fp"] == F.col("__fp"))
     kept = docs.join(chosen, same, "left_semi")

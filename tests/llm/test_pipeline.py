@@ -1,5 +1,8 @@
 """The stages over one small table and over awkward ones."""
 
+import random
+from collections import Counter
+
 import corpus_pipeline
 from storyscale.llm import decontamination, packing, simhash
 from storyscale.llm.common import ready
@@ -27,3 +30,46 @@ def test_stages_take_awkward_tables(spark, sf, awkward, nothing):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, awkward, sf).count() >= 0
         assert stage(spark, nothing, sf).count() == 0
+
+
+def test_near_dedup_finds_all_similar_texts(spark, sf):
+    """One of each group by brute force over five-word shingles, joined with the groups of near fingerprints."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    r = random.Random(3)
+    base = [f"w{r.randrange(500)}" for _ in range(120)]
+    spread = [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in range(40)]  # a group beyond GROUP
+    common = [" ".join([*base[:60], *(f"u{k}x{i}" for i in range(40))]) for k in range(60)]  # share many shingles, aren't similar
+    extra = [(10**9 + i, t) for i, t in enumerate([*spread, *common, "a b", "A  B", "a c", ""])]
+    df = docs.unionByName(spark.createDataFrame(extra, docs.schema)).repartition(5).persist()
+    ready(spark)
+    rows = {x["doc_id"]: (x["text"], x["component_id"]) for x in df.join(simhash.near_duplicates(df), "doc_id").collect()}
+    sets, holders = {}, {}
+    for i, (text, _) in rows.items():
+        words = (text or "").encode().lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    root = {i: i for i in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def link(i, j):
+        root[max(find(i), find(j))] = min(find(i), find(j))
+
+    new = 0
+    for i, (_, component) in rows.items():
+        link(i, component)
+    for i, s in sets.items():
+        met = Counter(j for x in s for j in holders[x] if j < i)
+        for j, both in met.items():
+            if 5 * both >= 4 * (len(s) + len(sets[j]) - both):
+                new += find(i) != find(j)
+                link(i, j)
+    assert new > 10
+    kept = {x["doc_id"] for x in simhash.one_of_each(df, similar_texts=True).select("doc_id").collect()}
+    assert kept == {find(i) for i in rows}
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert {x["doc_id"] for x in stage(spark, df, sf).collect()} == kept
