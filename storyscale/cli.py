@@ -71,7 +71,7 @@ def profile_stories(spark: SparkSession, a: argparse.Namespace) -> None:
     """Pattern profile and level review of labelled stories; other columns pass through."""
     df = io.read_csv(spark, a.stories, ("story", "menon_hiebert_level"))
     out = profile.select_targets(profile.level_review(profile.story_profile(df)))
-    io.export_csv(out.orderBy("row_ord").drop("row_ord", "words"), f"{a.to}/profiled.csv", bom=True)
+    io.export_csv(out.orderBy("row_ord").drop("row_ord", "words", "tally"), f"{a.to}/profiled.csv", bom=True)
 
 
 def build_prompts(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -18,7 +18,7 @@ def strip(x: Column) -> Column:
 
 def _lines(x: Column) -> Column:
     """Line ends as line feeds."""
-    return F.regexp_replace(x, "\r\n?", "\n")
+    return F.when(F.contains(x, F.lit("\r")), F.regexp_replace(x, "\r\n?", "\n")).otherwise(x)
 
 
 def _base(w: Column) -> Column:
@@ -48,10 +48,9 @@ def parse_targets(x: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), strip), lambda t: t != "")
 
 
-def leakage_terms(text: Column) -> Column:
-    """Terms that a text mentions in any case, sorted and joined."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_join(F.filter(F.array(*map(F.lit, sorted(LEAKAGE_TERMS))), lambda t: F.contains(low, t)), ", ")
+def leakage_terms(lowered: Column) -> Column:
+    """Terms that a text, given in lower case, mentions: sorted and joined."""
+    return F.array_join(F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(t)), F.lit(t)) for t in sorted(LEAKAGE_TERMS)])), ", ")
 
 
 _BOLD = r"(?Ud)\A\s*\*\*(.+?)\*\*\s*\z"
@@ -59,9 +58,13 @@ _HEADING = r"(?U)\A\s{0,3}#{1,6}\s+\S+"
 _PREFIX = r"(?iU)\A\s*(?:title\s*[:\-–—]\s*)+"
 
 
-def title(text: Column) -> Column:
-    """The title of a text: empty if its title line names none, null if it has none."""
-    lines = F.split(F.regexp_replace(_lines(F.coalesce(text, F.lit(""))), r"(?U)\A(?:[^\S\n]*\n)+", ""), "\n")
+def first_lines(text: Column) -> Column:
+    """The first three lines of a text from its first line with anything in it, and the rest in a fourth piece."""
+    return F.split(F.regexp_replace(_lines(F.coalesce(text, F.lit(""))), r"(?U)\A(?:[^\S\n]*\n)+", ""), "\n", 4)
+
+
+def title(lines: Column) -> Column:
+    """The title among the first lines of a text: empty if its title line names none, null if it has none."""
     first, second, third = strip(F.get(lines, F.lit(0))), strip(F.get(lines, F.lit(1))), strip(F.get(lines, F.lit(2)))
     bare = lambda x: strip(F.regexp_replace(strip(x), r"\A\*+|\*+\z", ""))
     alone = (first != "") & (second == "") & (third != "") & (F.size(F.split(first, r"(?U)\s+")) <= 12) & ~F.right(first, F.lit(1)).isin(".", "?", "!")
@@ -89,16 +92,27 @@ def normalize_sentence(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(strip(F.lower(s)), r"(?U)\s+", " "), r"(?U)[^\p{L}\p{N}_\s]", "")
 
 
-def repeated_sentences(parts: Column) -> Column:
+def normalized_sentences(parts: Column) -> Column:
+    """``normalize_sentence`` of all sentences that keep anything, in one pass: no sentence holds a line end."""
+    low = F.lower(F.array_join(parts, "\n"))
+    even = F.regexp_replace(low, r"(?U)[\s&&[^\n]]{2,}|[\s&&[^ \n]]", " ")
+    return F.filter(F.split(F.regexp_replace(even, r"(?U)[^\p{L}\p{N}_\s]", ""), "\n"), lambda s: s != "")
+
+
+def repeated(norms: Column) -> Column:
     """Normalised sentences that occur twice or more, sorted."""
-    norms = F.sort_array(F.filter(F.transform(parts, normalize_sentence), lambda s: s != ""))
-    return F.transform(F.array(norms), lambda n: F.array_distinct(F.filter(n, lambda s, i: (i > 0) & s.eqNullSafe(F.get(n, i - 1)))))[0]
+    twice = lambda n: F.array_distinct(F.filter(n, lambda s, i: (i > 0) & s.eqNullSafe(F.get(n, i - 1))))
+    found = F.transform(F.array(F.sort_array(norms)), twice)[0]
+    return F.when(F.size(F.array_distinct(norms)) < F.size(norms), found).otherwise(F.array().cast("array<string>"))
+
+
+def ending(text: Column, body_text: Column) -> Column:
+    """The last characters of the body, or of the whole text if it has none: enough to tell how it ends."""
+    return F.right(F.when(body_text != "", body_text).otherwise(strip(F.coalesce(text, F.lit("")))), F.lit(max(map(len, MID_PHRASE)) + 2))
 
 
-def incomplete_reasons(text: Column, body_text: Column, parts: Column) -> Column:
-    """Why a text looks unfinished, joined by commas; empty if it doesn't."""
-    raw = strip(F.coalesce(text, F.lit("")))
-    end = F.when(body_text != "", body_text).otherwise(raw)
+def incomplete_reasons(raw: Column, body_text: Column, end: Column, parts: Column) -> Column:
+    """Why a text looks unfinished, joined by commas; empty if it doesn't. ``raw``: the stripped text, ``end``: its ``ending``."""
     n_words = F.when(body_text == "", 0).otherwise(F.size(F.split(body_text, r"(?U)\s+")))
     bad = F.lit(False)
     for t in TRAILERS:
@@ -106,11 +120,11 @@ def incomplete_reasons(text: Column, body_text: Column, parts: Column) -> Column
     reason = lambda name, when: F.when(when, F.lit(name))
     reasons = F.array_compact(F.array(
         reason("title_only_or_empty_body", body_text == ""),
-        reason("too_short", (F.size(parts) <= 1) & (n_words < 20)),
+        reason("too_short", F.when(F.size(parts) <= 1, n_words < 20).otherwise(False)),
         reason("bad_ending_punctuation", bad),
-        reason("ends_mid_phrase", end.rlike(rf"(?iU)\b({'|'.join(MID_PHRASE)})\s*\z")),
+        reason("ends_mid_phrase", end.rlike(rf"(?iU)\b({'|'.join(MID_PHRASE)})\z")),
         reason("no_terminal_punctuation", end.rlike(r"[A-Za-z]\z")),
-        reason("unbalanced_quotes", (F.length(raw) - F.length(F.replace(raw, F.lit('"'), F.lit("")))) % 2 == 1),
+        reason("unbalanced_quotes", F.when(F.contains(raw, F.lit('"')), (F.length(raw) - F.length(F.replace(raw, F.lit('"'), F.lit("")))) % 2 == 1).otherwise(False)),
     ))
     return F.when(raw == "", F.lit("empty_story")).otherwise(F.array_join(reasons, ","))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from storyscale.functions import text
 from storyscale.functions.lexicon import DISPLAY, PASS_WORDS, STAGES
 from storyscale.functions.numeric import exact_round
-from storyscale.operators.profile import with_lexicon, with_words, words_with
+from storyscale.operators.profile import distinct_with, tallied, with_lexicon, with_words
 
 INTERNAL = {d: p for p, d in DISPLAY.items()}
 
@@ -36,24 +36,19 @@ def unknown_targets(targets: Column) -> Column:
     return F.filter(targets, lambda t: ~t.isin(list(INTERNAL)))
 
 
-def _sum(array: Column, value) -> Column:
-    return F.aggregate(array, F.lit(0), lambda a, w: a + value(w))
-
-
 def with_levels(df: DataFrame) -> DataFrame:
     """``df`` (with words and permitted_ceiling_stage) with the level metrics.
 
     A word stands above the ceiling by its highest stage alone; without a ceiling none does.
     """
     top = F.col("permitted_ceiling_stage")
-    df = df.withColumn("__above", F.when(top <= 0, F.array().cast(df.schema["words"].dataType)).otherwise(F.filter("words", lambda w: w["stage"] > top)))
-    occurrences, distance = _sum(F.col("__above"), lambda w: w["freq"]), _sum(F.col("__above"), lambda w: (w["stage"] - top) * w["freq"])
+    above = lambda t: (top > 0) & (t["stage"] > top)
     df = df.withColumns({
-        "above_level_words": F.array_join(F.transform("__above", lambda w: w["word"]), ", "),
-        "above_level_word_occurrences": occurrences,
-        "above_level_distinct_words": F.size("__above"),
-        "max_above_level_distance": F.coalesce(F.array_max(F.transform("__above", lambda w: w["stage"] - top)), F.lit(0)),
-        "__distance": distance,
+        "above_level_words": F.array_join(F.transform(F.filter("words", above), lambda w: w["word"]), ", "),
+        "above_level_word_occurrences": tallied("freq", above),
+        "above_level_distinct_words": tallied("words", above),
+        "max_above_level_distance": F.aggregate("tally", F.lit(0), lambda a, t: F.when(above(t), F.greatest(a, t["stage"] - top)).otherwise(a)),
+        "__distance": tallied("freq", above, lambda t, n: (t["stage"] - top) * n),
     })
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     above, distinct = ratio("above_level_word_occurrences", "word_count"), ratio("above_level_distinct_words", "unique_word_count")
@@ -66,13 +61,13 @@ def with_levels(df: DataFrame) -> DataFrame:
         "on_or_below_level_rate": exact_round(below),
         "mean_above_level_distance": exact_round(ratio("__distance", "above_level_word_occurrences")),
         "weighted_above_level_rate": exact_round(ratio("__distance", "word_count")),
-    }).drop("__above", "__distance")
+    }).drop("__distance")
 
 
 def with_targets(df: DataFrame) -> DataFrame:
     """``df`` (with words) with parsed targets, ceiling, distinct counts, passes and coverage."""
     df = df.withColumn("targets", text.parse_targets(F.col("target_phonics")))
-    df = df.withColumns({f"{p}_distinct_count": F.size(words_with(p)) for p in DISPLAY} | {"permitted_ceiling_stage": ceiling(F.col("targets"))})
+    df = df.withColumns({f"{p}_distinct_count": distinct_with(p) for p in DISPLAY} | {"permitted_ceiling_stage": ceiling(F.col("targets"))})
     count = F.create_map(*[x for p, d in DISPLAY.items() for x in (F.lit(d), F.col(f"{p}_distinct_count"))])
     df = df.withColumn("__counts", F.transform("targets", lambda t: F.coalesce(F.element_at(count, t), F.lit(0))))
     credit = lambda n: F.least(n / float(PASS_WORDS), F.lit(1.0))
@@ -90,31 +85,40 @@ def with_targets(df: DataFrame) -> DataFrame:
 
 def target_details(df: DataFrame) -> DataFrame:
     """A row for each requested target of a story (with words): distinct words, credit and whether it passes; null of an unknown name."""
-    count = F.create_map(*[x for p, d in DISPLAY.items() for x in (F.lit(d), F.size(words_with(p)))])
+    count = F.create_map(*[x for p, d in DISPLAY.items() for x in (F.lit(d), distinct_with(p))])
     df = df.withColumn("__count", count).withColumn("target", F.explode(F.array_distinct(text.parse_targets(F.col("target_phonics")))))
     n = F.element_at("__count", F.col("target"))
     return df.withColumns({"target_distinct": n, "target_credit": exact_round(F.least(n / float(PASS_WORDS), F.lit(1.0))), "target_pass": (n >= PASS_WORDS).cast("int")}).drop("__count")
 
 
+PARTS = ("__lines", "__raw", "__low", "__title", "__body", "__end", "__sentences", "__norms")
+
+
+def with_text_parts(df: DataFrame, story: str = "story") -> DataFrame:
+    """``df`` with PARTS of the story. Later columns read them several times, so each is computed once, by itself."""
+    s = F.coalesce(F.col(story), F.lit(""))
+    df = df.withColumns({"__lines": text.first_lines(s), "__raw": text.strip(s), "__low": F.lower(s)}).withColumn("__title", text.title(F.col("__lines")))
+    df = df.withColumn("__body", text.body(s, F.col("__title"))).withColumn("__end", text.ending(s, F.col("__body")))
+    return df.withColumn("__sentences", text.sentences(F.col("__body"))).withColumn("__norms", text.normalized_sentences(F.col("__sentences")))
+
+
 def with_text_checks(df: DataFrame, story: str = "story") -> DataFrame:
     """``df`` with title, leakage, sentence and completeness checks."""
-    s = F.col(story)
-    df = df.withColumn("__title", text.title(s)).withColumn("__body", text.body(s, F.col("__title")))
-    df = df.withColumn("__sentences", text.sentences(F.col("__body")))
+    df = with_text_parts(df, story)
     df = df.withColumns({
         "title_rate": F.col("__title").isNotNull().cast("int"),
         "detected_title": F.coalesce("__title", F.lit("")),
-        "phonics_leakage_terms": text.leakage_terms(s),
+        "phonics_leakage_terms": text.leakage_terms(F.col("__low")),
         "sentence_count": F.size("__sentences"),
-        "__repeated": text.repeated_sentences(F.col("__sentences")),
-        "incomplete_reasons": text.incomplete_reasons(s, F.col("__body"), F.col("__sentences")),
+        "__repeated": text.repeated(F.col("__norms")),
+        "incomplete_reasons": text.incomplete_reasons(F.col("__raw"), F.col("__body"), F.col("__end"), F.col("__sentences")),
     })
     return df.withColumns({
         "phonics_leakage_rate": (F.col("phonics_leakage_terms") != "").cast("int"),
         "has_duplicate_sentences": (F.size("__repeated") > 0).cast("int"),
         "duplicate_sentence_norms": F.array_join(F.slice("__repeated", 1, 5), " | "),
         "incomplete_output": (F.col("incomplete_reasons") != "").cast("int"),
-    }).drop("__title", "__body", "__sentences", "__repeated")
+    }).drop(*PARTS, "__repeated")
 
 
 ROW = (
@@ -130,7 +134,7 @@ def scored(df: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     df = with_words(df)
     if lexicon is not None:
         df = with_lexicon(df, lexicon)
-    df = with_text_checks(with_levels(with_targets(df))).drop("words")
+    df = with_text_checks(with_levels(with_targets(df))).drop("words", "tally")
     return df.withColumns({
         "target_phonics_coverage": F.col("target_satisfaction_rate"),
         "off_target_phonics_rate": F.col("above_level_rate"),

@@ -1,8 +1,8 @@
 """Distinct words of a story with their frequency, patterns and stage, computed in the story's own row.
 
-Words are sorted in the row and told apart by their neighbours, each distinct word is classified
-once, and all metrics are sums over the resulting small array: no shuffle, whatever one story or
-prompt holds.
+Words come from one Arrow pass (``wordscan``) and are put back on the row; all metrics are then
+sums over ``tally``, which has one entry for each mask of patterns in the story: no shuffle,
+whatever one story or prompt holds.
 """
 
 from __future__ import annotations
@@ -13,32 +13,20 @@ from pyspark.sql import functions as F
 from storyscale.functions import patterns, text
 from storyscale.functions.lexicon import DISPLAY, LEVELS, MAX_TARGETS, PASS_WORDS, PATTERNS, TIE_ORDER, L_CONTROLLED_DISPLAY
 from storyscale.functions.numeric import exact_round
-
-
-def _once(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _distinct(tokens: Column) -> Column:
-    """array<struct<word, freq>> in order of the words."""
-
-    def runs(s: Column) -> Column:
-        n = F.size(s)
-        at = F.filter(F.transform(s, lambda _, i: i), lambda i: F.when(i == 0, True).otherwise(F.get(s, i) != F.get(s, i - 1)))
-        return _once(at, lambda a: F.transform(a, lambda i, k: F.struct(F.get(s, i).alias("word"), (F.coalesce(F.get(a, k + 1), n) - i).alias("freq"))))
-
-    return _once(F.sort_array(tokens), runs)
+from storyscale.operators import wordscan
+from storyscale.sources.package import ship
 
 
 def with_words(df: DataFrame, story: str = "story") -> DataFrame:
-    """``df`` with word_count, unique_word_count and words: array<struct<word, freq, mask, stage>>."""
-    df = df.withColumn("__tokens", text.words(F.col(story)))
-    df = df.withColumn("word_count", F.size("__tokens")).withColumn("__words", _distinct(F.col("__tokens")))
-    masked = F.transform("__words", lambda w: F.struct(w["word"].alias("word"), w["freq"].alias("freq"), patterns.mask(w["word"]).alias("mask")))
-    df = df.withColumn("__words", masked).withColumn("unique_word_count", F.size("__words"))
-    staged = F.transform("__words", lambda w: F.struct(w["word"].alias("word"), w["freq"].alias("freq"), w["mask"].alias("mask"), patterns.stage(w["mask"]).alias("stage")))
-    return df.withColumn("words", staged).drop("__tokens", "__words")
+    """``df`` with word_count, unique_word_count, words (distinct words in order) and tally (their sums by mask)."""
+    ship(df.sparkSession)
+    df = df.withColumn("__scan", F.arrow_udf(wordscan.scan, wordscan.SCAN)(story))
+    return df.withColumns({
+        "word_count": F.col("__scan.total"),
+        "unique_word_count": F.size("__scan.words"),
+        "words": F.col("__scan.words"),
+        "tally": F.col("__scan.tally"),
+    }).drop("__scan")
 
 
 def with_lexicon(df: DataFrame, lexicon: DataFrame, key: str = "row_ord") -> DataFrame:
@@ -52,8 +40,9 @@ def with_lexicon(df: DataFrame, lexicon: DataFrame, key: str = "row_ord") -> Dat
     m = patterns.mask(w, F.coalesce("syllables", patterns.syllables(w)))
     rows = rows.select(key, F.struct(w.alias("word"), F.col("w.freq").alias("freq"), m.alias("mask"), patterns.stage(m).alias("stage")).alias("w"))
     again = rows.groupBy(key).agg(F.sort_array(F.collect_list("w")).alias("__words"))
-    out = df.join(again, key, "left")
-    return out.withColumn("words", F.coalesce("__words", "words")).drop("__words")
+    out = df.join(again, key, "left").withColumn("words", F.coalesce("__words", "words")).drop("__words")
+    one = F.lit(1).alias("words")
+    return out.withColumn("tally", F.transform("words", lambda w: F.struct(w["mask"].alias("mask"), w["stage"].alias("stage"), w["freq"].alias("freq"), one)))
 
 
 def vocabulary(df: DataFrame, story: str = "story") -> DataFrame:
@@ -66,9 +55,19 @@ def words_with(pattern: str) -> Column:
     return F.transform(F.filter("words", lambda w: patterns.has(w["mask"], pattern)), lambda w: w["word"])
 
 
+def tallied(of: str, when, value=lambda t, n: n) -> Column:
+    """Sum over the masks that meet ``when`` of their ``of`` (freq: occurrences, words: distinct words)."""
+    return F.aggregate("tally", F.lit(0), lambda a, t: F.when(when(t), a + value(t, t[of])).otherwise(a))
+
+
 def tokens_with(pattern: str) -> Column:
     """Occurrences of a pattern's words."""
-    return F.aggregate(F.filter("words", lambda w: patterns.has(w["mask"], pattern)), F.lit(0), lambda a, w: a + w["freq"])
+    return tallied("freq", lambda t: patterns.has(t["mask"], pattern))
+
+
+def distinct_with(pattern: str) -> Column:
+    """How many distinct words a pattern has."""
+    return tallied("words", lambda t: patterns.has(t["mask"], pattern))
 
 
 PROFILED = (*PATTERNS, "irregular")
@@ -91,7 +90,7 @@ def story_profile(df: DataFrame) -> DataFrame:
 def select_targets(df: DataFrame) -> DataFrame:
     """target_phonics of a profiled story: its best covered patterns, at most three."""
     names = {p: DISPLAY.get(p, L_CONTROLLED_DISPLAY) for p in PATTERNS}
-    found = F.array(*[F.struct((-F.size(words_with(p))).alias("n"), F.lit(-TIE_ORDER[p]).alias("tie"), F.lit(names[p]).alias("name")) for p in PATTERNS])
+    found = F.array(*[F.struct((-distinct_with(p)).alias("n"), F.lit(-TIE_ORDER[p]).alias("tie"), F.lit(names[p]).alias("name")) for p in PATTERNS])
     best = F.slice(F.array_sort(F.filter(found, lambda x: x["n"] <= -PASS_WORDS)), 1, MAX_TARGETS)
     return df.withColumn("selected_targets", F.when(F.size(best) == 0, F.lit(DISPLAY["short_vowel"])).otherwise(F.array_join(F.transform(best, lambda x: x["name"]), ", ")))
 

@@ -11,6 +11,7 @@ from storyscale.functions.text import truncate
 from storyscale.operators import errors, judge, objective, pairs, rollup
 from storyscale.plans import oracle as O
 from storyscale.plans.query import query
+from storyscale.sources.shared import stored, work_dir
 from storyscale.sources.tables import KEYS, quoted, recorded_judge, stories, values
 
 _KEYS = ", ".join(KEYS)
@@ -22,8 +23,12 @@ def scored(spark, sf_dir) -> DataFrame:
 
 
 def judged(spark, sf_dir) -> DataFrame:
-    """Scored rows with the recorded judge scores, and a group's consistency on its judged rows."""
-    return with_consistency(scored(spark, sf_dir).join(recorded_judge(spark, sf_dir), "row_ord", "left"))
+    """Scored rows with the recorded judge scores, and a group's consistency on its judged rows.
+
+    Rankings read the scored rows many times, so these are scored once and stored without their texts.
+    """
+    rows = stored(scored(spark, sf_dir).drop("story", "prompt"), work_dir(spark, "scored"))
+    return with_consistency(rows.join(recorded_judge(spark, sf_dir), "row_ord", "left"))
 
 
 def with_consistency(df: DataFrame) -> DataFrame:
@@ -379,8 +384,10 @@ _TRIM = O.strip("coalesce(t_story, '')")
 @query(O.query(rf"SELECT {_KEYS}, category, CAST(rank AS INT) AS rank, notes, CASE WHEN length(s) <= 200 THEN s ELSE regexp_replace(left(s, 199), '\s+$', '') || '…' END AS tuned_story FROM (SELECT *, replace({_TRIM}, chr(13) || chr(10), chr(10)) AS s FROM extras)", *_TO_EXAMINED, _MODES))
 def failure_extras(spark, sf_dir):
     """More pairs of each failure mode, with the start of the story."""
-    out = errors.extras(errors.examined_pairs(judged(spark, sf_dir), ("story",)))
-    return out.select(*KEYS, "category", "rank", "notes", truncate(F.col("tuned.story"), 200).alias("tuned_story"))
+    out = errors.extras(errors.examined_pairs(judged(spark, sf_dir)))
+    story = stories(spark, sf_dir).select(F.col("row_ord").alias("__row"), "story")
+    out = story.join(F.broadcast(out), F.col("__row") == F.col("tuned.row_ord"))  # out: four rows for each mode
+    return out.select(*KEYS, "category", "rank", "notes", truncate(F.col("story"), 200).alias("tuned_story"))
 
 
 _STAT_COLS = "prompt_id, target_phonics, n, tuned_compliance, base_compliance, above, satisfaction, " + ", ".join(s.removesuffix("_score") for s in errors.SCORES) + ", " + ", ".join(f"n_low_{s.removesuffix('_score')}" for s in errors.SCORES[:4]) + ", n_high_above, rank"

@@ -183,7 +183,7 @@ _LEAKS = [(t,) for t in ("Phonics fun", "The FINAL exam", "A short vowel and a d
 @query(f"SELECT story, {O.leakage('story')} AS terms FROM (VALUES {quoted(_LEAKS)}) t(story)")
 def leakage_cases(spark, sf_dir):
     """Terms that give the exercise away."""
-    return values(spark, "story", _LEAKS).withColumn("terms", text.leakage_terms(F.col("story")))
+    return values(spark, "story", _LEAKS).withColumn("terms", text.leakage_terms(F.lower("story")))
 
 
 _CASES = [(str(i), t) for i, t in enumerate((
@@ -197,30 +197,28 @@ _CASES_SQL = f"cases AS (SELECT * FROM (VALUES {quoted(_CASES)}) t(id, story)),\
 @query(O.query("SELECT id, CAST(title_text IS NOT NULL AS INT) AS has_title, coalesce(title_text, '') AS title, body FROM checked", _CASES_SQL))
 def title_cases(spark, sf_dir):
     """Title and body of telling texts."""
-    df = values(spark, "id story", _CASES).withColumn("t", text.title(F.col("story")))
-    return df.select("id", F.col("t").isNotNull().cast("int").alias("has_title"), F.coalesce("t", F.lit("")).alias("title"), text.body(F.col("story"), F.col("t")).alias("body"))
+    df = objective.with_text_parts(values(spark, "id story", _CASES)).withColumn("t", F.col("__title"))
+    return df.select("id", F.col("t").isNotNull().cast("int").alias("has_title"), F.coalesce("t", F.lit("")).alias("title"), F.col("__body").alias("body"))
 
 
 @query(O.query("SELECT id, CAST(len(parts) AS INT) AS sentence_count, array_to_string(repeated, '|') AS repeated, reasons FROM checked", _CASES_SQL))
 def incomplete_cases(spark, sf_dir):
     """Sentences, repeats and signs of unfinished text."""
-    df = values(spark, "id story", _CASES).withColumn("body", text.body(F.col("story"), text.title(F.col("story")))).withColumn("parts", text.sentences(F.col("body")))
-    return df.select("id", F.size("parts").alias("sentence_count"), F.array_join(text.repeated_sentences(F.col("parts")), "|").alias("repeated"), text.incomplete_reasons(F.col("story"), F.col("body"), F.col("parts")).alias("reasons"))
+    df = objective.with_text_checks(values(spark, "id story", _CASES))
+    return df.select("id", "sentence_count", F.replace("duplicate_sentence_norms", F.lit(" | "), F.lit("|")).alias("repeated"), F.col("incomplete_reasons").alias("reasons"))
 
 
 @query(O.query("SELECT row_ord, CAST(i AS INT) AS i, parts[i] AS sentence, regexp_replace(regexp_replace(" + O.strip("lower(parts[i])") + r", '\s+', ' ', 'g'), '[^\p{L}\p{N}_\s]', '', 'g') AS norm FROM (SELECT row_ord, parts, unnest(generate_series(1, len(parts))) AS i FROM parted)", O.STORIES, O.title_ctes("stories", "row_ord")))
 def sentences(spark, sf_dir):
     """Each sentence of each story and its normal form."""
-    s = F.col("story")
-    df = stories(spark, sf_dir).select("row_ord", F.posexplode(text.sentences(text.body(s, text.title(s)))).alias("i", "sentence"))
+    df = objective.with_text_parts(stories(spark, sf_dir)).select("row_ord", F.posexplode("__sentences").alias("i", "sentence"))
     return df.select("row_ord", (F.col("i") + 1).alias("i"), "sentence", text.normalize_sentence(F.col("sentence")).alias("norm"))
 
 
 @query(O.query("SELECT row_ord, s AS sentence FROM (SELECT row_ord, unnest(repeated) AS s FROM repeats)", O.STORIES, O.title_ctes("stories", "row_ord")))
 def duplicate_sentences(spark, sf_dir):
     """Sentences that a story repeats."""
-    s = F.col("story")
-    return stories(spark, sf_dir).select("row_ord", F.explode(text.repeated_sentences(text.sentences(text.body(s, text.title(s))))).alias("sentence"))
+    return objective.with_text_parts(stories(spark, sf_dir)).select("row_ord", F.explode(text.repeated(F.col("__norms"))).alias("sentence"))
 
 
 @query(O.query(f"SELECT {', '.join(objective.ROW)} FROM objective", *O.TO_OBJECTIVE))

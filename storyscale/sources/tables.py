@@ -2,7 +2,7 @@
 
 The driver has no generated stories, so its documents stand in: source is the prompt, blocks of 40
 ids the generation, and the model is drawn from the id. All is computed row by row, so the mapping
-needs no shuffle; (prompt, generation) has two documents on average, which gives matched and
+needs no shuffle (a small table is dealt out to all cores first); (prompt, generation) has two documents on average, which gives matched and
 unmatched pairs and repeated keys. Recorded judge scores are stand-ins made from labels.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyscale.functions.lexicon import TARGET_LISTS
+from storyscale.sources.shared import spread
 
 KEYS = ("prompt_id", "generation_id", "seed")
 
@@ -24,7 +25,7 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_ord, model, prompt_id, generation_id, seed, target_phonics, prompt, story."""
     block = F.floor(F.col("doc_id") / 40)
     target = F.get(F.array(*map(F.lit, TARGET_LISTS)), (F.substring("source", 4, 9).cast("int") % len(TARGET_LISTS)))
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
         F.col("doc_id").alias("row_ord"),
         F.when((F.col("doc_id") * 7919) % 1009 % 2 == 0, "base").otherwise("tuned").alias("model"),
         F.col("source").alias("prompt_id"),
