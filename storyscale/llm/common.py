@@ -5,10 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 from functools import lru_cache
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +14,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyscale.sources.package import ship
+from storyscale.sources.shared import delete, work_dir
+
+__all__ = ["delete", "work_dir"]
+
 #: White space of the word definition ``[^\x20\x09-\x0D]+``, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -33,42 +36,14 @@ def ready(spark: SparkSession) -> SparkSession:
 
     Rows differ in length by powers of ten, so batches are bounded by bytes; a longer row is a batch of its own.
     """
-    sc = spark.sparkContext
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
-    if getattr(sc, "_storyscale_shipped", None) is None:
-        root = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="storyscale-")) / "storyscale.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        sc.addPyFile(str(target))
-        sc._storyscale_shipped = str(target)
-    return spark
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors share.
-
-    It lies in the folder named by ``spark.checkpoint.dir``. Only where that is unset (local
-    tests) a folder of this machine is chosen.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = _local_root()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@lru_cache(maxsize=1)
-def _local_root() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="storyscale-")
+    return ship(spark)
 
 
 def checkpointed(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written to a shared folder and read again: cuts its lineage, survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
+    """``df`` written to a shared folder, closely packed, and read again: cuts its lineage, survives lost executors."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyscale.llm import similar
-from storyscale.llm.common import checkpointed, rows_of, work_dir
+from storyscale.llm.common import checkpointed, delete, rows_of, work_dir
 
 BITS = 64
 RADIUS = 2
@@ -310,7 +310,12 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """
     spark = df.sparkSession
     docs = checkpointed(fingerprints(df, text_col, with_sets=similar_texts), work_dir(spark, "simhash-rows"))
-    more = similar.links(docs.select(F.col(text_col).alias("text"), "fp", "__set", "__n")) if similar_texts else None
+    more = None
+    if similar_texts:
+        scratch = work_dir(spark, "similar")
+        found = similar.links(docs.select(F.col(text_col).alias("text"), "fp", "__set", "__n"), scratch)
+        more = checkpointed(found, work_dir(spark, "similar-links"))
+        delete(spark, scratch)
     placed = _roots(docs.select(F.col(id_col).alias("id"), "fp"), radius, more)
     chosen = placed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("c")).select(F.col("c.first").alias("__id"), F.col("c.fp").alias("__fp"))
     same = docs[id_col].eqNullSafe(F.col("__id")) & (docs["fp"] == F.col("__fp"))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyscale.llm.common import checkpointed, map_array, rows_of, slices, text_bytes, work_dir, write_file
+from storyscale.llm.common import checkpointed, map_array, rows_of, slices, text_bytes, write_file
 from storyscale.llm.words import mix, shingle_hashes, words
 
 SHINGLE = 5
@@ -255,10 +255,12 @@ def group_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """(u, v): fingerprints of similar texts, spanning each component; ``rows`` has text, fp, __set and __n."""
+def links(rows: DataFrame, path: str) -> DataFrame:
+    """(u, v): fingerprints of similar texts, spanning each component; ``rows`` has text, fp, __set and __n.
+
+    The result reads files of the shared folder ``path``; store it before they are deleted.
+    """
     spark = rows.sparkSession
-    path = work_dir(spark, "similar")
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = checkpointed(_met(rows, _common(rows, path), n_buckets), f"{path}/met")
     pairs, groups = met.where("sets is null").select("a", "b"), met.where("sets is not null").select("sets")
