@@ -1,14 +1,14 @@
 """License scan by ordered signature rules, in DataFrame functions alone.
 
 A text becomes canonical words: A-Z in lower case, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``,
-one space between. Few texts hold one of the rules' root words; the others are done with a word
-count. A candidate text is held against the rules whose keyword it contains, all in its own row:
-no shuffle, whatever one source holds. Each match is an interval of words; one that lies within an
+one space between. Few texts hold one of the rules' roots; the others are done with a word
+count. A candidate text is held against the rules whose root and keyword it contains, all in its
+own row: no shuffle, whatever one source holds. Each match is an interval of words; one that lies within an
 interval of better priority, or within a wider or earlier one of its own priority, is suppressed.
 
 A null text is empty; repeated rows give equal results; an empty table gives none. Of equal
 intervals of one priority the first in label order stays. Input columns named like an output
-column give way to it.
+column give way to it. A very long text is one row of work; nothing of it is cut off.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyscale.llm.license_rules import BASE, ROOTS, RULES, Rule
+from storyscale.llm.license_rules import BASE, RULES, Rule, root_of, roots_regex
 
 #: Chance that a kept detection of a priority names a real license notice.
 CONFIDENCE = (0.99, 0.95, 0.8, 0.5)
@@ -25,7 +25,8 @@ _SPAN = "struct<start:int,end:int,priority:int,label:string>"
 
 
 def _literal(rules: tuple[Rule, ...]) -> Column:
-    return F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit(f" ((?:{r.regex}))(?= )").alias("regex")) for r in rules])
+    fields = lambda r: {"label": r.label, "priority": r.priority, "root": root_of(r), "keyword": f" {r.keyword}", "regex": f" ((?:{r.regex}))(?= )"}
+    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in fields(r).items()]) for r in rules])
 
 
 def _words_in(x: Column) -> Column:
@@ -41,9 +42,9 @@ def _spans(canon: Column, rule: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(p["s"].alias("start"), (p["s"] + _words_in(p["m"])).alias("end"), rule["priority"].alias("priority"), rule["label"].alias("label")))
 
 
-def _detect(canon: Column, rules: tuple[Rule, ...]) -> Column:
-    """All intervals of the rules, by start, widest first, best priority first, label."""
-    likely = F.filter(_literal(rules), lambda r: F.contains(canon, r["keyword"]))
+def _detect(canon: Column, roots: Column, rules: tuple[Rule, ...]) -> Column:
+    """All intervals of the rules, by start, widest first, best priority first, label; ``roots``: those in the text."""
+    likely = F.filter(_literal(rules), lambda r: F.array_contains(roots, r["root"]) & F.contains(canon, r["keyword"]))
     spans = F.flatten(F.transform(likely, lambda r: _spans(canon, r)))
     key = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["priority"].alias("priority"), s["label"].alias("label"))
     back = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["priority"].alias("priority"), s["label"].alias("label"))
@@ -72,9 +73,7 @@ def canonical(text: Column) -> Column:
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with n_words, detections (kept intervals), base_places, n_base, first_word, last_word, base_labels, labels and score."""
     canon = F.col("__canon")
-    likely = F.lit(False)
-    for root in ROOTS:
-        likely |= F.contains(F.col("__low"), F.lit(root))
+    likely = F.col("__low").rlike(f" (?:{roots_regex()})")
     empty = F.array().cast(f"array<{_SPAN}>")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     out = df.withColumn("__canon", canonical(F.coalesce(F.col(text_col), F.lit("")))).withColumn("__low", F.lower("__canon")).withColumn("__likely", likely)
@@ -82,9 +81,10 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
         "n_words": F.when(F.length(F.btrim(canon)) == 0, F.lit(0)).otherwise(_words_in(F.btrim(canon))).cast("long"),
         "__canon": F.when(F.col("__likely"), F.translate(canon, upper, upper.lower())),  # only A-Z, unlike lower()
     }).drop("__low", "__likely")
+    out = out.withColumn("__roots", F.array_distinct(F.regexp_extract_all(canon, F.lit(f" (?=({roots_regex()}))"), F.lit(1))))
     out = out.withColumns({
-        "__spans": F.when(canon.isNotNull(), _detect(canon, RULES)).otherwise(empty),
-        "base_places": F.when(canon.isNotNull(), _detect(canon, BASE)).otherwise(empty),
+        "__spans": F.when(canon.isNotNull(), _detect(canon, F.col("__roots"), RULES)).otherwise(empty),
+        "base_places": F.when(canon.isNotNull(), _detect(canon, F.col("__roots"), BASE)).otherwise(empty),
     })
     out = out.withColumn("__flags", _flags(F.col("__spans")))
     out = out.withColumn("detections", F.filter("__spans", lambda s, i: F.get(F.col("__flags"), i)))
@@ -98,4 +98,4 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
         "base_labels": F.array_join(F.array_sort(F.array_distinct(labels(F.col("base_places")))), ","),
         "labels": F.array_join(F.array_sort(F.array_union(labels(F.col("base_places")), labels(F.col("detections")))), ","),
         "score": F.greatest(F.coalesce(F.array_max(weights), F.lit(0.0)), F.when(F.size("base_places") > 0, F.lit(CONFIDENCE[3])).otherwise(0.0)),
-    }).drop("__canon", "__spans", "__flags")
+    }).drop("__canon", "__roots", "__spans", "__flags")
