@@ -1,23 +1,31 @@
-"""Interpolated modified Kneser-Ney model of word pairs, counted in Spark, scored from mapped files.
+"""Interpolated modified Kneser-Ney model of order 3, counted in Spark, scored from mapped files.
 
-Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case and one end token a text. Three
-counting steps, each reading shuffled blocks of keys that were counted before the shuffle:
+Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case and one end token a text; a text's
+first tokens follow two start symbols. Counting steps, each reading shuffled blocks of keys that were
+counted before the shuffle:
 
 A. words: 64-bit word hashes, in buckets of the hash's upper bits. Each bucket becomes a sorted
-   array of hashes and one of counts; a word's rank over all buckets is its number from here on.
-B. pairs: key = rank of history, rank of word. Buckets are ranges of keys: those of one word bucket,
-   and the pairs of a frequent history are split further by ranges of the second word, so no
-   word fills a bucket. Each becomes a sorted array of keys and one of counts.
-C. words again: of each history the numbers of followers seen once, twice and more often; of each
-   word the number of its different histories. Each word bucket becomes arrays of these.
-
-All arrays lie in the shared folder; workers map them into memory and look words and pairs up by
+   array of hashes and one of counts; a word's rank over all buckets is its number from here on, in
+   four bytes, or in eight where there are more words than four bytes can tell.
+B. triples (u, v, w), in buckets that are ranges of their lexicographic order, cut at quantiles of a
+   sample: however frequent a word or pair is, its followers spread over buckets. A bucket becomes
+   sorted arrays: its u, their v, their w, and counts. Which (v, w) follow how many different u goes on to
+C. pairs (v, w), in such ranges too, as sorted arrays of v and w with these numbers.
+D. words again: of each v the sum of these numbers over its followers and how many followers have
+   one, two and more; of each w the number of its different v.
+
+The highest order is discounted by counts, the lower ones by numbers of different histories. What a
+history (u, v) keeps for lower orders is computed from its followers' counts when it is looked up,
+and stored only for histories of many followers and those that span buckets.
+
+All arrays lie in the shared folder; workers map them into memory and look words and runs up by
 binary search, sorted, block by block. No array passes through the driver, which sees a few numbers
-for each bucket. Histories are one word long: pairs already take most of the disk allowed, and of
-this corpus nearly all longer runs occur once.
+for each bucket and SAMPLE triples for each to cut ranges by.
 
 A null text is empty (the end token alone), repeated rows count each time, an empty table gives no
-rows, a null id counts as the empty text for ``held_out``. Without training rows every score is 0.
+rows, a null id counts as the empty text for ``held_out``; of a very long text nothing is cut off,
+only its tokens are read in blocks of about _SLICE bytes of texts. Ties have no part in the results.
+Columns beside id and text are not read. Without training rows every score is 0.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyscale.llm.common import crc_mod, map_array, rows_of, slices, text_bytes, work_dir, write_file
+from storyscale.llm.common import checkpointed, crc_mod, map_array, rows_of, slices, text_bytes, work_dir, write_file
 from storyscale.llm.words import words
 
 #: Additive constant of the base score.
@@ -39,49 +47,76 @@ END = np.uint64(1)  #: stands for the end token among word hashes
 _SLICE = 1 << 21  #: bytes of text whose words are found together
 _BLOCK = 1 << 20  #: tokens that are looked up together
 _GATHER = 1 << 22  #: tokens that are counted before they are shuffled
-_FREQUENT = 8  #: words of each bucket that are told to the driver as frequent
 _MANY = 255  #: counts from here on lie in a list of their own
+_LARGE = 64  #: followers of a history beyond which its sums are stored
+SAMPLE = 64  #: triples for each bucket that are sampled to cut ranges by
 _U = np.uint64
 
+Discounts = tuple[float, float, float]
+Edge = tuple[int, ...]
+
 
 class Model(NamedTuple):
     """Where the arrays lie, and the numbers that go with them."""
 
     path: str
     bases: tuple[int, ...]  #: rank of the first word of each word bucket, and the number of words
-    edges: tuple[int, ...]  #: first key of each pair bucket but the first
     tokens: int
     texts: int
-    discounts: tuple[float, float, float] = (0.75, 0.75, 0.75)
-    pairs: int = 0
-    low_discounts: tuple[float, float, float] = (0.75, 0.75, 0.75)
+    wide: bool = False  #: numbers of words have eight bytes
+    edges: tuple[tuple[Edge, ...], tuple[Edge, ...]] = ((), ())  #: first triple, first pair of each bucket but the first
+    filled: tuple[frozenset[int], frozenset[int]] = (frozenset(), frozenset())  #: buckets that have rows
+    pairs: int = 0  #: different pairs
+    discounts: tuple[Discounts, Discounts, Discounts] = ((0.75,) * 3,) * 3  #: of words, pairs and triples
     low_back_off: float = 1.0
-    filled: frozenset[int] = frozenset()  #: pair buckets that have rows
+    split: dict[Edge, tuple[int, ...]] = {}  #: sums of the histories at a bucket's ends
 
     @property
     def words(self) -> int:
+        """The number of words, which also stands for the start of a text."""
         return self.bases[-1]
 
     @property
     def shift(self) -> int:
         return 64 - (len(self.bases) - 2).bit_length()
 
-
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and how often each occurs."""
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys)))
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order with the sums of their counts (rows of an array)."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first, axis=0)
+    @property
+    def kind(self) -> str:
+        return "<u8" if self.wide else "<u4"
+
+
+def _changes(cols: list[np.ndarray]) -> np.ndarray:
+    """Where sorted rows of columns differ from the row before; the first does."""
+    new = np.ones(len(cols[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    return np.flatnonzero(new)
+
+
+def _summed(cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of columns in lexicographic order with the sums of their counts (rows of an array)."""
+    if not len(counts):
+        return cols, counts
+    if len(cols) > 1 and cols[0].itemsize == 4:
+        order = np.lexsort((*cols[:1:-1], (cols[0].astype(_U) << _U(32)) | cols[1]))
+    else:
+        order = np.lexsort(cols[::-1])
+    cols, counts = [c[order] for c in cols], counts[order]
+    first = _changes(cols)
+    return [c[first] for c in cols], np.add.reduceat(counts, first, axis=0)
+
+
+def _cut(cols: list[np.ndarray], edges: tuple[Edge, ...]) -> list[int]:
+    """Bounds of the ranges that the edges cut sorted rows of columns into."""
+    out = [0]
+    for edge in edges:
+        lo, hi = 0, len(cols[0])
+        for c, x in zip(cols, edge):
+            x = c.dtype.type(x)
+            lo, hi = lo + int(np.searchsorted(c[lo:hi], x)), lo + int(np.searchsorted(c[lo:hi], x, "right"))
+            last = lo
+        out.append(last)
+    return [*out, len(cols[0])]
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -112,23 +147,34 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator
         yield np.concatenate(hs), np.concatenate(starts), rows
 
 
-def _gathered(keys: Iterator[np.ndarray], bucket: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Counted keys as a row for each bucket; ``bucket`` gives bucket numbers that ascend with the keys."""
+_SHUFFLED = "bucket int, keys array<binary>, counts binary"
+
+
+def _told(bucket: int, kind: int, cols: list[np.ndarray], counts: np.ndarray) -> dict:
+    """A row of keys and their counts (rows of an array) for a bucket."""
+    wide = np.ascontiguousarray(counts.reshape(len(counts), -1).T.astype(np.uint32))
+    return {"bucket": bucket, "kind": kind, "keys": [_pack(c) for c in cols], "counts": b"".join(map(_pack, wide)), "seen": None}
+
+
+def _counts(data: bytes, wide: int) -> np.ndarray:
+    n = len(data) // wide
+    return np.stack([_unpack(data[i * n : (i + 1) * n], "<u4") for i in range(wide)], axis=1).astype(np.int64)
+
+
+def _gathered(blocks: Iterator[list[np.ndarray]], cut: Callable[[list[np.ndarray]], list[int]]) -> Iterator[pa.RecordBatch]:
+    """Counted rows of columns as a row for each bucket; ``cut`` gives the buckets' bounds among sorted rows."""
     waiting, n = [], 0
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.list_(pa.binary())), ("counts", pa.binary())])
 
     def out() -> pa.RecordBatch:
-        k, c = _counted(np.concatenate(waiting))
-        at = bucket(k)
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        ends = np.append(first[1:], len(k))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(at[first].astype(np.int32)), pa.array([_pack(k[a:b]) for a, b in zip(first, ends)], pa.binary()), pa.array([_pack(c[a:b].astype(np.uint32)) for a, b in zip(first, ends)], pa.binary())],
-            ["bucket", "keys", "counts"],
-        )
-
-    for k in keys:
-        waiting.append(k)
-        n += len(k)
+        cols, c = _summed([np.concatenate(x) for x in zip(*waiting)], np.ones(n, np.int64))
+        bounds = cut(cols)
+        rows = [_told(b, 0, [x[i:j] for x in cols], c[i:j]) for b, (i, j) in enumerate(zip(bounds, bounds[1:])) if i < j]
+        return pa.RecordBatch.from_pylist(rows, schema)
+
+    for cols in blocks:
+        waiting.append(cols)
+        n += len(cols[0])
         if n >= _GATHER:
             yield out()
             waiting, n = [], 0
@@ -136,18 +182,15 @@ def _gathered(keys: Iterator[np.ndarray], bucket: Callable[[np.ndarray], np.ndar
         yield out()
 
 
-_SHUFFLED = "bucket int, keys binary, counts binary"
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The buckets of a partition (one, as they are dealt), each with its keys and counts."""
+def _merged(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """The buckets of a partition (one, as they are dealt), each with its rows and counts."""
     parts: dict[int, list] = {}
     for b in batches:
-        for bucket, k, c in zip(*(x.to_pylist() for x in b.columns)):
-            parts.setdefault(bucket, []).append((_unpack(k, "<u8"), _unpack(c, "<u4")))
+        for bucket, k, c in zip(*(b.column(x).to_pylist() for x in ("bucket", "keys", "counts"))):
+            parts.setdefault(bucket, []).append(([_unpack(x, kind) for x in k], _counts(c, 1)[:, 0]))
     for bucket in sorted(parts):
         ks, cs = zip(*parts.pop(bucket))
-        yield bucket, *_summed(np.concatenate(ks), np.concatenate(cs).astype(np.int64))
+        yield bucket, *_summed([np.concatenate(x) for x in zip(*ks)], np.concatenate(cs))
 
 
 def _rows(made: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -184,32 +227,118 @@ def _of_ranks(model: Model, ranks: np.ndarray, kinds: dict[str, str]) -> list[np
     return outs
 
 
-def _pair_counts(model: Model, keys: np.ndarray) -> np.ndarray:
-    """Counts of distinct pairs in order; 0 of unknown ones."""
-    out = np.zeros(len(keys), np.int64)
-    cuts = [0, *np.searchsorted(keys, np.array(model.edges, _U)).tolist(), len(keys)]
-    for b in range(len(cuts) - 1):
-        if cuts[b] == cuts[b + 1]:
-            continue
-        if b not in model.filled:
-            continue
-        have = map_array(f"{model.path}/pairs/{b:06d}.key", "<u8")
-        part = keys[cuts[b] : cuts[b + 1]]
-        i = np.minimum(np.searchsorted(have, part), len(have) - 1)
-        c = map_array(f"{model.path}/pairs/{b:06d}.count", "u1")[i].astype(np.int64)
-        many = np.flatnonzero(c == _MANY)
-        if len(many):
-            more = map_array(f"{model.path}/pairs/{b:06d}.many", "<u8").reshape(2, -1)
-            c[many] = more[1][np.searchsorted(more[0], i[many].astype(_U))]
-        out[cuts[b] : cuts[b + 1]] = np.where(have[i] == part, c, 0)
+def _bisect(have: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each x in its own sorted range of ``have``, and whether it is there."""
+    lo, left, end = lo.astype(np.int64), (hi - lo).astype(np.int64), hi
+    while left.max(initial=0) > 0:
+        half = left >> 1
+        less = (left > 0) & (have[np.minimum(lo + half, len(have) - 1)] < x)
+        lo, left = np.where(less, lo + half + 1, lo), np.where(less, left - half - 1, half)
+    return lo, (lo < end) & (have[np.minimum(lo, len(have) - 1)] == x)
+
+
+def _store(place: str, cols: list[np.ndarray], c: np.ndarray) -> np.ndarray:
+    """Write sorted rows as levels of arrays, each but the last with the starts of its parts in the next; starts of the last level's parts."""
+    starts = np.arange(len(c))
+    for level in range(len(cols) - 1, -1, -1):
+        first = _changes(cols[: level + 1])
+        write_file(f"{place}.{level}", [cols[level][first]])
+        if level < len(cols) - 1:
+            write_file(f"{place}.{level}s", [np.append(np.searchsorted(starts, first), len(starts)).astype("<u4")])
+            if level == len(cols) - 2:
+                last = first
+        starts = first
+    write_file(f"{place}.count", [np.minimum(c, _MANY).astype(np.uint8)])
+    many = np.flatnonzero(c >= _MANY)
+    write_file(f"{place}.many", [np.stack([many, c[many]]).astype("<u8")])
+    return last
+
+
+def _places(model: Model, place: str, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows in the level of their last column, and whether they are there."""
+    lo = np.zeros(len(cols[0]), np.int64)
+    hi = np.full(len(lo), len(map_array(f"{place}.0", model.kind)))
+    there = np.ones(len(lo), bool)
+    for level, x in enumerate(cols):
+        lo, found = _bisect(map_array(f"{place}.{level}", model.kind), lo, hi, x)
+        there &= found
+        if level < len(cols) - 1:
+            starts = map_array(f"{place}.{level}s", "<u4")
+            at = np.where(there, lo, 0)
+            lo, hi = np.where(there, starts[at], 0), np.where(there, starts[at + 1], 0)
+    return lo, there
+
+
+def _counts_at(place: str, i: np.ndarray) -> np.ndarray:
+    """Counts at places of the last level."""
+    c = map_array(f"{place}.count", "u1")[i].astype(np.int64)
+    many = np.flatnonzero(c == _MANY)
+    if len(many):
+        more = map_array(f"{place}.many", "<u8").reshape(2, -1)
+        c[many] = more[1][np.searchsorted(more[0], i[many].astype(_U))]
+    return c
+
+
+def _run_counts(model: Model, cols: list[np.ndarray]) -> np.ndarray:
+    """Numbers of distinct pairs or triples in order; 0 of unknown ones."""
+    order = len(cols) - 2  # 0: pairs, 1: triples
+    out = np.zeros(len(cols[0]), np.int64)
+    bounds = _cut(cols, model.edges[1 - order])
+    for b in sorted(model.filled[1 - order]):
+        if bounds[b] < bounds[b + 1]:
+            part = slice(bounds[b], bounds[b + 1])
+            place = f"{model.path}/{('pairs', 'triples')[order]}/{b:06d}"
+            i, there = _places(model, place, [c[part] for c in cols])
+            out[part] = np.where(there, _counts_at(place, np.where(there, i, 0)), 0)
+    return out
+
+
+def _sums(c: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each run of counts the sum, and how many are one, two and more."""
+    return np.add.reduceat(np.stack([c, c == 1, c == 2, c > 2], axis=1).astype(np.int64), first, axis=0)
+
+
+def _histories(model: Model, cols: list[np.ndarray]) -> np.ndarray:
+    """``_sums`` of the followers of distinct pairs in order, as histories of triples; 0 of unknown ones."""
+    out = np.zeros((len(cols[0]), 4), np.int64)
+    bounds = _cut([*cols, np.zeros(len(cols[0]), cols[0].dtype)], model.edges[0])
+    for b in sorted(model.filled[0]):
+        if bounds[b] < bounds[b + 1]:
+            place = f"{model.path}/triples/{b:06d}"
+            at, there = _places(model, place, [c[bounds[b] : bounds[b + 1]] for c in cols])
+            rows, at = bounds[b] + np.flatnonzero(there), at[there]
+            if not len(at):
+                continue
+            starts = map_array(f"{place}.1s", "<u4")
+            lo, n = starts[at].astype(np.int64), starts[at + 1].astype(np.int64) - starts[at]
+            large = n > _LARGE
+            if large.any():
+                stored = map_array(f"{place}.large", "<u8").reshape(5, -1)
+                out[rows[large]] = stored[1:, np.searchsorted(stored[0], at[large].astype(_U))].T
+            lo, n, rows = lo[~large], n[~large], rows[~large]
+            if len(n):
+                first = np.cumsum(n) - n
+                out[rows] = _sums(_counts_at(place, np.arange(n.sum()) + np.repeat(lo - first, n)), first)
+    if model.split:
+        keys = {k: i for i, k in enumerate(zip(*(c.tolist() for c in cols)))} if len(cols[0]) < len(model.split) else None
+        for k, sums in model.split.items():
+            i = keys.get(k) if keys is not None else _find(cols, k)
+            if i is not None:
+                out[i] = sums
     return out
 
 
-def _discounted(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+def _find(cols: list[np.ndarray], key: Edge) -> int | None:
+    """The place of a row among sorted rows."""
+    i = _cut(cols, (key,))[1]
+    return i if i < len(cols[0]) and all(int(c[i]) == x for c, x in zip(cols, key)) else None
+
+
+def _discounted(c: np.ndarray, d: Discounts) -> np.ndarray:
     return np.maximum(c - np.array([0.0, *d])[np.minimum(c, 3)], 0.0)
 
 
-def _discounts(n: list[int]) -> tuple[float, float, float]:
+def _discounts(n: list[int]) -> Discounts:
     """Modified Kneser-Ney discounts from the numbers of keys counted once to four times."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
     return tuple(min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.0), k + 1.0) if n[k] and n[0] else 0.75 for k in range(3))
@@ -218,8 +347,8 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 # -- training ------------------------------------------------------------------------------------
 
 
-def train(df: DataFrame, text_col: str = "text", path: str | None = None) -> Model:
-    """Count the texts of ``df`` and write the model's arrays to a new folder of the shared place."""
+def train(df: DataFrame, text_col: str = "text", path: str | None = None, wide: bool = False) -> Model:
+    """Count the texts of ``df`` and write the model's arrays to a new folder of the shared place (``wide``: eight bytes a word at any size)."""
     spark = df.sparkSession
     path = path or work_dir(spark, "lm")
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -228,149 +357,192 @@ def train(df: DataFrame, text_col: str = "text", path: str | None = None) -> Mod
     shift = 64 - (n_words - 1).bit_length()
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _gathered((h for h, _, _ in _blocks(batches)), lambda k: (k >> _U(shift)).astype(np.int64))
+        upper = np.arange(1, n_words, dtype=_U) << _U(shift)
+        return _gathered(([h] for h, _, _ in _blocks(batches)), lambda k: [0, *np.searchsorted(k[0], upper).tolist(), len(k[0])])
 
-    schema_a = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("tokens", pa.int64()), ("ends", pa.int64()), ("frequent", pa.list_(pa.list_(pa.int64())))])
+    schema_a = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("tokens", pa.int64()), ("ends", pa.int64())])
 
     def store_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = []
-        for b, k, c in _merged(batches):
+        for b, (k,), c in _merged(batches, "<u8"):
             write_file(f"{path}/words/{b:06d}.key", [k])
             write_file(f"{path}/words/{b:06d}.count", [c.astype("<u8")])
-            top = np.argsort(-c, kind="stable")[:_FREQUENT]
             end = c[k == END]
-            made.append({"bucket": b, "n": len(k), "tokens": int(c.sum()), "ends": int(end[0]) if len(end) else 0, "frequent": [[int(i), int(c[i])] for i in top]})
+            made.append({"bucket": b, "n": len(k), "tokens": int(c.sum()), "ends": int(end[0]) if len(end) else 0})
         yield _rows(made, schema_a)
 
-    stored = texts.mapInArrow(count_words, _SHUFFLED).repartitionById(n_words, F.col("bucket")).mapInArrow(store_words, "bucket long, n long, tokens long, ends long, frequent array<array<long>>").collect()
+    stored = texts.mapInArrow(count_words, _SHUFFLED).repartitionById(n_words, F.col("bucket")).mapInArrow(store_words, "bucket long, n long, tokens long, ends long").collect()
     by = {r["bucket"]: r for r in stored}  # a row for each bucket
-    sizes = [by[b]["n"] if b in by else 0 for b in range(n_words)]
-    bases = (0, *np.cumsum(sizes).tolist())
+    bases = (0, *np.cumsum([by[b]["n"] if b in by else 0 for b in range(n_words)]).tolist())
     tokens, ends = sum(r["tokens"] for r in stored), sum(r["ends"] for r in stored)
-    if bases[-1] >= 1 << 32:
-        raise ValueError("more distinct words than 32 bits can number")
-    model = Model(path, bases, (), tokens, ends)
+    model = Model(path, bases, tokens, ends, wide or bases[-1] >= (1 << 32) - 1)
     if not tokens:
         return model
-    share = max(tokens // n_words, 1)
-    edges = {b << 32 for b in bases[1:-1]}
-    frequent = [(bases[b] + i, c) for b, r in by.items() for i, c in r["frequent"] if 2 * c > share]
-    for h, c in [*frequent, (model.words, ends)]:
-        parts = -(-2 * c // share)
-        edges |= {(h << 32) + model.words * k // parts for k in range(parts)} | {h + 1 << 32}
-    model = model._replace(edges=tuple(sorted(edges - {0})))
-    n_pairs = len(model.edges) + 1
-
-    def pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for h, starts, _ in _blocks(batches):
-            distinct, at = np.unique(h, return_inverse=True)
-            r = _ranks(model, distinct)[at]
-            yield _pairs(model, r, starts)
+    model = model._replace(edges=_edges(texts, model, wanted))
+
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _gathered((_triples(model, h, starts) for h, starts, _ in _blocks(batches)), lambda cols: _cut(cols, model.edges[0]))
+
+    told = "bucket int, kind int, keys array<binary>, counts binary, seen array<long>"
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.list_(pa.binary())), ("counts", pa.binary()), ("seen", pa.list_(pa.int64()))])
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = np.array(model.edges, _U)
-        return _gathered(pair_keys(batches), lambda k: np.searchsorted(cuts, k, "right"))
+    def numbers(order: int, b: int, c: np.ndarray, more: list[int]) -> dict:
+        return {"bucket": 0, "kind": -order, "keys": None, "counts": None, "seen": [b, len(c), *(int((c == i).sum()) for i in range(1, 5)), *more]}
 
-    schema_b = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("seen", pa.list_(pa.int64()))])
+    def store_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, cols, c in _merged(batches, model.kind):
+            place = f"{path}/triples/{b:06d}"
+            first = _store(place, cols, c)
+            sums = _sums(c, first)
+            large = np.flatnonzero(np.diff(np.append(first, len(c))) > _LARGE)
+            write_file(f"{place}.large", [np.concatenate([large[None], sums[large].T]).astype("<u8")])
+            ends = [int(x) for i in sorted({0, len(first) - 1}) for x in (cols[0][first[i]], cols[1][first[i]], *sums[i])]
+            pairs, n = _summed(cols[1:], np.ones(len(c), np.int64))
+            bounds = _cut(pairs, model.edges[1])
+            yield _rows([numbers(3, b, c, ends)] + [_told(to, 1, [x[i:j] for x in pairs], n[i:j]) for to, (i, j) in enumerate(zip(bounds, bounds[1:])) if i < j], schema)
 
     def store_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, k, c in _merged(batches):
-            write_file(f"{path}/pairs/{b:06d}.key", [k])
-            write_file(f"{path}/pairs/{b:06d}.count", [np.minimum(c, _MANY).astype(np.uint8)])
-            many = np.flatnonzero(c >= _MANY)
-            write_file(f"{path}/pairs/{b:06d}.many", [np.stack([many, c[many]]).astype("<u8")])
-            made = [{"bucket": -1, "kind": 0, "keys": b"", "counts": b"", "seen": [len(k), *(int((c == i).sum()) for i in range(1, 5)), b]}]
-            once = np.stack([c == 1, c == 2, c > 2], axis=1).astype(np.uint32)
-            for kind, (words_, numbers) in enumerate((_summed(k >> _U(32), once), _summed(k & _U(0xFFFFFFFF), np.ones((len(k), 1), np.uint32)))):
-                cuts = np.searchsorted(words_, np.array([*bases, model.words + 1], _U))
-                for to in np.flatnonzero(np.diff(cuts)).tolist():
-                    part = slice(cuts[to], cuts[to + 1])
-                    made.append({"bucket": to, "kind": kind, "keys": _pack(words_[part].astype("<u4")), "counts": b"".join(_pack(x) for x in np.ascontiguousarray(numbers[part].T.astype(np.uint32))), "seen": None})
-            yield _rows(made, schema_b)
-
-    told = "bucket int, kind int, keys binary, counts binary, seen array<long>"
-    tallied = texts.mapInArrow(count_pairs, _SHUFFLED).repartitionById(n_pairs, F.col("bucket")).mapInArrow(store_pairs, told)
-    # the tallies are a small part of the pairs; written once, they serve the two reads below
-    tallied.write.parquet(f"{path}/tallies")
-    tallied = spark.read.parquet(f"{path}/tallies")
-    seen = [r["seen"] for r in tallied.where("bucket < 0").select("seen").collect()]  # a row for each bucket
-    n = [sum(x[i] for x in seen) for i in range(5)]
-    model = model._replace(pairs=n[0], discounts=_discounts(n[1:]), filled=frozenset(x[5] for x in seen))
-    d = np.array(model.discounts)
-
-    schema_c = pa.schema([("seen", pa.list_(pa.int64()))])
+        parts = []
+        for batch in batches:
+            mine = np.array(batch.column(1).to_pylist()) == 1
+            if not mine.all():
+                yield batch.filter(pa.array(~mine))
+            parts.append(batch.filter(pa.array(mine)))
+        for b, cols, n in _merged(iter(parts), model.kind):
+            first = _store(f"{path}/pairs/{b:06d}", cols, n)
+            histories = _summed(cols[1:], np.ones(len(n), np.int64))
+            made = [numbers(2, b, n, [])]
+            for kind, ((words_,), counts) in enumerate((([cols[0][first]], _sums(n, first)), histories)):
+                bounds = np.searchsorted(words_, np.array([*bases, model.words + 1]).astype(words_.dtype))
+                made += [_told(to, 2 + kind, [words_[i:j]], counts[i:j]) for to, (i, j) in enumerate(zip(bounds, bounds[1:])) if i < j]
+            yield _rows(made, schema)
+
+    counted = texts.mapInArrow(count_triples, _SHUFFLED).repartitionById(len(model.edges[0]) + 1, F.col("bucket")).mapInArrow(store_triples, told)
+    tallied = counted.repartitionById(len(model.edges[1]) + 1, F.col("bucket")).mapInArrow(store_pairs, told)
+    # the tallies are a small part of the pairs; written once, they serve the reads below
+    tallied = checkpointed(tallied, f"{path}/tallies")
+    seen = [(r["kind"], r["seen"]) for r in tallied.where("kind < 0").select("kind", "seen").collect()]  # a row or two for each bucket
+    of = lambda order, i: sum(x[i] for k, x in seen if k == -order)
+    split: dict[Edge, np.ndarray] = {}
+    for k, x in seen:
+        for e in (x[6:12], x[12:18]) if k == -3 else ():
+            if e:
+                split[tuple(e[:2])] = split.get(tuple(e[:2]), 0) + np.array(e[2:])
+    high, mid = (_discounts([of(order, i) for i in range(2, 6)]) for order in (3, 2))
+    model = model._replace(pairs=of(2, 1), filled=tuple(frozenset(x[0] for k, x in seen if k == -order) for order in (3, 2)), split={k: tuple(x.tolist()) for k, x in split.items()})
 
     def store_tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = [*bases, model.words + 1]
         sums: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for b, kind, k, c in zip(*(x.to_pylist() for x in batch.columns)):
+            for b, kind, (k,), c in zip(*(x.to_pylist() for x in batch.columns)):
                 if b not in sums:
-                    size = bounds[b + 1] - bounds[b]
-                    sums[b] = [np.zeros((size, 3), np.int64), np.zeros((size, 1), np.int64)]
-                at = _unpack(k, "<u4").astype(np.int64) - bounds[b]
-                wide = 3 if kind == 0 else 1
-                n = len(c) // wide
-                sums[b][kind][at] += np.stack([_unpack(c[i * n : (i + 1) * n], "<u4") for i in range(wide)], axis=1)
+                    sums[b] = [np.zeros((bounds[b + 1] - bounds[b], w), np.int64) for w in (4, 1)]
+                sums[b][kind - 2][_unpack(k, model.kind).astype(np.int64) - bounds[b]] += _counts(c, (4, 1)[kind - 2])
         made = []
         for b, (followers, histories) in sums.items():
-            if b == len(bases) - 1:
-                total = np.array([ends])
-                write_file(f"{path}/words/{b:06d}.count", [total.astype("<u8")])
-            else:
-                total = map_array(f"{path}/words/{b:06d}.count", "<u8").astype(np.int64)
-            write_file(f"{path}/words/{b:06d}.back", [((followers @ d) / total).astype("<f8")])
-            h = histories[:, 0]
-            write_file(f"{path}/words/{b:06d}.histories", [h.astype("<u4")])
+            total, h = followers[:, 0], histories[:, 0]
+            write_file(f"{path}/words/{b:06d}.total", [total.astype("<u8")])
+            write_file(f"{path}/words/{b:06d}.back", [((followers[:, 1:] @ np.array(mid)) / np.maximum(total, 1)).astype("<f8")])
+            write_file(f"{path}/words/{b:06d}.histories", [h.astype("<u8")])
             made.append({"seen": [*(int((h == i).sum()) for i in range(1, 5)), int((h > 2).sum())]})
-        yield _rows(made, schema_c)
+        yield _rows(made, pa.schema([("seen", pa.list_(pa.int64()))]))
 
-    low = tallied.where("bucket >= 0").select("bucket", "kind", "keys", "counts").repartitionById(n_words + 1, F.col("bucket")).mapInArrow(store_tallies, "seen array<long>").collect()  # a row for each bucket
+    low = tallied.where("kind >= 2").select("bucket", "kind", "keys", "counts").repartitionById(n_words + 1, F.col("bucket")).mapInArrow(store_tallies, "seen array<long>").collect()  # a row for each bucket
     m = [sum(r["seen"][i] for r in low) for i in range(5)]
     dl = _discounts(m[:4])
-    return model._replace(low_discounts=dl, low_back_off=(dl[0] * m[0] + dl[1] * m[1] + dl[2] * m[4]) / max(model.pairs, 1))
+    return model._replace(discounts=(dl, mid, high), low_back_off=(dl[0] * m[0] + dl[1] * m[1] + dl[2] * m[4]) / max(model.pairs, 1))
+
+
+def _edges(texts: DataFrame, model: Model, wanted: int) -> tuple[tuple[Edge, ...], tuple[Edge, ...]]:
+    """Where the ranges of triples and of pairs are cut: quantiles of about SAMPLE triples for each range."""
+    share, thin = SAMPLE * 3 * wanted / model.tokens, 16
+    if share * thin < 1:  # enough in some of the texts
+        texts, share = texts.where(F.crc32(F.col("text").cast("binary")) % thin == 0), share * thin
+    step = max(int(1 / min(share, 1)), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, starts, _ in _blocks(batches):
+            cols = [c[int(h[0]) % step :: step].astype(np.int64) for c in _triples(model, h, starts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["u", "v", "w"])
+
+    t = texts.mapInArrow(run, "u long, v long, w long").toArrow()  # about SAMPLE rows for each range
+    rows = sorted(zip(*(t.column(i).to_pylist() for i in range(3))))
+    cuts = lambda x, n: tuple(sorted({x[len(x) * k // n] for k in range(1, n)})) if x else ()
+    return cuts(rows, 3 * wanted), cuts(sorted(r[1:] for r in rows), 2 * wanted)
+
+
+def _numbered(model: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes' ranks (-1: unknown), the distinct hash of each token, and the rank of each."""
+    distinct, at = np.unique(h, return_inverse=True)
+    known = _ranks(model, distinct)
+    return known, at, known[at]
+
 
+def _before(x: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
+    """What stands before each token."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[starts] = start
+    return out
 
-def _pairs(model: Model, ranks: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Key of each token with its history; the first token's history is the start of the text."""
-    history = np.empty_like(ranks)
-    history[1:] = ranks[:-1]
-    history[starts] = model.words
-    return (history.astype(_U) << _U(32)) | ranks.astype(_U)
+
+def _triples(model: Model, h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Each token behind the two before it, as numbers of words."""
+    w = _numbered(model, h)[2]
+    v = _before(w, starts, model.words)
+    return [x.astype(model.kind) for x in (_before(v, starts, model.words), v, w)]
 
 
 # -- scoring -------------------------------------------------------------------------------------
 
 
+def _distinct(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of columns in order, and for each row its place among them."""
+    order = np.lexsort(cols[::-1]) if cols[0].itemsize > 4 or len(cols) < 2 else np.lexsort((*cols[:1:-1], (cols[0].astype(_U) << _U(32)) | cols[1]))
+    ordered = [c[order] for c in cols]
+    first = _changes(ordered)
+    at = np.empty(len(order), np.int64)
+    at[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    return [c[first] for c in ordered], at
+
+
 def _score(model: Model, h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """n_tokens, n_known, base_score and score of each text of a block."""
     n_tokens = np.diff(np.append(starts, len(h)))
     vocabulary = model.words + 1
-    base_of = lambda c: np.log10((c + ADD) / (model.tokens + ADD * vocabulary))
-    distinct, at = np.unique(h, return_inverse=True)
-    known = _ranks(model, distinct)
+    known, at, w = _numbered(model, h)
     have = np.flatnonzero(known >= 0)
-    c, histories, back = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), np.ones(len(distinct))
+    c, histories, total, back = (np.zeros(len(known), t) for t in (np.int64, np.int64, np.int64, float))
+    kinds = {"histories": "<u8", "total": "<u8", "back": "<f8"}
     if len(have):
-        c[have], histories[have], back[have] = _of_ranks(model, known[have], {"count": "<u8", "histories": "<u4", "back": "<f8"})
-    low = _discounted(histories, model.low_discounts) / max(model.pairs, 1) + model.low_back_off / vocabulary
-    p = low[at]
+        c[have], histories[have], total[have], back[have] = _of_ranks(model, known[have], {"count": "<u8", **kinds})
+    p = (_discounted(histories, model.discounts[0]) / max(model.pairs, 1) + model.low_back_off / vocabulary)[at]
     if model.tokens:
-        start_count, _, start_back = (x[0] for x in _of_ranks(model, np.array([model.words]), {"count": "<u8", "histories": "<u4", "back": "<f8"}))
-        before, weight = np.empty(len(h), np.int64), np.empty(len(h))
-        before[1:], weight[1:] = c[at[:-1]], back[at[:-1]]
-        before[starts], weight[starts] = start_count, start_back
-        ranks = known[at]
-        history = np.empty_like(ranks)
-        history[1:] = ranks[:-1]
-        history[starts] = model.words
-        p = np.where(history >= 0, weight * p, p)
-        both = np.flatnonzero((history >= 0) & (ranks >= 0))
-        keys, pair = np.unique((history[both].astype(_U) << _U(32)) | ranks[both].astype(_U), return_inverse=True)
-        seen = _discounted(_pair_counts(model, keys), model.discounts)[pair]
-        p[both] += seen / before[both]
-    sums = lambda x: np.add.reduceat(x, starts)
-    return [n_tokens, sums((c > 0)[at].astype(np.int64)), sums(base_of(c)[at]), sums(np.log10(p))]
+        v = _before(w, starts, model.words)
+        u = _before(v, starts, model.words)
+        _, start_total, start_back = (x[0] for x in _of_ranks(model, np.array([model.words]), kinds))
+        p = _interpolated(p, [v, w], _before(total[at], starts, start_total), _before(back[at], starts, start_back), model, model.discounts[1])
+        both = np.flatnonzero((u >= 0) & (v >= 0))
+        pairs, pair = _distinct([x[both].astype(model.kind) for x in (u, v)])
+        sums = _histories(model, pairs)
+        kept = (sums[:, 1:] @ np.array(model.discounts[2])) / np.maximum(sums[:, 0], 1)
+        of, weight = np.zeros(len(h), np.int64), np.ones(len(h))
+        of[both], weight[both] = sums[pair, 0], kept[pair]
+        p = _interpolated(p, [u, v, w], of, weight, model, model.discounts[2])
+    base_of = lambda c: np.log10((c + ADD) / (model.tokens + ADD * vocabulary))
+    sums_of = lambda x: np.add.reduceat(x, starts)
+    return [n_tokens, sums_of((c > 0)[at].astype(np.int64)), sums_of(base_of(c)[at]), sums_of(np.log10(p))]
+
+
+def _interpolated(low: np.ndarray, cols: list[np.ndarray], total: np.ndarray, back: np.ndarray, model: Model, d: Discounts) -> np.ndarray:
+    """Probabilities of tokens behind histories of ``total`` followers, which leave ``back`` to the lower order ``low``."""
+    p = np.where(total > 0, back * low, low)
+    seen = np.flatnonzero((total > 0) & (cols[-1] >= 0))
+    if len(seen):
+        runs, at = _distinct([x[seen].astype(model.kind) for x in cols])
+        p[seen] += _discounted(_run_counts(model, runs), d)[at] / total[seen]
+    return p
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

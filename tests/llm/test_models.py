@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -55,49 +56,51 @@ def test_toxicity_takes_awkward_tables(spark, awkward, nothing, docs):
 
 
 def reference(train):
+    """Counts of words, and p(u, v, w): modified Kneser-Ney of order 3 by dictionaries."""
     c = Counter(w for t in train for w in t)
-    pairs = Counter(p for t in train for p in zip([None, *t], t))
-    total, followers, histories = Counter(), {}, Counter()
-    for (h, w), n in pairs.items():
-        total[h] += n
-        followers.setdefault(h, [0, 0, 0])[min(n, 3) - 1] += 1
-        histories[w] += 1
+    triples = Counter(x for t in train for x in zip([None, None, *t], [None, *t], t))
+    pairs = Counter((v, w) for _, v, w in triples)  # numbers of different u
+    words = Counter(w for _, w in pairs)  # numbers of different v
 
-    def discounts(values):
-        return [0, *lm._discounts([sum(v == k for v in values) for k in range(1, 5)])]
+    def level(counts):
+        d = [0, *lm._discounts([sum(n == k for n in counts.values()) for k in range(1, 5)])]
+        total, kept = Counter(), Counter()
+        for key, n in counts.items():
+            total[key[:-1]] += n
+            kept[key[:-1]] += d[min(n, 3)]
 
-    d, dl = discounts(pairs.values()), discounts(histories.values())
-    low_off = sum(dl[min(n, 3)] for n in histories.values()) / len(pairs)
-    low = lambda w: max(histories[w] - dl[min(histories[w], 3)], 0) / len(pairs) + low_off / (len(c) + 1)
+        def p(key, low):
+            h, n = key[:-1], counts[key]
+            return max(n - d[min(n, 3)], 0) / total[h] + kept[h] / total[h] * low if total[h] else low
 
-    def p(h, w):
-        if not total[h]:
-            return low(w)
-        n = pairs[h, w]
-        return max(n - d[min(n, 3)], 0) / total[h] + sum(x * y for x, y in zip(d[1:], followers[h])) / total[h] * low(w)
+        return p
 
-    return c, p
+    one, two, three = level(Counter({(w,): n for w, n in words.items()})), level(pairs), level(triples)
+    return c, lambda u, v, w: three((u, v, w), two((v, w), one((w,), 1 / (len(c) + 1))))
 
 
-def test_lm(spark, docs, awkward):
+@pytest.mark.parametrize("wide", [False, True])
+def test_lm(spark, docs, awkward, wide):
     df = docs.select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
-    frequent = spark.createDataFrame([(1000 + i, "the " * 300 + f"w{i}") for i in range(20)], "doc_id long, text string")  # a word that fills buckets
+    frequent = spark.createDataFrame([(1000 + i, "the " * 300 + f"the the w{i}") for i in range(100)], "doc_id long, text string")  # words and pairs that fill buckets
     df = df.unionByName(frequent)
     rows = df.collect()
-    out = lm.score(df, lm.train(df.where(~lm.held_out()))).collect()
+    model = lm.train(df.where(~lm.held_out()), wide=wide)
+    out = lm.score(df, model).collect()
     crc = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10
     end = "\n"
     train = [[*spaced(r["text"]), end] for r in rows if crc(r["doc_id"])]
     c, p = reference(train)
     n = sum(c.values())
-    assert abs(sum(p("the", w) for w in [*c, "\tunknown"]) - 1) < 1e-9
+    assert abs(sum(p("the", "the", w) for w in [*c, "\tunknown"]) - 1) < 1e-9
     want = []
     for r in rows:
         t = [*spaced(r["text"]), end]
-        want.append((str(r["doc_id"]), len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (len(c) + 1))) for w in t), sum(math.log10(p(h, w)) for h, w in zip([None, *t], t))))
+        want.append((str(r["doc_id"]), len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (len(c) + 1))) for w in t), sum(math.log10(p(*x)) for x in zip([None, None, *t], [None, *t], t))))
     got = [(str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in out]
     for a, b in zip(sorted(got), sorted(want), strict=True):
         assert a[:4] == b[:4] and math.isclose(a[4], b[4], rel_tol=1e-9, abs_tol=1e-7) and math.isclose(a[5], b[5], rel_tol=1e-9, abs_tol=1e-7)
+    assert len(model.edges[0]) > 4 and model.split
 
 
 def test_lm_without_rows(docs, nothing):
