@@ -120,13 +120,15 @@ def _cut(cols: list[np.ndarray], edges: tuple[Edge, ...]) -> list[int]:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """Bytes of a sorted array plane by plane: the upper planes have long runs, which the shuffle's codec shortens."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() if len(a) else b""
+    """An array's length in bytes and its bytes plane by plane, compressed: the upper planes have long runs and few values."""
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() if len(a) else b""
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _unpack(data: bytes, dtype: str) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
@@ -153,12 +155,11 @@ _SHUFFLED = "bucket int, keys array<binary>, counts binary"
 def _told(bucket: int, kind: int, cols: list[np.ndarray], counts: np.ndarray) -> dict:
     """A row of keys and their counts (rows of an array) for a bucket."""
     wide = np.ascontiguousarray(counts.reshape(len(counts), -1).T.astype(np.uint32))
-    return {"bucket": bucket, "kind": kind, "keys": [_pack(c) for c in cols], "counts": b"".join(map(_pack, wide)), "seen": None}
+    return {"bucket": bucket, "kind": kind, "keys": [_pack(c) for c in cols], "counts": _pack(wide.ravel()), "seen": None}
 
 
 def _counts(data: bytes, wide: int) -> np.ndarray:
-    n = len(data) // wide
-    return np.stack([_unpack(data[i * n : (i + 1) * n], "<u4") for i in range(wide)], axis=1).astype(np.int64)
+    return _unpack(data, "<u4").reshape(wide, -1).T.astype(np.int64)
 
 
 def _gathered(blocks: Iterator[list[np.ndarray]], cut: Callable[[list[np.ndarray]], list[int]]) -> Iterator[pa.RecordBatch]:
