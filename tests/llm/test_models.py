@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from storyscale.llm import decontamination, lm, simhash, toxicity
+from storyscale.llm.common import ready
+from storyscale.llm.words import ALNUM, words
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -43,6 +45,55 @@ def test_toxicity_finds_the_sentence(spark):
         assert [s["start"] for s in r["offending"]] == ([75] if r["predicted"] else [])
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    """Noisy-or over the sentences by dictionaries and products, from the model's weights of words and stems."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = ready(spark).read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    weight = dict(zip(model.hashes.tolist(), model.weights.tolist()))
+
+    def keys(word):
+        buf = np.frombuffer(word, np.uint8)
+        w = words(buf, np.array([0, len(buf)]), ALNUM, toxicity.STEM)
+        return {int(w.hash[0])} | ({int(w.prefix[0])} if w.prefix[0] else set())
+
+    for r in toxicity.score(docs, model).limit(60).collect():
+        fold = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" else c for c in r["text"] or "")
+        clean, n = 1.0, 0
+        for part in re.split(r"[.!?\n]", fold):
+            found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", part)
+            if found:
+                n += 1
+                z = model.bias + sum(weight.get(k, 0.0) for k in set().union(*(keys(w.encode()) for w in found)))
+                clean /= 1 + math.exp(z)
+        odds = math.log(max(1 / clean - 1, 1e-12))
+        want = 1 / (1 + math.exp(-(model.scale * min(max(odds, -12), 12) + model.shift)))
+        assert r["n_sentences"] == n and math.isclose(r["score"], want, rel_tol=1e-6), r["doc_id"]
+
+
+def test_toxicity_gradient_by_differences():
+    r = np.random.default_rng(2)
+    n_sent, y = 40, np.array([1, 0, 1, 0, 0, 1.0])
+    text = np.sort(r.integers(0, 6, n_sent))
+    pairs = np.unique(r.integers(0, n_sent * 9, 150))
+    sent, word, w, b, weight = pairs // 9, pairs % 9, r.random(9), -2.0, r.random(6)
+    at = lambda w, b: toxicity.loss(w, b, word, sent, text, y, weight, n_sent)
+    _, dw, db = at(w, b)
+    e = 1e-6
+    for i in range(9):
+        step = e * (np.arange(9) == i)
+        assert math.isclose((at(w + step, b)[0] - at(w - step, b)[0]) / (2 * e), dw[i], rel_tol=1e-5, abs_tol=1e-8)
+    assert math.isclose((at(w, b + e)[0] - at(w, b - e)[0]) / (2 * e), db, rel_tol=1e-5)
+
+
+def test_toxicity_fit_is_the_same_for_texts_of_one_id(spark):
+    rows = [(i, f"you dread fool {i % 7} {k}" if i % 2 else f"you kind friend {i % 5} {k}") for i in range(300) for k in (0, 1)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (toxicity.train(x, labels) for x in (df.repartition(3), df.orderBy(F.desc("text")).repartition(5)))
+    assert np.array_equal(one.hashes, two.hashes) and np.allclose(one.weights, two.weights)
+
+
 def test_toxicity_takes_awkward_tables(spark, awkward, nothing, docs):
     labels = spark.createDataFrame([(1, 1), (2, 0), (5, 1), (5, 0), (6, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(awkward, labels)
