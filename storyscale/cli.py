@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyscale.functions import text
-from storyscale.functions.lexicon import STORY_DIMENSIONS
+from storyscale.functions.lexicon import DIMENSIONS, STORY_DIMENSIONS
 from storyscale.operators import errors, judge, objective, pairs, profile, prompts, rollup
-from storyscale.plans import report
+from storyscale.plans import judged, report
 from storyscale.sources import io, judges
 from storyscale.sources.lexicon import read_lexicon
+from storyscale.sources.shared import stored, work_dir
 
 KEYS = ("model", "prompt_id", "generation_id", "seed")
 
@@ -43,20 +44,25 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     for name, df in views.items():
         io.export_csv(df, f"{a.to}/{name}.csv")
     print(report.console(rollup.summarize(rows, "model").orderBy("model"), "Summary by model"))
+    print(report.console(rollup.summarize(rows, "model", "prompt_id").orderBy("model", "prompt_id"), "Summary by model and prompt"))
+    print(report.console(pairs.means(pairs.paired_comparison(rows)), "Mean differences of pairs"))
     rows.unpersist()
 
 
 def judge_stories(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Judge scores of generated stories, resumable through a Parquet log."""
+    """A judged run: objective rows, judge scores of stories and groups (resumable through Parquet logs), summaries, failures."""
     df = io.read_outputs(spark, a.outputs)
-    if a.limit:
-        df = df.orderBy("row_ord").limit(a.limit)
     io.load_env(a.env, os.environ)
-    who = judges.recorded() if a.provider == "recorded" else judges.resolve(a.provider, a.model)
-    asked = df.withColumn("messages", judge.story_messages(F.col("target_phonics"), F.col("prompt"), F.col("story")))
-    replies = judge.judge_with_log(spark, asked, who, a.log, KEYS, pause=a.pause)
-    scored = judge.validate(df.join(replies, list(KEYS), "left"), "response", STORY_DIMENSIONS)
-    io.export_csv(scored.orderBy("row_ord"), f"{a.to}/judge_rows.csv", [*KEYS, *[f"{d}_{k}" for d in STORY_DIMENSIONS for k in ("score", "justification")], "error"])
+    dims = DIMENSIONS if a.legacy else STORY_DIMENSIONS
+    who = judges.recorded(dims=(*dims, *judge.CONSISTENCY)) if a.provider == "recorded" else judges.resolve(a.provider, a.model)
+    rows = stored(objective.scored(_checked_targets(df), read_lexicon(spark, a.lexicon)), work_dir(spark, "scored"))
+    out = stored(judged.judged_rows(spark, rows, who, a.log, a.pause, a.limit, dims), work_dir(spark, "judged"))
+    if a.legacy:
+        out = out.withColumn("subjective_total", judge.subjective_total(dims))
+        out.write.mode("overwrite").parquet(f"{a.to}/scored_rows.parquet")
+        io.export_csv(out.orderBy("row_ord"), f"{a.to}/judge_rows.csv", [*KEYS, *[f"{d}_{k}" for d in dims for k in ("score", "justification")], "subjective_total"])
+    else:
+        judged.write_run(out, a.to)
 
 
 def error_analysis(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -101,9 +107,11 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--provider", default="recorded")
             c.add_argument("--model")
             c.add_argument("--limit", type=int)
-            c.add_argument("--log", default="judge_log.parquet")
+            c.add_argument("--log", default="judge_log")
             c.add_argument("--env", default=".env")
             c.add_argument("--pause", type=float, default=0.2)
+            c.add_argument("--lexicon")
+            c.add_argument("--legacy", action="store_true", help="five dimensions, as the errors command reads them")
     a = p.parse_args(argv)
     try:
         a.run(SparkSession.builder.appName("storyscale").getOrCreate(), a)

@@ -6,13 +6,15 @@ outside judge goes through ``mapInPandas``; the judge is any callable of message
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from storyscale.functions import rubrics
 from storyscale.functions.lexicon import DIMENSIONS, STORY_DIMENSIONS
 from storyscale.functions.text import strip
 
@@ -80,21 +82,36 @@ def present(df: DataFrame, column: str) -> DataFrame:
 
 # -- messages: the judge never sees the model's name ----------------------------------------------
 
-_ROLE = "You judge short decodable stories for early readers. Judge only the story against the requested patterns. Answer with JSON alone."
+_ROLE = "You evaluate decodable stories for early readers against the requested patterns and the behavior specification alone. Nothing tells which model wrote a story; do not infer it. Answer with JSON alone, of the keys shown and no others."
 
 
 def _schema(dims: tuple[str, ...]) -> str:
     return "{" + ", ".join(f'"{d}": {{"score": 0, "justification": "..."}}' for d in dims) + "}"
 
 
+def _asked(dims: tuple[str, ...]) -> str:
+    """The scales of the dimensions and the shape of the answer."""
+    scales = "\n".join(f"- {d}: {rubrics.SCALES[d]}" for d in dims)
+    return f"\n\nScore each dimension as a whole number from 0 to 2, with one short sentence of justification:\n{scales}\n\nReturn JSON exactly like:\n{_schema(dims)}"
+
+
 def _message(*parts: Column) -> Column:
     return F.array(F.struct(F.lit("system").alias("role"), F.lit(_ROLE).alias("content")), F.struct(F.lit("user").alias("role"), F.concat(*parts).alias("content")))
 
 
+#: What stands before the story in the messages of either kind of judgement, by its dimensions.
+SPECIFIED = {STORY_DIMENSIONS: rubrics.STORY_BEHAVIOR, DIMENSIONS: f"Behavior specification:\n{rubrics.BEHAVIOR}\n\n{rubrics.HIERARCHY}\n\n{rubrics.PRIORITIES}"}
+
+
+def story_parts(dims: tuple[str, ...] = STORY_DIMENSIONS) -> tuple[str, str, str, str]:
+    """The fixed text of a story's user message: before the targets, the prompt and the story, and behind it."""
+    return f"{SPECIFIED[dims]}\n\nTarget phonics: ", "\n\nGeneration prompt (context only):\n", "\n\nStory to evaluate:\n", _asked(dims)
+
+
 def story_messages(target: Column, prompt: Column, story: Column, dims: tuple[str, ...] = STORY_DIMENSIONS) -> Column:
     """Chat messages that ask for a score of 0 to 2 and one sentence in each dimension."""
-    lit = F.lit
-    return _message(lit("Target phonics: "), target, lit("\n\nGeneration prompt:\n"), prompt, lit("\n\nStory:\n"), story, lit(f"\n\nScore each of {', '.join(dims)} from 0 to 2 with one short sentence. Return JSON like:\n{_schema(dims)}"))
+    a, b, c, d = map(F.lit, story_parts(dims))
+    return _message(a, target, b, prompt, c, story, d)
 
 
 def legacy_messages(target: Column, prompt: Column, story: Column) -> Column:
@@ -104,7 +121,7 @@ def legacy_messages(target: Column, prompt: Column, story: Column) -> Column:
 def consistency_messages(df: DataFrame) -> DataFrame:
     """model, prompt_id and messages over all generations of a prompt, ordered by generation id as text.
 
-    A judge reads all of a group at once, so groups are small by nature.
+    A judge reads all of a group at once, so a group is bounded by what a judge can read.
     """
     part = F.concat(F.lit("[generation_id="), F.col("generation_id"), F.lit("]\n"), F.col("story"))
     groups = df.groupBy("model", "prompt_id").agg(
@@ -113,7 +130,8 @@ def consistency_messages(df: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("generation_id", "row_ord", part.alias("part")))).alias("parts"),
     )
     joined = F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n---\n\n")
-    return groups.select("model", "prompt_id", _message(F.lit("Target phonics: "), F.col("target_phonics"), F.lit("\n\nGeneration prompt:\n"), F.col("prompt"), F.lit("\n\nGenerations:\n\n"), joined, F.lit(f"\n\nScore consistency from 0 to 2. Return JSON like:\n{_schema(CONSISTENCY)}")).alias("messages"))
+    told = F.lit("\n\nGenerations for the same prompt by one model, to be judged for whether they are stably readable at the requested level:\n\n")
+    return groups.select("model", "prompt_id", _message(F.lit("Target phonics: "), F.col("target_phonics"), F.lit("\n\nGeneration prompt (context only):\n"), F.col("prompt"), told, joined, F.lit(_asked(CONSISTENCY))).alias("messages"))
 
 
 # -- scoring --------------------------------------------------------------------------------------
@@ -121,8 +139,26 @@ def consistency_messages(df: DataFrame) -> DataFrame:
 Judge = Callable[[list[dict]], str]
 
 
-def call(judge: Judge, messages: list[dict], accept: Callable[[str], bool], retries: int = 4, pause: float = 0.6, sleep: Callable[[float], None] = time.sleep) -> str:
-    """A response that ``accept`` takes; waits longer after each failure, and raises after the last."""
+def doubling(attempt: int) -> float:
+    """Seconds to wait after a failure: twice as long each time, 20 at most."""
+    return float(min(2**attempt, 20))
+
+
+def acceptable(dims: tuple[str, ...]) -> Callable[[str], bool]:
+    """Whether a response scores all dimensions, for asking again at once; ``validate`` decides what counts."""
+
+    def accept(text: str) -> bool:
+        try:
+            told = json.loads(text[text.index("{") : text.rindex("}") + 1])
+            return all(type(told[d]["score"]) in (int, float) and told[d]["score"] in (0, 1, 2) and str(told[d]["justification"]).strip() for d in dims)
+        except (ValueError, KeyError, TypeError):
+            return False
+
+    return accept
+
+
+def call(judge: Judge, messages: list[dict], accept: Callable[[str], bool], retries: int = 4, pause: float | Callable[[int], float] = 0.6, sleep: Callable[[float], None] = time.sleep) -> str:
+    """A response that ``accept`` takes; waits longer after each failure (pause seconds more each time, or as a function tells), and raises after the last."""
     for attempt in range(retries):
         try:
             if accept(out := judge(messages)):
@@ -130,18 +166,18 @@ def call(judge: Judge, messages: list[dict], accept: Callable[[str], bool], retr
             why = "rejected response"
         except Exception as e:  # the judge is an outside service
             why = repr(e)
-        sleep(pause * (attempt + 1))
+        sleep(pause(attempt) if callable(pause) else pause * (attempt + 1))
     raise RuntimeError(f"the judge failed {retries} times: {why}")
 
 
-def judge_rows(df: DataFrame, judge: Judge, accept: Callable[[str], bool] = bool, keys: tuple[str, ...] = ("model", "prompt_id", "generation_id", "seed"), pause: float = 0.2) -> DataFrame:
-    """keys and response of each row of ``df``, which has a column messages."""
+def judge_rows(df: DataFrame, judge: Judge, accept: Callable[[str], bool] = bool, keys: tuple[str, ...] = ("model", "prompt_id", "generation_id", "seed"), pause: float = 0.2, wait: float | Callable[[int], float] = 0.6) -> DataFrame:
+    """keys and response of each row of ``df``, which has a column messages. ``pause`` follows each response, ``wait`` each failure."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for m in f["messages"]:
-                out.append(call(judge, [dict(x.asDict() if hasattr(x, "asDict") else x) for x in m], accept))
+                out.append(call(judge, [dict(x.asDict() if hasattr(x, "asDict") else x) for x in m], accept, pause=wait))
                 time.sleep(pause)
             yield f[list(keys)].assign(response=out)
 
@@ -154,16 +190,31 @@ def resume_split(df: DataFrame, scored: DataFrame, keys: tuple[str, ...]) -> tup
     return df.join(done, list(keys), "left_semi"), df.join(done, list(keys), "left_anti")
 
 
-def judge_with_log(spark: SparkSession, df: DataFrame, judge: Judge, log: str, keys: tuple[str, ...] = ("model", "prompt_id", "generation_id", "seed"), accept: Callable[[str], bool] = bool, pause: float = 0.2) -> DataFrame:
-    """Responses of all rows. They are appended to a Parquet log, so a run that broke off goes on where it was."""
-    try:
-        scored = spark.read.parquet(log)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-            raise
-        scored = spark.createDataFrame([], ", ".join(f"{k} string" for k in keys) + ", response string")
-    _, todo = resume_split(df, scored, keys)
-    judge_rows(todo, judge, accept, keys, pause).write.mode("append").parquet(log)
+#: Rows that are asked about and committed to the log together: what a run that breaks off loses at most.
+ROUND = 64
+
+
+def judge_with_log(
+    spark: SparkSession, df: DataFrame, judge: Judge, log: str, keys: tuple[str, ...] = ("model", "prompt_id", "generation_id", "seed"), accept: Callable[[str], bool] = bool, pause: float = 0.2, limit: int | None = None, size: int = ROUND
+) -> DataFrame:
+    """The log of responses, one for each key, after asking about rows that it lacks (``limit`` of them at most, in input order).
+
+    Rows are asked about in rounds of ``size``; each round is appended to the Parquet log when it is
+    done, so a run that breaks off loses at most the round it was in and goes on behind it.
+    """
+    spark.createDataFrame([], ", ".join(f"{k} string" for k in keys) + ", response string").write.mode("ignore").parquet(log)
+    first = [F.col("row_ord")] if "row_ord" in df.columns else []
+    todo = df.select(*keys, "messages", *first).withColumn("__turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*(first or [F.lit(1)])))).where("__turn = 1")  # a key is asked about once
+    while limit is None or limit > 0:
+        before = spark.read.parquet(log)
+        n = before.count()
+        _, left = resume_split(todo, before, keys)
+        asked = left.orderBy(*first, *keys).limit(size if limit is None else min(size, limit))
+        judge_rows(asked, judge, accept, keys, pause).coalesce(1).write.mode("append").parquet(log)
+        done = spark.read.parquet(log).count() - n
+        if not done:
+            break
+        limit = None if limit is None else limit - done
     return spark.read.parquet(log)
 
 

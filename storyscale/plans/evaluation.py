@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,9 +186,9 @@ _OBJECT = f"CASE WHEN {_FENCE} <> '' THEN {_FENCE} WHEN position('{{' IN t) > 0
 _NUMERIC = "('BIGINT', 'UBIGINT', 'DOUBLE')"
 
 
-def _reject() -> str:
+def _reject(dims=STORY_DIMENSIONS) -> str:
     out = "CASE WHEN t = '' THEN 'empty response' WHEN obj IS NULL THEN 'no object' WHEN NOT json_valid(obj) THEN 'invalid JSON'"
-    for d in STORY_DIMENSIONS:
+    for d in dims:
         kind = lambda p: f"json_type(obj, '$.{d}{p}')"
         value = lambda p: f"json_extract_string(obj, '$.{d}{p}')"
         out += f" WHEN {kind('')} IS NULL THEN '{d}: missing' WHEN {kind('')} <> 'OBJECT' THEN '{d}: not an object' WHEN {kind('.score')} IS NULL OR {kind('.justification')} IS NULL THEN '{d}: missing field'"
@@ -194,11 +196,25 @@ def _reject() -> str:
     return out + " END"
 
 
-_PARSED = f"parsed AS (SELECT *, {_reject()} AS error FROM (SELECT id, t, {_OBJECT} AS obj FROM (SELECT id, {O.strip('coalesce(payload, chr(32))')} AS t FROM (VALUES {quoted(PAYLOADS)}) v(id, payload))))"
+def _parsed(payloads, dims=STORY_DIMENSIONS) -> str:
+    return f"parsed AS (SELECT *, {_reject(dims)} AS error FROM (SELECT id, t, {_OBJECT} AS obj FROM (SELECT id, {O.strip('coalesce(payload, chr(32))')} AS t FROM (VALUES {quoted(payloads)}) v(id, payload))))"
+
+
+_PARSED = _parsed(PAYLOADS)
 _SPLIT = r"regexp_replace({}, '([.!?])\s+.*$', '\1')"
 
 
-@query(O.query("SELECT id, " + ", ".join(f"CASE WHEN error IS NULL THEN CAST(CAST(json_extract_string(obj, '$.{d}.score') AS DOUBLE) AS INT) END AS {d}_score, CASE WHEN error IS NULL THEN {_SPLIT.format(O.strip(f'''json_extract_string(obj, '$.{d}.justification')'''))} END AS {d}_justification" for d in STORY_DIMENSIONS) + " FROM parsed", _PARSED))
+def _accepted(d: str) -> tuple[str, str]:
+    """Score and first sentence of a dimension of an accepted payload."""
+    said = _SPLIT.format(O.strip(f"json_extract_string(obj, '$.{d}.justification')"))
+    return f"CAST(CAST(json_extract_string(obj, '$.{d}.score') AS DOUBLE) AS INT)", said
+
+
+def _parse_sql(dims) -> str:
+    return "SELECT id, " + ", ".join(f"CASE WHEN error IS NULL THEN {v} END AS {d}_{k}" for d in dims for k, v in zip(("score", "justification"), _accepted(d))) + " FROM parsed"
+
+
+@query(O.query(_parse_sql(STORY_DIMENSIONS), _PARSED))
 def judge_parse(spark, sf_dir):
     """Scores and first sentences of judge payloads, null where one is rejected."""
     df = judge.validate(values(spark, "id payload", PAYLOADS), "payload", STORY_DIMENSIONS)
@@ -211,13 +227,38 @@ def judge_reject_reasons(spark, sf_dir):
     return judge.present(judge.validate(values(spark, "id payload", PAYLOADS), "payload", STORY_DIMENSIONS).select("id", "error"), "error")
 
 
-@query()
+#: Payloads of the five dimensions and of consistency: good ones, and each dimension missing, out of range, blank or of another kind.
+FIVE = [("good", json.dumps({d: {"score": i % 3, "justification": f"{d} told. More."} for i, d in enumerate(DIMENSIONS)}))]
+FIVE += [(f"{d} {n}", json.dumps({k: v for k, v in (json.loads(FIVE[0][1]) | {d: bad}).items() if v is not None})) for d in DIMENSIONS for n, bad in (("missing", None), ("high", {"score": 3, "justification": "x"}), ("true", {"score": True, "justification": "x"}), ("blank", {"score": 1, "justification": " "}), ("list", [1]))]
+ONE = [("good", '{"consistency": {"score": 2, "justification": "Same level. All three."}}'), ("half", '{"consistency": {"score": 0.5, "justification": "x"}}'), ("other", '{"robustness": {"score": 1, "justification": "x"}}'), ("told", 'As JSON: {"consistency": {"score": 0, "justification": "Swings!"}}'), ("null", None)]
+
+
+@query(O.query(_parse_sql(DIMENSIONS).replace(" FROM parsed", ", error FROM parsed"), _parsed(FIVE, DIMENSIONS)))
+def judge_parse_five(spark, sf_dir):
+    """Payloads of the five dimensions."""
+    df = judge.validate(values(spark, "id payload", FIVE), "payload", DIMENSIONS)
+    return df.select("id", *[f"{d}_{k}" for d in DIMENSIONS for k in ("score", "justification")], "error")
+
+
+@query(O.query(_parse_sql(judge.CONSISTENCY).replace(" FROM parsed", ", error FROM parsed"), _parsed(ONE, judge.CONSISTENCY)))
+def judge_parse_consistency(spark, sf_dir):
+    """Payloads of a group's consistency."""
+    return judge.validate(values(spark, "id payload", ONE), "payload", judge.CONSISTENCY).select("id", "consistency_score", "consistency_justification", "error")
+
+
+_JSON = "{" + ", ".join(f"'{d}': {{'score': {v}, 'justification': {t}}}" for d in STORY_DIMENSIONS for v, t in (_accepted(d),)) + "}"
+
+
+@query(O.query(f"SELECT id, CAST(to_json({_JSON}) AS VARCHAR) AS raw_json FROM parsed WHERE error IS NULL", _PARSED))
 def judge_canonical_json(spark, sf_dir):
     """Accepted payloads written anew."""
     return judge.present(judge.validate(values(spark, "id payload", PAYLOADS), "payload", STORY_DIMENSIONS).select("id", "raw_json"), "raw_json")
 
 
-@query()
+_TEXT = judge.story_parts()
+
+
+@query(O.query(f"SELECT row_ord, {_q(_TEXT[0])} || target_phonics || {_q(_TEXT[1])} || 'Write a decodable story: ' || target_phonics || {_q(_TEXT[2])} || story || {_q(_TEXT[3])} AS content FROM stories", O.STORIES))
 def judge_messages(spark, sf_dir):
     """Chat messages for each story, without its model."""
     df = stories(spark, sf_dir)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from storyscale.functions.text import truncate
 from storyscale.operators import errors
 
 
@@ -15,18 +17,18 @@ def percent(x: float | None) -> str:
     return "n/a" if x is None else f"{100.0 * x:.1f}%"
 
 
-def markdown(df: DataFrame, columns: list[str] | None = None, most: int = 200) -> str:
-    """A markdown table of at most ``most`` rows."""
+def markdown(df: DataFrame, columns: list[str] | None = None) -> str:
+    """A markdown table of all rows."""
     names = columns or df.columns
-    rows = df.select(*names).limit(most).collect()
+    rows = df.select(*names).toLocalIterator()
     clean = lambda x: cell(x).replace("|", "\\|").replace("\n", " ")
     return "\n".join(["| " + " | ".join(names) + " |", "|" + "---|" * len(names), *("| " + " | ".join(map(clean, r)) + " |" for r in rows)])
 
 
-def console(df: DataFrame, title: str, columns: list[str] | None = None, most: int = 200) -> str:
+def console(df: DataFrame, title: str, columns: list[str] | None = None) -> str:
     """A table of left-justified columns as wide as their longest cell."""
     names = columns or df.columns
-    rows = [[cell(x) for x in r] for r in df.select(*names).limit(most).collect()]
+    rows = [[cell(x) for x in r] for r in df.select(*names).toLocalIterator()]
     if not rows:
         return f"{title}\n{'-' * len(title)}\n(no rows)\n"
     widths = [max(len(n), *(len(r[i]) for r in rows)) for i, n in enumerate(names)]
@@ -34,6 +36,21 @@ def console(df: DataFrame, title: str, columns: list[str] | None = None, most: i
     return "\n".join([title, "-" * len(title), line(names), line(["-" * w for w in widths]), *map(line, rows), ""])
 
 
+def _bodies(df: DataFrame, examples: DataFrame) -> str:
+    """Each example with its figures, likely cause and the start of its tuned story, by category and rank."""
+    story = df.select(F.col("row_ord").alias("__row"), truncate(F.col("story"), 400).alias("story")) if "story" in df.columns else df.select(F.col("row_ord").alias("__row"), F.lit("").alias("story"))
+    found = story.join(F.broadcast(examples), F.col("__row") == F.col("tuned.row_ord"))  # examples: a few of each category
+    out = []
+    for r in found.orderBy("category", "rank").toLocalIterator():
+        b, t = r["base"], r["tuned"]
+        out.append(
+            f"### {r['category']} #{r['rank']}: {' / '.join(str(r[k]) for k in errors.KEYS)}\n\n{r['notes']} Likely cause: {r['likely_cause']}.\n\n"
+            f"Compliance {cell(b['decodability_compliance'])} to {cell(t['decodability_compliance'])} ({cell(r['compliance_delta'])}), above level {percent(t['above_level_rate'])}, target satisfaction {percent(t['target_satisfaction_rate'])}, {t['word_count']} words.\n\n"
+            + "\n".join(f"> {line}" for line in (r["story"] or "").split("\n"))
+        )
+    return "\n\n".join(out)
+
+
 def error_report(df: DataFrame) -> str:
     """The failure report of judged rows: gains, failures, difficulty, concentration, causes."""
     df = df.persist()
@@ -47,6 +64,7 @@ def error_report(df: DataFrame) -> str:
         ("Prompt difficulty", markdown(errors.prompt_stats(df).orderBy("rank"))),
         ("Concentration", markdown(table)),
         ("Conditions harder than average", markdown(errors.verdicts(table))),
+        ("Examples", _bodies(df, examples)),
         ("Likely causes", markdown(errors.cause_tally(examples).orderBy("n", ascending=False))),
     ]
     for x in (df, pairs, examples, table):

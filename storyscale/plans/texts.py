@@ -89,7 +89,10 @@ def story_profile(spark, sf_dir):
     return profile.story_profile(stories(spark, sf_dir)).select(*_PROFILE_COLUMNS)
 
 
-@query()
+_FLAGGED = f"SELECT row_ord, word, {{'word': word, 'count': freq, 'patterns': {O.PATTERN_LIST}, 'notes': {O.NOTES}}} AS w FROM staged"
+
+
+@query(O.query(f"SELECT s.row_ord, CASE WHEN count(word) = 0 THEN '[]' ELSE CAST(to_json(list(w ORDER BY word)) AS VARCHAR) END AS flagged_words_json FROM stories s LEFT JOIN ({_FLAGGED}) f USING (row_ord) GROUP BY s.row_ord", *O.TO_STAGED))
 def story_profile_json(spark, sf_dir):
     """Words with notes of each story, as JSON."""
     return profile.story_profile(stories(spark, sf_dir)).select("row_ord", "flagged_words_json")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from storyscale import cli
 from storyscale.functions import numeric, patterns, text
 from storyscale.operators import judge, objective, pairs, profile, rollup
-from storyscale.plans import evaluation, report
+from storyscale.plans import judged, evaluation, report
 from storyscale.sources import io, judges
 from storyscale.sources.lexicon import read_lexicon
 from storyscale.sources.tables import stories, values
@@ -134,6 +134,57 @@ def test_judge_retries_log_and_merge(spark, tmp_path):
     assert len(groups) == 1 and groups[0]["messages"][1]["content"].count("[generation_id=") == 6
 
 
+def dying(at):
+    """A judge that breaks off at one story."""
+    answer = judges.recorded(1)
+
+    def judge_of(messages):
+        if f"story {at}" in messages[1]["content"]:
+            raise TimeoutError
+        return answer(messages)
+
+    return judge_of
+
+
+def test_judge_that_dies_loses_one_round(spark, tmp_path, monkeypatch):
+    df = values(spark, "model prompt_id generation_id seed target_phonics prompt story row_ord", [("base", "p", str(i), "1", "diphthongs", "do", f"story {i}", str(i)) for i in range(8)])
+    asked = df.withColumn("messages", judge.story_messages(F.col("target_phonics"), F.col("prompt"), F.col("story")))
+    log = str(tmp_path / "log")
+    with pytest.raises(Exception):
+        judge.judge_with_log(spark, asked, dying(5), log, pause=0, size=2)
+    assert spark.read.parquet(log).count() == 4  # two rounds are committed; only the third is lost
+    assert judge.judge_with_log(spark, asked, judges.recorded(2), log, pause=0, limit=1).count() == 5  # the limit counts what is left
+    out = judge.validate(judge.judge_with_log(spark, asked.union(asked), judges.recorded(2), log, pause=0, size=3), "response", judge.STORY_DIMENSIONS)
+    assert sorted(r["robustness_score"] for r in out.collect()) == [1, 1, 1, 1, 2, 2, 2, 2]
+
+
+def test_judge_back_off():
+    slept = []
+    with pytest.raises(RuntimeError):
+        judge.call(lambda m: "", [], bool, 6, judge.doubling, slept.append)
+    assert slept == [1, 2, 4, 8, 16, 20]
+    accept = judge.acceptable(("consistency",))
+    assert accept('x {"consistency": {"score": 1, "justification": "y"}}') and not accept('{"consistency": {"score": true, "justification": "y"}}') and not accept("none")
+
+
+def test_judged_run_writes_all_files(spark, sf, tmp_path):
+    rows = stories(spark, sf).where("row_ord < 50")
+    who = lambda m: json.dumps({d: {"score": len(m[1]["content"]) % 3, "justification": "Said."} for d in ("spec_adherence", "robustness", "task_quality", "consistency")})
+    out = judged.judged_rows(spark, objective.scored(rows), who, str(tmp_path / "log"), pause=0).persist()
+    judged.write_run(out, str(tmp_path / "r"))
+    read = lambda n: list(csv.DictReader((tmp_path / "r" / n).open(encoding="utf-8")))
+    assert len(list((tmp_path / "r").rglob("*.csv"))) == 10
+    scored = read("scored_outputs.csv")
+    assert len(scored) == 50 and all(r["spec_adherence_score"] and r["consistency_score"] for r in scored)
+    mean = {r["metric_key"]: r for r in read("evaluation_summary.csv")}["task_quality_score"]
+    for m in ("base", "tuned"):
+        got = [int(r["task_quality_score"]) for r in scored if r["model"] == m]
+        assert abs(float(mean[f"{m}_mean"]) - sum(got) / len(got)) < 1e-4
+    assert {r["failure_type"] for r in read("error_analysis.csv")} >= {"low_task_quality"}
+    again = judged.judged_rows(spark, objective.scored(rows), dying(""), str(tmp_path / "log"), pause=0)  # all is in the logs: nobody is asked
+    assert again.where("consistency_score is not null").count() == 50
+
+
 def test_chat_judges():
     m = [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}]
     assert judges.resolve(None, "m", {"OPENAI_API_KEY": "k"}).body(m)["messages"] == m
@@ -157,7 +208,9 @@ def test_command_line(spark, sf, tmp_path, capsys):
     assert len(list(csv.DictReader((tmp_path / "r/objective_rows.csv").open(encoding="utf-8")))) == 60
     assert "Summary by model" in capsys.readouterr().out
     assert cli.main(["evaluate", str(tmp_path / "outputs.csv"), "--to", str(tmp_path / "r"), "--matched"]) == 1
-    assert cli.main(["judge", str(tmp_path / "outputs.csv"), "--to", str(tmp_path / "r"), "--log", str(tmp_path / "log"), "--limit", "5", "--pause", "0"]) == 0
+    assert cli.main(["judge", str(tmp_path / "outputs.csv"), "--to", str(tmp_path / "five"), "--log", str(tmp_path / "log5"), "--pause", "0", "--legacy"]) == 0
+    assert cli.main(["errors", str(tmp_path / "five/scored_rows.parquet"), "--to", str(tmp_path / "five")]) == 0
+    assert "Likely cause:" in (tmp_path / "five/error_analysis.md").read_text()
     (tmp_path / "p.json").write_text(json.dumps([{"prompt_id": "a", "target_phonics": ["diphthongs"]}]))
     assert cli.main(["prompts", str(tmp_path / "p.json"), "--to", str(tmp_path / "r")]) == 0
     assert "coin, out, toy, cloud" in (tmp_path / "r/prompts_ready.json").read_text()
