@@ -238,6 +238,22 @@ def _bisect(have: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) ->
     return lo, (lo < end) & (have[np.minimum(lo, len(have) - 1)] == x)
 
 
+def _write_starts(name: str, starts: np.ndarray) -> None:
+    """Ascending numbers as two bytes each above every 256th; where that is too little, as eight."""
+    base = starts[::256]
+    above = starts - np.repeat(base, 256)[: len(starts)]
+    narrow = above.max(initial=0) < 1 << 16
+    write_file(f"{name}b", [base.astype("<u8") if narrow else base[:0]])
+    write_file(f"{name}s", [above.astype("<u2") if narrow else starts.astype("<u8")])
+
+
+def _starts(name: str, at: np.ndarray) -> np.ndarray:
+    base = map_array(f"{name}b", "<u8")
+    if len(base):
+        return base[at >> 8].astype(np.int64) + map_array(f"{name}s", "<u2")[at]
+    return map_array(f"{name}s", "<u8")[at].astype(np.int64)
+
+
 def _store(place: str, cols: list[np.ndarray], c: np.ndarray) -> np.ndarray:
     """Write sorted rows as levels of arrays, each but the last with the starts of its parts in the next; starts of the last level's parts."""
     starts = np.arange(len(c))
@@ -245,7 +261,7 @@ def _store(place: str, cols: list[np.ndarray], c: np.ndarray) -> np.ndarray:
         first = _changes(cols[: level + 1])
         write_file(f"{place}.{level}", [cols[level][first]])
         if level < len(cols) - 1:
-            write_file(f"{place}.{level}s", [np.append(np.searchsorted(starts, first), len(starts)).astype("<u4")])
+            _write_starts(f"{place}.{level}", np.append(np.searchsorted(starts, first), len(starts)))
             if level == len(cols) - 2:
                 last = first
         starts = first
@@ -264,9 +280,8 @@ def _places(model: Model, place: str, cols: list[np.ndarray]) -> tuple[np.ndarra
         lo, found = _bisect(map_array(f"{place}.{level}", model.kind), lo, hi, x)
         there &= found
         if level < len(cols) - 1:
-            starts = map_array(f"{place}.{level}s", "<u4")
             at = np.where(there, lo, 0)
-            lo, hi = np.where(there, starts[at], 0), np.where(there, starts[at + 1], 0)
+            lo, hi = (np.where(there, _starts(f"{place}.{level}", at + i), 0) for i in (0, 1))
     return lo, there
 
 
@@ -310,8 +325,8 @@ def _histories(model: Model, cols: list[np.ndarray]) -> np.ndarray:
             rows, at = bounds[b] + np.flatnonzero(there), at[there]
             if not len(at):
                 continue
-            starts = map_array(f"{place}.1s", "<u4")
-            lo, n = starts[at].astype(np.int64), starts[at + 1].astype(np.int64) - starts[at]
+            lo = _starts(f"{place}.1", at)
+            n = _starts(f"{place}.1", at + 1) - lo
             large = n > _LARGE
             if large.any():
                 stored = map_array(f"{place}.large", "<u8").reshape(5, -1)

@@ -154,6 +154,13 @@ def test_lm(spark, docs, awkward, wide):
     assert len(model.edges[0]) > 4 and model.split
 
 
+@pytest.mark.parametrize("most", [3, 3000])
+def test_lm_starts(tmp_path, most):
+    starts = np.cumsum(np.random.default_rng(1).integers(1, most, 1000))
+    lm._write_starts(f"{tmp_path}/x.{most}", starts)
+    assert np.array_equal(lm._starts(f"{tmp_path}/x.{most}", np.arange(1000)), starts)
+
+
 def test_lm_without_rows(docs, nothing):
     model = lm.train(nothing)
     assert lm.score(nothing, model).count() == 0
