@@ -203,12 +203,12 @@ def read(spark: SparkSession, path: str, files: list[tuple[int, int, int]], id_c
         for b in batches:
             for name, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 r = Reader(name)
-                bounds = r.bounds.values()
                 for i in range(0, r.n, 512):
                     j = min(i + 512, r.n)
-                    ids = [r.ids[x:y].astype("<u4").tobytes() for x, y in zip(bounds[i:j].tolist(), bounds[i + 1 : j + 1].tolist())]
+                    bounds = [r.bounds.select(k) for k in range(i, j + 1)]  # of these documents alone
+                    ids = [r.ids[x:y].astype("<u4").tobytes() for x, y in zip(bounds, bounds[1:])]
                     doc_ids = pa.array(r.doc_ids[i:j], mask=np.arange(i, j) < r.nulls)
-                    yield pa.RecordBatch.from_arrays([doc_ids, pa.array(first + bounds[i:j], pa.int64()), pa.array(np.diff(bounds[i : j + 1]), pa.int64()), pa.array(ids, pa.binary())], ["id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([doc_ids, pa.array([first + x for x in bounds[:-1]], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(ids, pa.binary())], ["id", "start", "n_tokens", "ids"])
 
     listed = spark.createDataFrame(rows, "name string, first long")
     if rows:
