@@ -1,20 +1,26 @@
 """Token ids in files with Elias-Fano coded document boundaries.
 
-Documents lie in ascending id order over a row of files. A file holds the concatenated ids, the
-document ids, and its document boundaries in Elias-Fano code: of each boundary the lower bits in a
-packed array, the upper bits in unary in a bit vector of about two bits a document, with samples of
-the positions of its ones. ``select`` finds one boundary from a sample and a few words, so no table
-of 64-bit offsets is kept or read.
+Documents lie in ascending id order over a row of files. A file holds the concatenated ids, and in
+Elias-Fano code its document boundaries and its document ids (above the first one): of each value
+the lower bits in a packed array, the upper bits in unary in a bit vector of about two bits a
+document, with samples of the positions of its ones. ``select`` finds one value from a sample and a
+few words, ``selects`` a run of neighbours, so no table of 64-bit offsets or ids is kept or read.
 
 The files are written into the shared folder, each in one step under a name of its own, so a task
-that is run again writes the same file. Null ids come first, rows of one id in the order of their
-token ids; a null text is empty and holds the end id alone; an empty table gives no file and no row.
+that is run again writes the same file. Null ids come first; rows of one id, or of none, that are
+more than a file holds are spread over several. Within a file they lie in the order of their token
+ids. Ids are whole numbers of up to 64 bits, also negative; text ids must be cast first, which
+write() asks for. A null text is empty and holds the end id alone; very long texts are encoded as
+batches of their own; further columns are not read, whatever their names; an empty table gives no
+file and no row.
 """
 
 from __future__ import annotations
 
 import struct
 import uuid
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyscale.llm.common import _place, map_array, work_dir
 from storyscale.llm.tokenizing import batches_of, encoder, vocabulary
@@ -31,8 +38,9 @@ END = 2
 #: Documents for a file, and files at most; above them files grow.
 DOCS_PER_FILE = 8192
 FILES = 65_536
-MAGIC = b"TOKIDS01"
-_HEADER = struct.Struct("<8sBBxxxxxxQQQQQQ")  # magic, bytes an id, low bits; documents, ids, null ids, words of low and high, samples
+MAGIC = b"TOKIDS02"
+#: Magic, bytes an id, low bits of boundaries and document ids; documents, ids, null ids, first document id; words of low and high and samples of both.
+_HEADER = struct.Struct("<8sBBBxxxxxQQQq6Q")
 SAMPLE = 256
 
 
@@ -84,11 +92,21 @@ class EliasFano(NamedTuple):
         position = (word << 6) + (bits & -bits).bit_length() - 1
         return (position - i << self.width) | int(self._low(np.array([i]))[0])
 
-    def values(self) -> np.ndarray:
-        """All values."""
-        ones = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
-        i = np.arange(self.n)
-        return (ones - i << self.width) | self._low(i)
+    def selects(self, first: int, last: int) -> np.ndarray:
+        """Values first to last (exclusive): only the words between the samples around them are read."""
+        if first >= last:
+            return np.zeros(0, np.int64)
+        k, end = first // SAMPLE, -(-last // SAMPLE)
+        a = int(self.samples[k]) >> 6
+        b = (int(self.samples[end]) >> 6) + 1 if end < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high[a:b]).view(np.uint8), bitorder="little")) + (a << 6)
+        skip = int(np.searchsorted(ones, int(self.samples[k]))) + first - k * SAMPLE
+        i = np.arange(first, last)
+        return (ones[skip : skip + last - first] - i << self.width) | self._low(i)
+
+    @property
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.low, self.high, self.samples
 
 
 def _words(bits: np.ndarray) -> np.ndarray:
@@ -101,18 +119,24 @@ class Reader:
 
     def __init__(self, path: str):
         data = map_array(path, "u1")
-        magic, size, width, n, total, self.nulls, low, high, samples = _HEADER.unpack(data[-_HEADER.size :].tobytes())
+        magic, size, width, id_width, n, total, self.nulls, self.first_id, *words = _HEADER.unpack(data[-_HEADER.size :].tobytes())
         if magic != MAGIC:
             raise ValueError(f"{path} isn't a file of token ids")
         self.n, self.total = n, total
         parts, end = [], len(data) - _HEADER.size
-        for count in (samples, high, low, n):
-            parts.append(data[end - 8 * count : end].view(np.uint64) if count else np.zeros(0, np.uint64))
+        for count in reversed(words):
+            parts.insert(0, data[end - 8 * count : end].view(np.uint64) if count else np.zeros(0, np.uint64))
             end -= 8 * count
-        self.bounds = EliasFano(n + 1, width, parts[2], parts[1], parts[0])
-        self.doc_ids = parts[3].view(np.int64)
+        self.bounds = EliasFano(n + 1, width, *parts[:3])
+        self.above = EliasFano(n - self.nulls, id_width, *parts[3:])  #: document ids that aren't null, less the first
         self.ids = data[: total * size].view(f"<u{size}")
 
+    def doc_ids(self, first: int, last: int) -> pa.Array:
+        """Document ids first to last (exclusive); the null ones come first."""
+        nulls = min(max(self.nulls - first, 0), last - first)
+        ids = self.above.selects(first + nulls - self.nulls, last - self.nulls) + self.first_id  # 64-bit, wrapping
+        return pa.array(np.concatenate([np.zeros(nulls, np.int64), ids]), pa.int64(), mask=np.arange(last - first) < nulls)
+
     def document(self, i: int) -> np.ndarray:
         """The ids of document i, found by two selects."""
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
@@ -123,47 +147,64 @@ def _write(path: str, docs: Iterator[tuple[int | None, bytes]], size: int) -> tu
     fs, place = _place(path)
     fs.create_dir(place.rpartition("/")[0], recursive=True)
     tmp = f"{place}.{uuid.uuid4().hex}.tmp"
-    bounds, doc_ids, nulls, waiting = [0], [], 0, []
+    bounds, doc_ids, nulls = [0], [], 0
     with fs.open_output_stream(tmp) as f:
         for doc_id, ids in docs:
             f.write(ids)
             bounds.append(bounds[-1] + len(ids) // size)
-            nulls += doc_id is None
-            doc_ids.append(doc_id or 0)
+            if doc_id is None:
+                nulls += 1
+            else:
+                doc_ids.append(doc_id)
         f.write(bytes(-bounds[-1] * size % 8))
-        ef = EliasFano.build(np.array(bounds))
-        for part in (np.array(doc_ids, np.int64), ef.low, ef.high, ef.samples):
+        first = doc_ids[0] if doc_ids else 0
+        ends, above = EliasFano.build(np.array(bounds)), EliasFano.build(np.array([i - first for i in doc_ids], np.uint64))
+        parts = [*ends.parts, *above.parts]
+        for part in parts:
             f.write(part.tobytes())
-        f.write(_HEADER.pack(MAGIC, size, ef.width, len(doc_ids), bounds[-1], nulls, len(ef.low), len(ef.high), len(ef.samples)))
+        f.write(_HEADER.pack(MAGIC, size, ends.width, above.width, nulls + len(doc_ids), bounds[-1], nulls, first, *map(len, parts)))
     fs.move(tmp, place)
-    return len(doc_ids), bounds[-1]
+    return nulls + len(doc_ids), bounds[-1]
 
 
 def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json") -> list[tuple[int, int, int]]:
     """Write the token files; returns (file, documents, ids) of each, in order.
 
     Files take ranges of ids between quantiles of the id column, which a pass over that column
-    alone gives; texts are encoded once, before the shuffle, to ids of two bytes.
+    alone gives; an id that is k quantiles is spread over the k files that end with it, null ids
+    over files of their own in front. Texts are encoded once, before the shuffle, to ids of two bytes.
     """
+    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers")
     enc = encoder(vocabulary(tokenizer), "word", "<u2")
     size = 2 if max(enc.tokenizer.get_vocab_size(with_added_tokens=True), END + 1) <= 1 << 16 else 4
-    rows = df.select(F.count(F.lit(1))).first()[0]
-    files = min(-(-rows // DOCS_PER_FILE), FILES)
-    if not files:
+    rows, named = df.select(F.count(F.lit(1)), F.count(id_col)).first()
+    if not rows:
         return []
+    per = max(DOCS_PER_FILE, -(-rows // FILES))
+    of_null, of_ids = -(-(rows - named) // per), -(-named // per)
+    files = of_null + of_ids
     bounds: list[int] = []
-    if files > 1:
-        bounds = df.select(F.percentile_approx(F.col(id_col).cast("long"), [k / files for k in range(1, files)], F.lit(max(10_000, 10 * files)))).first()[0] or []
-    bounds = sorted(set(bounds))
+    if of_ids > 1:
+        bounds = sorted(df.select(F.percentile_approx(F.col(id_col).cast("long"), [k / of_ids for k in range(1, of_ids)], F.lit(max(10_000, 10 * of_ids)))).first()[0])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary(tokenizer), "word", f"<u{size}")
         end = np.array([END], f"<u{size}").tobytes()
         edges = np.array(bounds, np.int64)
+        met: Counter = Counter()  # rows of one text and one id that is spread: alike, so which of them goes where is the same whatever their order
         for b in batches:
             texts = b.column(1).fill_null("").to_pylist()
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-            file = np.where(b.column(0).is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edges, b.column(0).fill_null(0).to_numpy(zero_copy_only=False), "left"))
+            null, ids = b.column(0).is_null().to_numpy(zero_copy_only=False), b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            left = np.searchsorted(edges, ids, "left")
+            file = np.where(null, 0, left + of_null)
+            over = np.where(null, of_null, np.searchsorted(edges, ids, "right") - left)
+            for t in np.flatnonzero(over > 1).tolist():
+                mark = zlib.crc32(texts[t].encode())
+                key = (None if null[t] else int(ids[t]), mark, len(texts[t]))
+                file[t] += (mark + met[key]) % over[t]
+                met[key] += 1
             for i, j in batches_of(lengths):
                 ids = [x + end for x in enc.encode(texts[i:j])]
                 yield pa.RecordBatch.from_arrays([pa.array(file[i:j], pa.int32()), b.column(0)[i:j], pa.array(ids, pa.binary())], ["file", "id", "ids"])
@@ -205,10 +246,9 @@ def read(spark: SparkSession, path: str, files: list[tuple[int, int, int]], id_c
                 r = Reader(name)
                 for i in range(0, r.n, 512):
                     j = min(i + 512, r.n)
-                    bounds = [r.bounds.select(k) for k in range(i, j + 1)]  # of these documents alone
-                    ids = [r.ids[x:y].astype("<u4").tobytes() for x, y in zip(bounds, bounds[1:])]
-                    doc_ids = pa.array(r.doc_ids[i:j], mask=np.arange(i, j) < r.nulls)
-                    yield pa.RecordBatch.from_arrays([doc_ids, pa.array([first + x for x in bounds[:-1]], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(ids, pa.binary())], ["id", "start", "n_tokens", "ids"])
+                    bounds = r.bounds.selects(i, j + 1)  # of these documents alone
+                    ids = [r.ids[x:y].astype("<u4").tobytes() for x, y in zip(bounds.tolist(), bounds[1:].tolist())]
+                    yield pa.RecordBatch.from_arrays([r.doc_ids(i, j), pa.array(first + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(ids, pa.binary())], ["id", "start", "n_tokens", "ids"])
 
     listed = spark.createDataFrame(rows, "name string, first long")
     if rows:

@@ -88,7 +88,9 @@ def test_elias_fano_code():
     for _ in range(60):
         values = np.cumsum([r.choice([0, 1, 3, 500, 70_000]) for _ in range(r.randrange(1, 900))])
         ef = elias_fano.EliasFano.build(values)
-        assert ef.values().tolist() == values.tolist()
+        assert ef.selects(0, len(values)).tolist() == values.tolist()
+        a, b = sorted((r.randrange(len(values) + 1), r.randrange(len(values) + 1)))
+        assert ef.selects(a, b).tolist() == values[a:b].tolist()
         assert all(ef.select(i) == values[i] for i in r.sample(range(len(values)), min(50, len(values))))
         bits = 64 * (len(ef.low) + len(ef.high) + len(ef.samples))
         assert bits <= len(values) * (3 + max(1, int(values[-1]) // len(values)).bit_length()) + 256
@@ -112,6 +114,24 @@ def test_token_files_of_nothing(nothing):
     assert elias_fano.round_trip(nothing).count() == 0
 
 
+def test_token_files_of_hot_ids(spark, library, monkeypatch):
+    """Rows of one id and of none, alike or not, are spread over files and keep the order of ids."""
+    monkeypatch.setattr(elias_fano, "DOCS_PER_FILE", 50)
+    rows = [(7, "one text")] * 400 + [(7, f"text {i}") for i in range(300)] + [(None, None)] * 250 + [(i, f"word {i}") for i in range(-2, 300)] + [(2**63 - 1, "last"), (-(2**63), "first")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    path = elias_fano.work_dir(spark, "hot")
+    made = elias_fano.write(df, path)
+    assert sum(n for _, n, _ in made) == len(rows) and max(n for _, n, _ in made) < 200
+    got = sorted(elias_fano.read(spark, path, made).withColumn("crc", F.crc32("ids")).collect(), key=lambda r: r["start"])
+    order = [-(2**64) if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert order == sorted(order)
+    assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
+    encode = lambda t: zlib.crc32(np.array([*library["word_bpe_49k.json"].encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted((str(r["doc_id"]), r["crc"]) for r in got) == sorted((str(i), encode(t)) for i, t in rows)
+    with pytest.raises(TypeError):
+        elias_fano.write(df.withColumn("doc_id", F.col("doc_id").cast("string")), path)
+
+
 def test_edits_equal_encoding_anew():
     enc = encoder(vocabulary("byte_bpe_50k.json"), "byte", "<u4")
     r = random.Random(9)
