@@ -9,9 +9,10 @@ the added race beats the time its old path won with, and then it moves into the
 of subtrees whose weights stay as they were keep their places. The law is ``key``: the key and
 the number of shards decide.
 
-Null keys count as the empty key, equal keys share a shard, an empty table gives no rows, a null
-text has size 1. Input columns named like an output column give way to it. Only
-``id_col`` and ``text_col`` are read; further columns are kept, whatever their names.
+Null keys count as the empty key, equal keys share a shard, repeated rows have slots of their own,
+an empty table gives no rows, a null text has size 1, very long texts are hashed in their rows.
+Input columns named like an output column give way to it; further columns are kept, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyscale.llm.common import checkpointed, work_dir
+
+#: Places of the input that are numbered together: at most this many rows of one shard in a window.
+CHUNK = 16_384
+
 
 class Added(NamedTuple):
     """A shard added to a rack after the tree was laid out."""
@@ -89,29 +95,32 @@ def shard_of(key: Column, tree: Tree) -> Column:
     return out.cast("int")
 
 
-def shard(df: DataFrame, tree: Tree = SIXTEEN, grown: Tree | None = None, id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = 1024) -> DataFrame:
-    """``df`` with size, text_crc32, shard, slot and grown_shard.
+def shard(df: DataFrame, tree: Tree = SIXTEEN, grown: Tree | None = None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Columns ``carry`` of ``df`` (default: all) with size, text_crc32, law, shard, slot and grown_shard.
 
-    Slots count gaplessly from 0 in each shard. They come from blocks of keys: a first pass counts
-    the rows of each (shard, block), running sums of these few counts give each block its first
-    slot, and rows are numbered within their block, so no task sorts a whole shard. The blocks'
-    number follows the row count; their table is broadcast only if Spark finds it small.
+    Slots count gaplessly from 0 in each shard. The placed rows are stored once in the shared
+    folder with their places in the input, so that what follows sees the same places however often
+    a task is run again. Running sums over the counts of each (shard, ``chunk`` places) give the
+    chunks' first slots, and rows are numbered within their chunk. A chunk is a run of places, not
+    of keys, so no task numbers more than ``chunk`` rows at a time, whatever a key repeats.
     """
     spark = df.sparkSession
     grown = grown or tree.grow(0, 0)
-    n_blocks = max(1, df.select(F.count(F.lit(1))).first()[0] // (rows_per_block * tree.shards) + 1)
     key = F.col(id_col)
-    # size and crc stand below the shuffle, so a reader of the digest alone shuffles no text
-    placed = df.withColumns({
+    made = {
         "size": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1,
         "text_crc32": F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")),
+        "law": F.lit("key"),
         "shard": shard_of(key, tree),
         "grown_shard": shard_of(key, grown),
-        "__block": F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit("")), F.lit("block")), F.lit(n_blocks)).cast("int"),
-    })
-    counts = placed.groupBy("shard", "__block").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("shard", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    own = Window.partitionBy("shard", "__block").orderBy(F.col(id_col), F.col("text_crc32"))
+        "__place": F.monotonically_increasing_id(),
+    }
+    kept = [c for c in (df.columns if carry is None else carry) if c not in made and c != "slot"]
+    placed = checkpointed(df.select(*kept, *[c.alias(n) for n, c in made.items()]), work_dir(spark, "shards"))
+    placed = placed.withColumn("__chunk", F.expr(f"__place div {chunk}"))
+    counts = placed.groupBy("shard", "__chunk").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("shard").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("shard", "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    own = Window.partitionBy("shard", "__chunk").orderBy("__place")
     numbered = placed.withColumn("__row", F.row_number().over(own) - 1)
-    return numbered.join(bases, ["shard", "__block"]).withColumn("slot", F.col("__base") + F.col("__row")).withColumn("law", F.lit("key")).drop("__block", "__base", "__row")
+    return numbered.join(bases, ["shard", "__chunk"]).select(*kept, *[n for n in made if n != "__place"], (F.col("__base") + F.col("__row")).alias("slot"))

@@ -1,9 +1,12 @@
 """License scan, quality rules and sharding against brute force and on awkward rows."""
 
+import math
 import re
 import zlib
 from collections import Counter
 
+import xxhash
+
 from storyscale.llm import licenses, quality, sharding
 from storyscale.llm.license_rules import RULES, TAGS, root_of, roots_regex
 
@@ -298,3 +301,42 @@ def test_sharding_shares_and_movement(spark):
     assert all(abs(n[s] / 40_000 - w / 8) < 0.01 for s, w in enumerate((1, 2, 1, 4)))
     assert {r["b"] for r in df if r["b"] != r["a"]} == {4} and abs(sum(r["b"] == 4 for r in df) / 40_000 - 0.2) < 0.01
     assert {r["c"] for r in df if r["c"] != r["b"]} == {5}
+
+
+def test_sharding_draws(spark):
+    """Shards by a plain descent of the tree, with the hash library's own draws."""
+
+    def race(key, name, weight):
+        h = xxhash.xxh64_intdigest(name, seed=xxhash.xxh64_intdigest(key, seed=42))
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    def descend(key, tree):
+        first = [sum(len(r) for g in tree.weights[:k] for r in g) for k in range(len(tree.weights))]
+        times = [race(key, f"region {g}", sum(map(sum, racks))) for g, racks in enumerate(tree.weights)]
+        g = times.index(min(times))
+        racks = tree.weights[g]
+        r = min(range(len(racks)), key=lambda r: race(key, f"rack {g}/{r}", sum(racks[r])))
+        s = min(range(len(racks[r])), key=lambda s: race(key, f"shard {g}/{r}/{s}", racks[r][s]))
+        best, out = min(times), first[g] + sum(map(len, racks[:r])) + s
+        for i, a in enumerate(tree.added):
+            time = race(key, f"added {i} {a.region}/{a.rack}", a.weight)
+            if time < best:
+                best, out = time, sum(len(r) for g in tree.weights for r in g) + i
+        return out
+
+    keys = ["", *map(str, range(-50, 1500))]
+    trees = [sharding.SIXTEEN, sharding.SIXTEEN.grow(0, 0), sharding.Tree((((1.0, 2.0), (1.0,)), ((4.0,),))).grow(1, 0, 2.0)]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    for r in df.select("k", *[sharding.shard_of(df["k"], t).alias(f"t{n}") for n, t in enumerate(trees)]).collect():
+        assert r[1:] == tuple(descend(r["k"], t) for t in trees)
+
+
+def test_sharding_of_one_hot_id(spark):
+    """Rows of one id and text are numbered in chunks of places, gaplessly."""
+    hot = spark.range(60_000).selectExpr("CAST(CASE WHEN id % 3 = 0 THEN id END AS BIGINT) AS doc_id", "'same' AS text", "id AS slot").repartition(4)
+    rows = sharding.shard(hot, chunk=1000).collect()
+    slots = {}
+    for r in rows:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(rows) == 60_000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) > 40_000
