@@ -11,7 +11,10 @@ The benchmark is worked on in blocks of at most BLOCK bytes, the only data sent
 each block passes over all texts. Texts are worked on in their own rows, without a shuffle.
 
 A null text is empty and has no match; an item without words matches nothing; repeated items match
-each; repeated rows get equal matches; of equally similar windows the first counts.
+each; repeated rows get equal matches; of equally similar windows the first counts. Long texts are
+looked up by pieces of bounded windows and candidates. An empty table gives no rows, an empty
+benchmark no matches. Input columns pass through, whatever their names; ``matches`` replaces one of
+that name.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ RADIUS = 20
 BLOCK = 32 << 20
 _SLICE = 1 << 21
 _WINDOWS = 1 << 15
+_CANDIDATES = 1 << 20
 _EDGES = np.linspace(0, 64, RADIUS + 2).astype(int)
 MATCHES = "array<struct<item_id:{},similarity:double,distance:int,start_word:int,n_words:int>>"
 
@@ -48,7 +52,7 @@ class Index(NamedTuple):
     length: np.ndarray
     prints: np.ndarray
     bags: list[Counter]
-    shingles: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  #: by shingle size: sorted hashes, item of each; a table of their lower bits
+    shingles: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  #: by shingle size: sorted hashes, length of an item that has it; a table of their lower bits
     blocks: tuple[np.ndarray, np.ndarray]  #: sorted keys of (length, block, value), item of each
 
 
@@ -89,10 +93,10 @@ def build(items: list[tuple]) -> Index:
         length.append(len(h))
         bags.append(Counter(sh.tolist()))
         prints.append(fingerprints(_bits(sh).sum(axis=0, dtype=np.int64)[None], np.array([len(sh)]))[0])
-        by.setdefault(k, []).extend((x, n) for x in bags[-1])
+        by.setdefault(k, set()).update((x, len(h)) for x in bags[-1])
     shingles = {}
-    for k, pairs in by.items():
-        pairs.sort()
+    for k, have in by.items():
+        pairs = sorted(have)
         hashes = np.array([x for x, _ in pairs], np.uint64)
         table = np.zeros(1 << 20, bool)
         table[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -116,12 +120,14 @@ def _matches(h: np.ndarray, hits: dict[int, np.ndarray], index: Index) -> list[t
     best: dict[int, tuple[float, int, int, int]] = {}
     for k, places in hits.items():
         sh = shingle_hashes(h, k)
-        hashes, owner, _ = index.shingles[k]
-        items, of = _runs(owner, np.searchsorted(hashes, sh[places], "left"), np.searchsorted(hashes, sh[places], "right"))
-        at = places[of]
-        for n in np.unique(index.length[items]).tolist():
+        hashes, lengths, _ = index.shingles[k]
+        mark, which = np.unique(sh[places], return_inverse=True)
+        of_items, of = _runs(lengths, np.searchsorted(hashes, mark, "left"), np.searchsorted(hashes, mark, "right"))  # no more than the index holds
+        for n in np.unique(of_items).tolist():
             size = min(n, len(h))  # a shorter text is one window
-            mine = np.unique(at[index.length[items] == n])
+            has = np.zeros(len(mark), bool)
+            has[of[of_items == n]] = True
+            mine = places[has[which]]
             cover = np.zeros(len(h) - size + 2, np.int32)  # windows that hold a place: from place - size + k to place
             np.add.at(cover, np.maximum(mine - size + k, 0), 1)
             np.add.at(cover, np.minimum(mine, len(h) - size) + 1, -1)
@@ -146,17 +152,25 @@ def _probe(sh: np.ndarray, starts: np.ndarray, n: int, size: int, k: int, index:
     prints = fingerprints(total[starts - lo + per] - total[starts - lo], np.full(len(starts), per))
     keys = _block_keys(prints, np.full(len(starts), n)).ravel()
     have, owner = index.blocks
-    items, of = _runs(owner, np.searchsorted(have, keys, "left"), np.searchsorted(have, keys, "right"))
-    pairs = np.unique(of // (RADIUS + 1) * len(index.ids) + items)
-    window, item = pairs // len(index.ids), pairs % len(index.ids)
-    distance = np.bitwise_count(prints[window] ^ index.prints[item])
-    near = np.flatnonzero(distance <= RADIUS)
-    for w, i, d in zip(window[near].tolist(), item[near].tolist(), distance[near].tolist()):
-        a, b = Counter(sh[starts[w] : starts[w] + per].tolist()), index.bags[i]
-        both = sum((a & b).values())
-        similarity = both / (per + sum(b.values()) - both)
-        if similarity >= SIMILARITY and (i not in best or similarity > best[i][0]):
-            best[i] = (similarity, d, int(starts[w]), size)
+    first, last = np.searchsorted(have, keys, "left"), np.searchsorted(have, keys, "right")
+    found = np.cumsum((last - first).reshape(-1, RADIUS + 1).sum(axis=1))
+    a = 0
+    while a < len(starts):  # windows whose blocks lead to about _CANDIDATES items, or one window
+        b = max(a + 1, int(np.searchsorted(found, (found[a - 1] if a else 0) + _CANDIDATES, "right")))
+        span = slice(a * (RADIUS + 1), b * (RADIUS + 1))
+        items, of = _runs(owner, first[span], last[span])
+        window = of // (RADIUS + 1) + a
+        distance = np.bitwise_count(prints[window] ^ index.prints[items])
+        near = np.flatnonzero(distance <= RADIUS)
+        pairs, at = np.unique(window[near] * len(index.ids) + items[near], return_index=True)
+        for pair, d in zip(pairs.tolist(), distance[near[at]].tolist()):
+            w, i = divmod(pair, len(index.ids))
+            mine, bag = Counter(sh[starts[w] : starts[w] + per].tolist()), index.bags[i]
+            both = sum((mine & bag).values())
+            similarity = both / (per + sum(bag.values()) - both)
+            if similarity >= SIMILARITY and (i not in best or similarity > best[i][0]):
+                best[i] = (similarity, d, int(starts[w]), size)
+        a = b
 
 
 def _find(buf: np.ndarray, offsets: np.ndarray, index: Index) -> dict[int, list]:

@@ -8,12 +8,14 @@ j, is
 
     f(j) = penalty(j) + LENGTH - at(j) + min { f(i) + at(i) : at(j) - LENGTH <= at(i) < at(j) }
 
-where a monotone queue gives the minimum in constant time. The line is worked on in blocks; the last
-window of a block is opened again for the next one, so blocks leave no padding. Only the last window
+where a monotone queue gives the minimum in constant time. The line is worked on in blocks of BLOCK
+tokens, which may lie within one long document; the last window of a block is opened again for the
+next one, so blocks leave no padding. Only the last window
 of a partition may stay short: its tokens go to sequences of powers of two, which need no padding.
 
 A null text is empty and gives the end token alone, repeated rows are packed one by one, an empty
-table gives no rows. Sequence ids hold the partition in their upper bits: a task that is run again
+table gives no rows; of equal costs the longest window is taken; further columns are not read,
+whatever their names. Sequence ids hold the partition in their upper bits: a task that is run again
 gives the same ids.
 """
 
@@ -109,21 +111,27 @@ class _Line:
         self.docs.append([doc_id, np.frombuffer(ids, np.uint32), 0])
         self.size += len(ids) // 4
 
-    def cut(self, last: bool) -> list[tuple]:
-        """Pieces of the windows that are settled; the last window waits unless the line ends here."""
-        line = np.concatenate([d[1][d[2] :] for d in self.docs]) if self.docs else np.zeros(0, np.uint32)
-        if not len(line):
-            return []
-        ends = np.cumsum([len(d[1]) - d[2] for d in self.docs])
-        at, penalty = cut_points(line, ends, self.stops, self.length)
-        cuts = [0, *(at[i] for i in windows(at, penalty, self.length))]
-        if last:
-            a = cuts[-2]
-            sizes = powers(len(line) - a, self.length)
-            cuts[-1:] = (a + np.cumsum(sizes)).tolist()
-        elif len(cuts) > 2:
-            cuts.pop()
-        return self._settle(cuts)
+    def cut(self, last: bool) -> Iterator[list[tuple]]:
+        """Pieces of the windows that are settled, a block of the line at a time; what is left waits unless the line ends here."""
+        block = max(BLOCK, 4 * self.length)
+        while self.size >= block or last and self.size:
+            rest = last and self.size <= block
+            parts, ends, n = [], [], 0
+            for _, ids, start in self.docs:
+                parts.append(ids[start : start + block - n])
+                n += len(parts[-1])
+                if start + len(parts[-1]) == len(ids):
+                    ends.append(n)
+                if n == block:
+                    break
+            at, penalty = cut_points(np.concatenate(parts), np.array(ends, int), self.stops, self.length)
+            cuts = [0, *(at[i] for i in windows(at, penalty, self.length))]
+            if rest:
+                a = cuts[-2]
+                cuts[-1:] = (a + np.cumsum(powers(n - a, self.length))).tolist()
+            else:
+                cuts.pop()
+            yield self._settle(cuts)
 
     def _settle(self, cuts: list[int]) -> list[tuple]:
         out, k = [], 0
@@ -168,9 +176,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
             for i, j in batches_of(np.fromiter(map(len, texts), np.int64, len(texts))):
                 for doc_id, x in zip(ids[i:j], enc.encode(texts[i:j])):
                     line.add(doc_id, x + end)
-                    if line.size >= BLOCK and (pieces := line.cut(False)):
-                        yield out(pieces)
-        if line.docs:
-            yield out(line.cut(True))
+                    yield from map(out, line.cut(False))
+        yield from map(out, line.cut(True))
 
     return df.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -78,6 +79,30 @@ def test_packing_windows_are_optimal():
         assert sum(20 - (at[b] - at[a]) + pen[b] for a, b in zip(cuts, cuts[1:])) == best[-1]
 
 
+def test_packing_blocks_lie_within_documents(monkeypatch):
+    """A line of long and short documents in small blocks: nothing lost or planned beyond a block, at most a window more of padding for each."""
+    r = random.Random(4)
+    docs = {i: np.array([r.randrange(1, 1000) for _ in range(20_000 if i == 30 else r.choice([1, 7, 90, 300]))] + [0], np.uint32) for i in range(60)}
+    seen, plan, padding = [], packing.windows, []
+    monkeypatch.setattr(packing, "windows", lambda at, *a: seen.append(at[-1]) or plan(at, *a))
+    for block in (1 << 18, 512):
+        monkeypatch.setattr(packing, "BLOCK", block)
+        seen.clear()
+        line, pieces = packing._Line(64, np.arange(1000) % 9 == 0, 0), []
+        for i, ids in docs.items():
+            line.add(i, ids.tobytes())
+            pieces += [p for made in line.cut(False) for p in made]
+        pieces += [p for made in line.cut(True) for p in made]
+        got, lengths = {}, Counter()
+        for i, start, _, ids, whole, seq, offset in pieces:
+            assert start == len(got.get(i, b"")) // 4 and offset == lengths[seq] and whole == len(docs[i])
+            got[i] = got.get(i, b"") + ids
+            lengths[seq] += len(ids) // 4
+        assert got == {i: x.tobytes() for i, x in docs.items()} and max(lengths.values()) <= 64 and max(seen) <= block
+        padding.append(sum(64 - n for n in lengths.values() if n & (n - 1)))
+    assert padding[1] <= padding[0] + 64 * len(seen), padding
+
+
 def test_packing_of_nothing(nothing):
     assert packing.pack(nothing).count() == 0
     assert packing.powers(700, 1024) == [512, 128, 32, 16, 8, 4]
