@@ -7,14 +7,19 @@ at the changed characters, encodes these anew, and goes on to the right only unt
 the old ones again. Then the sums on the leaves' paths to the root are renewed; all other leaves
 are neither read nor encoded.
 
-A cut depends on the characters up to it and two after it (white space gives its last blank to the
-word behind it), and from a cut on cutting has no memory. So chunks that end two characters or more
-before the edit stay, and so do all from the first old cut right of the edit that is a new one too. A text with unusual white space or a special token's name
-is one chunk.
+A cut lies between a character that is surely no white space and plain white space, or between a
+letter or digit and a comma or the like: the tokenizer cuts there whatever stands around, so a cut
+depends on the characters beside it alone, in texts with unusual white space or special names too.
+What holds no such place (one very long word) is one chunk. A leaf that inserts have made long is
+dealt out to several.
+
+Trees are kept: with ``trees`` the edited text comes with its chunks' characters and tokens, and a
+later batch of edits that is given them starts there instead of encoding the text.
 
 A null text is empty, a null or empty list of edits changes nothing, places beyond the text are
-moved to its end, and the edits of a list apply one after another. Repeated rows count alike; an
-empty table gives no rows.
+moved to its end, and the edits of a list apply one after another. Repeated rows count alike; very
+long texts are worked on in batches of their own; a kept tree that doesn't fit its text is made
+anew; further columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,18 +36,27 @@ from storyscale.llm.tokenizing import Encoder, batches_of, encoder, vocabulary
 
 LEAF = 64
 EDITS = "array<struct<start:int,end:int,replacement:string>>"
+#: A kept tree: characters and tokens of each chunk.
+TREE = "struct<chars:array<int>,tokens:array<int>>"
 
 
 class Tree:
     """Token counts of one text under edits."""
 
-    def __init__(self, text: str, enc: Encoder):
+    def __init__(self, text: str, enc: Encoder, chars: list[int] | None = None, tokens: list[int] | None = None):
         self.enc = enc
         self.encoded = 0  #: characters encoded by edits
-        self._build(text)
+        if chars is None or tokens is None or len(chars) != len(tokens) or sum(chars) != len(text):
+            self._build(text)
+        else:
+            ends = np.cumsum([0, *chars]).tolist()
+            self._layout([text[a:b] for a, b in zip(ends, ends[1:])], list(tokens))
 
     def _build(self, text: str) -> None:
-        chunks, counts = self._count(text)
+        chunks = self.enc.sure(text)
+        self._layout(chunks, self.enc.counts(chunks))
+
+    def _layout(self, chunks: list[str], counts: list[int]) -> None:
         self.leaves = [(chunks[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(chunks), LEAF)] or [([], [])]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
@@ -51,13 +65,9 @@ class Tree:
         for i in range(self.size - 1, 0, -1):
             self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
 
-    def _count(self, text: str) -> tuple[list[str], list[int]]:
-        if not text:
-            return [], []
-        if self.enc.whole(text):
-            return [text], [len(self.enc.ids(text))]
-        chunks = self.enc.chunk(text)
-        return chunks, self.enc.counts(chunks)
+    def kept(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the chunks: what a later tree of this text starts from."""
+        return [len(c) for chunks, _ in self.leaves for c in chunks], [n for _, counts in self.leaves for n in counts]
 
     @property
     def total(self) -> int:
@@ -114,10 +124,10 @@ class Tree:
             ended = wanted > 0
             was = "".join(c for _, _, c in taken)
             now = was[: start - at] + replacement + was[end - at :]
-            if self.enc.whole(now) or self.enc.whole(was):
+            if not self.enc.local and (self.enc.special(now) or self.enc.special(was)):
                 self._rebuild(start, end, replacement)
                 return
-            new = self.enc.chunk(now)
+            new = self.enc.sure(now)
             if ended:
                 break
             # meet: the first cut right of the edit that is an old one too, with two characters behind it in sight
@@ -144,6 +154,8 @@ class Tree:
             c, m = self.leaves[n]
             self.leaves[n] = (c[:a] + (new if k == 0 else []) + c[b:], m[:a] + (counts if k == 0 else []) + m[b:])
             self._renew(n)
+        if any(len(self.leaves[n][0]) > 8 * LEAF for n in spans):
+            self._layout([c for chunks, _ in self.leaves for c in chunks], [n for _, counts in self.leaves for n in counts])
 
     def _from(self, leaf: int, first: int) -> Iterator[tuple[int, int, str]]:
         for n in range(leaf, len(self.leaves)):
@@ -152,39 +164,49 @@ class Tree:
                 yield n, i, chunks[i]
 
     def _rebuild(self, start: int, end: int, replacement: str) -> None:
-        """The way of texts whose chunks can't be told apart: a new tree."""
+        """The way of special names that reach beyond their chunk: a new tree."""
         text = self.text()
         text = text[:start] + replacement + text[end:]
         self.encoded += len(text)
         self._build(text)
 
 
-def count(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+def count(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", tokenizer: str = "byte_bpe_50k.json", tree_col: str | None = None, trees: bool = False) -> DataFrame:
     """(id, n_chars, n_tokens, n_edits, edited_chars, edited_tokens, encoded_chars) of each row.
 
-    n_*: of the text as it is; edited_*: after the edits; encoded_chars: characters that the edits had encoded anew.
+    n_*: of the text as it is; edited_*: after the edits; encoded_chars: characters that the edits
+    had encoded anew. ``trees`` adds edited_text and tree, ``tree_col`` names a column of trees to
+    start from.
     """
     names = ["n_chars", "n_tokens", "n_edits", "edited_chars", "edited_tokens", "encoded_chars"]
-    schema = T.StructType([df.schema[id_col], *[T.StructField(n, T.LongType()) for n in names]])
+    kept = [T.StructField("edited_text", T.StringType()), *T.StructType.fromDDL(f"tree {TREE}").fields] if trees else []
+    schema = T.StructType([df.schema[id_col], *[T.StructField(n, T.LongType()) for n in names], *kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary(tokenizer), "byte", "<u4")
         for b in batches:
             texts = b.column(1).fill_null("").to_pylist()
-            edits = b.column(2).to_pylist()
+            edits, starts = b.column(2).to_pylist(), b.column(3)
             for i, j in batches_of(np.fromiter(map(len, texts), np.int64, len(texts))):
                 enc.refresh()
-                out = []
-                for text, steps in zip(texts[i:j], edits[i:j]):
-                    tree = Tree(text, enc)
+                out, after = [], []
+                for text, steps, start in zip(texts[i:j], edits[i:j], starts[i:j].to_pylist()):
+                    tree = Tree(text, enc, *((start["chars"], start["tokens"]) if start else ()))
                     row = [tree.length, tree.total, len(steps or ())]
                     for e in steps or ():
                         if e:
                             tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
                     out.append((*row, tree.length, tree.total, tree.encoded))
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], *[pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))]], schema.names)
-
-    return df.select(id_col, F.col(text_col).cast("string").alias("__text"), F.col(edits_col).cast(EDITS).alias("__edits")).mapInArrow(run, schema)
+                    if trees:
+                        after.append((tree.text(), dict(zip(("chars", "tokens"), tree.kept()))))
+                cols = [b.column(0)[i:j], *[pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))]]
+                if trees:
+                    counts = pa.list_(pa.int32())
+                    cols += [pa.array([t for t, _ in after], pa.string()), pa.array([t for _, t in after], pa.struct([("chars", counts), ("tokens", counts)]))]
+                yield pa.RecordBatch.from_arrays(cols, schema.names)
+
+    tree = F.col(tree_col) if tree_col else F.lit(None)
+    return df.select(id_col, F.col(text_col).cast("string").alias("__text"), F.col(edits_col).cast(EDITS).alias("__edits"), tree.cast(TREE).alias("__tree")).mapInArrow(run, schema)
 
 
 #: What the scripted edits put in.

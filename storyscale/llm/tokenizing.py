@@ -36,6 +36,9 @@ _PIECE = {
     "byte": f"{_CONTRACTIONS}| ?[{_L}]+| ?[{_N}]+| ?[^ \t\n\r{_L}{_N}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+",
     "word": f"{_CONTRACTIONS}|[{_L}]+|[{_N}]|[^ \t\n\r{_L}{_N}]+",
 }
+#: Where the byte tokenizer cuts whatever lies around: behind what is surely no white space and before plain white
+#: space, and behind an ASCII or CJK letter or ASCII digit and before a comma, a semicolon or the like.
+_SURE = re.compile(f"(?<=[^ \t\n\r{_SPACES}])(?=[ \t\n\r])|(?<=[A-Za-z0-9\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3])(?=[,;\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 _CHUNK = {"byte": r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+", "word": r"[^ \t\n\r]+"}
 
 
@@ -88,6 +91,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind, self.code = kind, {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # special names stand for themselves wherever they are, within one chunk of sure()
+        self.local = not any(t.lstrip or t.rstrip or t.single_word or _SURE.search(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.cut, self.cut_ascii = re.compile(_PIECE[kind]).findall, re.compile(_PIECE[kind].replace(_L, "A-Za-z").replace(_N, "0-9")).findall
         self.chunk = re.compile(_CHUNK[kind]).findall
         letters, model, code = _byte_letters(), self.tokenizer.model, self.code
@@ -116,6 +121,12 @@ class Encoder:
         """Whether a text holds the name of a special token."""
         return "<|" in text and any(s in text for s in self.specials)
 
+    def sure(self, text: str) -> list[str]:
+        """A text for byte-level BPE in chunks that are encoded one by one whatever stands beside them."""
+        if not text:
+            return []
+        return [text] if not self.local and self.special(text) else _SURE.split(text)
+
     def refresh(self) -> None:
         """Keep the memories within their bounds."""
         self.pieces.bound()

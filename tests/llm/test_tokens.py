@@ -171,13 +171,45 @@ def test_edits_equal_encoding_anew():
             a = min(a, len(text))
             text = text[:a] + new + text[max(min(b, len(text)), a) :]
             assert (tree.text(), tree.length, tree.total) == (text, len(text), len(enc.ids(text)))
+            if r.random() < 0.3:
+                tree = token_counts.Tree(text, enc, *tree.kept())
 
 
-def test_edits_encode_little():
+def test_sure_chunks_are_encoded_alone():
     enc = encoder(vocabulary("byte_bpe_50k.json"), "byte", "<u4")
-    tree = token_counts.Tree("some words of a long text. " * 5000, enc)
-    tree.edit(60_000, 60_004, "other")
-    assert tree.encoded < 60
+    r = random.Random(11)
+    for _ in range(6000):
+        text = "".join(r.choice([*ALPHABET, "，", "。", ";", "か", "한"]) for _ in range(r.randrange(40)))
+        chunks = enc.sure(text)
+        assert "".join(chunks) == text and sum(enc.counts(chunks)) == len(enc.ids(text)), text
+
+
+@pytest.mark.parametrize("text", ["some words of a long text. " * 5000, "odd\xa0space, words of a text " * 5000, "这是一个很长的中文文本，没有空格。" * 6000, "words <|endoftext|> and more " * 4000, "a,b;12,x" * 12_000])
+def test_edits_encode_little(text):
+    enc = encoder(vocabulary("byte_bpe_50k.json"), "byte", "<u4")
+    tree = token_counts.Tree(text, enc)
+    tree.edit(60_000, 60_005, "other")
+    text = text[:60_000] + "other" + text[60_005:]
+    assert tree.encoded < 200 and tree.total == sum(enc.counts(enc.sure(text)))
+
+
+def test_leaves_stay_short():
+    enc = encoder(vocabulary("byte_bpe_50k.json"), "byte", "<u4")
+    tree = token_counts.Tree("a few words", enc)
+    tree.edit(5, 5, " more words" * 5000)
+    assert max(len(c) for c, _ in tree.leaves) <= 8 * token_counts.LEAF and tree.total == len(enc.ids(tree.text()))
+
+
+def test_second_batch_starts_from_kept_trees(docs, awkward, monkeypatch):
+    df = docs.select("doc_id", "text").limit(60).unionByName(awkward.select("doc_id", "text")).withColumn("edits", token_counts.scripted_edits())
+    first = token_counts.count(df, trees=True)
+    later = first.withColumn("edits", token_counts.scripted_edits(text_col="edited_text"))
+    pick = ["doc_id", "n_tokens", "edited_tokens", "edited_text", "tree"]
+    rows = lambda d: sorted(map(str, d.select(*pick[:4]).collect()))
+    assert rows(token_counts.count(later, text_col="edited_text", tree_col="tree", trees=True)) == rows(token_counts.count(later, text_col="edited_text", trees=True))
+    # a tree that is given is taken as it is: no text is encoded for it
+    fake = later.withColumn("tree", F.struct(F.array(F.length("edited_text")).alias("chars"), F.array(F.lit(12_345)).alias("tokens"))).withColumn("edits", F.lit(None))
+    assert {r["n_tokens"] for r in token_counts.count(fake, text_col="edited_text", tree_col="tree").collect()} == {12_345}
 
 
 def test_counts_query(docs, awkward, nothing, library):
