@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyscale.llm import decontamination, elias_fano, licenses, lm, packing, quality, sharding, simhash, token_counts, toxicity
+from storyscale.llm import decontamination, elias_fano, interactions, licenses, lm, packing, quality, runs, sharding, simhash, token_counts, topk, toxicity
 from storyscale.llm.common import ready, table
 
 
@@ -66,14 +66,39 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.made_periodic(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = runs.find(docs, carry=["doc_id"]).withColumn("most", runs.foremost(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "most.start",
+        "most.length",
+        "most.period",
+        F.expr("1000 * most.length div most.period").alias("exponent_milli"),
+        sha(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")).alias("runs_sha256"),
+        sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op12_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def _on_ready(f: Callable) -> Callable:
     return wraps(f)(lambda spark, sf_dir: f(ready(spark), sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _on_ready(f) for f in (op1_decontamination, op2_token_counts, op3_licenses, op4_sharding, op5_toxicity, op6_lm, op7_packing, op8_elias_fano, op9_quality, op10_simhash)}
+    return {f.__name__: _on_ready(f) for f in (op1_decontamination, op2_token_counts, op3_licenses, op4_sharding, op5_toxicity, op6_lm, op7_packing, op8_elias_fano, op9_quality, op10_simhash, op11_runs, op12_interactions, op13_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL cannot express these (64-bit hash draws, fitted posteriors): they are tested against brute force."""
-    return {}
+    """SQL cannot express the others (64-bit hash draws, fitted posteriors, tokenizers, CRC): they are tested against brute force."""
+    return {"op12_interactions": interactions.AUDIT_SQL, "op13_topk": topk.SEARCH_SQL}
