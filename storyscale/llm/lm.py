@@ -45,7 +45,7 @@ from storyscale.llm.words import words
 ADD = 0.1
 END = np.uint64(1)  #: stands for the end token among word hashes
 _SLICE = 1 << 21  #: bytes of text whose words are found together
-_BLOCK = 1 << 20  #: tokens that are looked up together
+_BLOCK = 1 << 19  #: tokens that are looked up together
 _GATHER = 1 << 22  #: tokens that are counted before they are shuffled
 _MANY = 255  #: counts from here on lie in a list of their own
 _LARGE = 64  #: followers of a history beyond which its sums are stored
@@ -93,17 +93,19 @@ def _changes(cols: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _summed(cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of columns in lexicographic order with the sums of their counts (rows of an array)."""
-    if not len(counts):
-        return cols, counts
+def _summed(cols: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of columns in lexicographic order with the sums of their counts (rows of an array; none: one each)."""
+    if not len(cols[0]):
+        return cols, np.zeros(0, np.int64) if counts is None else counts
     if len(cols) > 1 and cols[0].itemsize == 4:
         order = np.lexsort((*cols[:1:-1], (cols[0].astype(_U) << _U(32)) | cols[1]))
     else:
         order = np.lexsort(cols[::-1])
-    cols, counts = [c[order] for c in cols], counts[order]
+    for i, c in enumerate(cols):
+        cols[i] = c[order]
     first = _changes(cols)
-    return [c[first] for c in cols], np.add.reduceat(counts, first, axis=0)
+    sums = np.diff(np.append(first, len(order))) if counts is None else np.add.reduceat(counts[order], first, axis=0)
+    return [c[first] for c in cols], sums
 
 
 def _cut(cols: list[np.ndarray], edges: tuple[Edge, ...]) -> list[int]:
@@ -168,7 +170,9 @@ def _gathered(blocks: Iterator[list[np.ndarray]], cut: Callable[[list[np.ndarray
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.list_(pa.binary())), ("counts", pa.binary())])
 
     def out() -> pa.RecordBatch:
-        cols, c = _summed([np.concatenate(x) for x in zip(*waiting)], np.ones(n, np.int64))
+        cols = [np.concatenate(x) for x in zip(*waiting)]
+        waiting.clear()  # before the sort, which needs as much again
+        cols, c = _summed(cols)
         bounds = cut(cols)
         rows = [_told(b, 0, [x[i:j] for x in cols], c[i:j]) for b, (i, j) in enumerate(zip(bounds, bounds[1:])) if i < j]
         return pa.RecordBatch.from_pylist(rows, schema)
@@ -413,7 +417,7 @@ def train(df: DataFrame, text_col: str = "text", path: str | None = None, wide:
             large = np.flatnonzero(np.diff(np.append(first, len(c))) > _LARGE)
             write_file(f"{place}.large", [np.concatenate([large[None], sums[large].T]).astype("<u8")])
             ends = [int(x) for i in sorted({0, len(first) - 1}) for x in (cols[0][first[i]], cols[1][first[i]], *sums[i])]
-            pairs, n = _summed(cols[1:], np.ones(len(c), np.int64))
+            pairs, n = _summed(cols[1:])
             bounds = _cut(pairs, model.edges[1])
             yield _rows([numbers(3, b, c, ends)] + [_told(to, 1, [x[i:j] for x in pairs], n[i:j]) for to, (i, j) in enumerate(zip(bounds, bounds[1:])) if i < j], schema)
 
@@ -426,7 +430,7 @@ def train(df: DataFrame, text_col: str = "text", path: str | None = None, wide:
             parts.append(batch.filter(pa.array(mine)))
         for b, cols, n in _merged(iter(parts), model.kind):
             first = _store(f"{path}/pairs/{b:06d}", cols, n)
-            histories = _summed(cols[1:], np.ones(len(n), np.int64))
+            histories = _summed(cols[1:])
             made = [numbers(2, b, n, [])]
             for kind, ((words_,), counts) in enumerate((([cols[0][first]], _sums(n, first)), histories)):
                 bounds = np.searchsorted(words_, np.array([*bases, model.words + 1]).astype(words_.dtype))
