@@ -14,7 +14,7 @@ from storyscale.functions import text
 from storyscale.functions.lexicon import DIMENSIONS, STORY_DIMENSIONS
 from storyscale.operators import errors, judge, objective, pairs, profile, prompts, rollup
 from storyscale.plans import judged, report
-from storyscale.sources import io, judges
+from storyscale.sources import io, judgelog, judges
 from storyscale.sources.lexicon import read_lexicon
 from storyscale.sources.shared import stored, work_dir
 
@@ -56,13 +56,13 @@ def judge_stories(spark: SparkSession, a: argparse.Namespace) -> None:
     dims = DIMENSIONS if a.legacy else STORY_DIMENSIONS
     who = judges.recorded(dims=(*dims, *judge.CONSISTENCY)) if a.provider == "recorded" else judges.resolve(a.provider, a.model)
     rows = stored(objective.scored(_checked_targets(df), read_lexicon(spark, a.lexicon)), work_dir(spark, "scored"))
-    out = stored(judged.judged_rows(spark, rows, who, a.log, a.pause, a.limit, dims), work_dir(spark, "judged"))
+    how = {"pause": a.pause, "limit": a.limit, "retries": a.max_retries, "tasks": a.tasks}
     if a.legacy:
-        out = out.withColumn("subjective_total", judge.subjective_total(dims))
+        out = stored(judged.five_dimensions(spark, rows, who, f"{a.log}/five", **how), work_dir(spark, "judged"))
         out.write.mode("overwrite").parquet(f"{a.to}/scored_rows.parquet")
         io.export_csv(out.orderBy("row_ord"), f"{a.to}/judge_rows.csv", [*KEYS, *[f"{d}_{k}" for d in dims for k in ("score", "justification")], "subjective_total"])
     else:
-        judged.write_run(out, a.to)
+        judged.write_run(stored(judged.judged_rows(spark, rows, who, a.log, **how), work_dir(spark, "judged")), a.to)
 
 
 def error_analysis(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -110,6 +110,8 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--log", default="judge_log")
             c.add_argument("--env", default=".env")
             c.add_argument("--pause", type=float, default=0.2)
+            c.add_argument("--max-retries", type=int, default=4, help="requests for one story before the run gives up")
+            c.add_argument("--tasks", type=int, default=judgelog.TASKS, help="requests at once")
             c.add_argument("--lexicon")
             c.add_argument("--legacy", action="store_true", help="five dimensions, as the errors command reads them")
     a = p.parse_args(argv)

@@ -1,22 +1,25 @@
 """Structured judge scores: messages, parsing and validation of payloads, resumable scoring.
 
 Validation is one expression over the payload text, so it runs inside the plan. Scoring with an
-outside judge goes through ``mapInPandas``; the judge is any callable of messages to text.
+outside judge goes through a log of responses (``judgelog``); the judge is any callable of messages to
+text.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyscale.functions import rubrics
 from storyscale.functions.lexicon import DIMENSIONS, STORY_DIMENSIONS
 from storyscale.functions.text import strip
+from storyscale.operators import ordered
+from storyscale.sources import judgelog
 
 CONSISTENCY = ("consistency",)
 
@@ -114,24 +117,35 @@ def story_messages(target: Column, prompt: Column, story: Column, dims: tuple[st
     return _message(a, target, b, prompt, c, story, d)
 
 
-def legacy_messages(target: Column, prompt: Column, story: Column) -> Column:
-    return story_messages(target, prompt, story, DIMENSIONS)
+#: Between the generations of a consistency message, and what stands before them.
+GAP = "\n\n---\n\n"
+TOLD = "\n\nGenerations for the same prompt by one model, to be judged for whether they are stably readable at the requested level:\n\n"
+
+
+def consistency_asked() -> str:
+    """What stands behind the generations."""
+    return _asked(CONSISTENCY)
+
+
+def _generation() -> Column:
+    return F.concat(F.lit("[generation_id="), F.col("generation_id"), F.lit("]\n"), F.col("story"))
 
 
 def consistency_messages(df: DataFrame) -> DataFrame:
     """model, prompt_id and messages over all generations of a prompt, ordered by generation id as text.
 
-    A judge reads all of a group at once, so a group is bounded by what a judge can read.
+    The generations are folded in a stream; only the message, which a judge reads at once, is whole.
     """
-    part = F.concat(F.lit("[generation_id="), F.col("generation_id"), F.lit("]\n"), F.col("story"))
-    groups = df.groupBy("model", "prompt_id").agg(
-        F.min_by("target_phonics", "row_ord").alias("target_phonics"),
-        F.min_by("prompt", "row_ord").alias("prompt"),
-        F.array_sort(F.collect_list(F.struct("generation_id", "row_ord", part.alias("part")))).alias("parts"),
-    )
-    joined = F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n---\n\n")
-    told = F.lit("\n\nGenerations for the same prompt by one model, to be judged for whether they are stably readable at the requested level:\n\n")
-    return groups.select("model", "prompt_id", _message(F.lit("Target phonics: "), F.col("target_phonics"), F.lit("\n\nGeneration prompt (context only):\n"), F.col("prompt"), told, joined, F.lit(_asked(CONSISTENCY))).alias("messages"))
+    rows = df.select("model", "prompt_id", "generation_id", "target_phonics", "prompt", "row_ord", _generation().alias("part"))
+    gap = GAP
+    groups = ordered.folded(rows, ["model", "prompt_id"], ["generation_id", "row_ord"], lambda: ordered.Joined(gap, 2), "n long, target_phonics string, prompt string, joined string")
+    content = [F.lit("Target phonics: "), F.col("target_phonics"), F.lit("\n\nGeneration prompt (context only):\n"), F.col("prompt"), F.lit(TOLD), F.col("joined"), F.lit(consistency_asked())]
+    return groups.select("model", "prompt_id", _message(*content).alias("messages"))
+
+
+def group_digests(df: DataFrame) -> DataFrame:
+    """model, prompt_id and the rows, characters, bytes and CRC-32 of all generations as a consistency message joins them."""
+    return ordered.joined_digest(df, ["model", "prompt_id"], ["generation_id", "row_ord"], _generation(), GAP)
 
 
 # -- scoring --------------------------------------------------------------------------------------
@@ -144,12 +158,24 @@ def doubling(attempt: int) -> float:
     return float(min(2**attempt, 20))
 
 
+def _object(text: str) -> str:
+    """As ``extract_object``."""
+    fenced = re.search(r"```(?:json)?\s*(\{.*?\})\s*```", text, re.DOTALL)
+    return fenced[1] if fenced else text[text.index("{") : text.rindex("}") + 1]
+
+
+def _once(pairs: list[tuple]) -> dict:
+    if len(dict(pairs)) < len(pairs):
+        raise ValueError("a key is repeated")
+    return dict(pairs)
+
+
 def acceptable(dims: tuple[str, ...]) -> Callable[[str], bool]:
-    """Whether a response scores all dimensions, for asking again at once; ``validate`` decides what counts."""
+    """Whether ``validate`` takes a response, for asking again at once."""
 
     def accept(text: str) -> bool:
         try:
-            told = json.loads(text[text.index("{") : text.rindex("}") + 1])
+            told = json.loads(_object(text), object_pairs_hook=_once, parse_constant=int)
             return all(type(told[d]["score"]) in (int, float) and told[d]["score"] in (0, 1, 2) and str(told[d]["justification"]).strip() for d in dims)
         except (ValueError, KeyError, TypeError):
             return False
@@ -170,52 +196,37 @@ def call(judge: Judge, messages: list[dict], accept: Callable[[str], bool], retr
     raise RuntimeError(f"the judge failed {retries} times: {why}")
 
 
-def judge_rows(df: DataFrame, judge: Judge, accept: Callable[[str], bool] = bool, keys: tuple[str, ...] = ("model", "prompt_id", "generation_id", "seed"), pause: float = 0.2, wait: float | Callable[[int], float] = 0.6) -> DataFrame:
-    """keys and response of each row of ``df``, which has a column messages. ``pause`` follows each response, ``wait`` each failure."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for m in f["messages"]:
-                out.append(call(judge, [dict(x.asDict() if hasattr(x, "asDict") else x) for x in m], accept, pause=wait))
-                time.sleep(pause)
-            yield f[list(keys)].assign(response=out)
-
-    return df.select(*keys, "messages").mapInPandas(run, ", ".join(f"{k} string" for k in keys) + ", response string")
-
-
 def resume_split(df: DataFrame, scored: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(rows that are scored already, rows that are still to judge)."""
     done = scored.select(*keys).distinct()
     return df.join(done, list(keys), "left_semi"), df.join(done, list(keys), "left_anti")
 
 
-#: Rows that are asked about and committed to the log together: what a run that breaks off loses at most.
-ROUND = 64
-
-
 def judge_with_log(
-    spark: SparkSession, df: DataFrame, judge: Judge, log: str, keys: tuple[str, ...] = ("model", "prompt_id", "generation_id", "seed"), accept: Callable[[str], bool] = bool, pause: float = 0.2, limit: int | None = None, size: int = ROUND
+    spark: SparkSession,
+    df: DataFrame,
+    judge: Judge,
+    log: str,
+    keys: tuple[str, ...] = ("model", "prompt_id", "generation_id", "seed"),
+    accept: Callable[[str], bool] = bool,
+    pause: float = 0.2,
+    limit: int | None = None,
+    retries: int = 4,
+    wait: float | Callable[[int], float] = 0.6,
+    **how,
 ) -> DataFrame:
-    """The log of responses, one for each key, after asking about rows that it lacks (``limit`` of them at most, in input order).
+    """The log's responses, one for each key, after asking about keys that it lacks (``limit`` of them at most, in input order).
 
-    Rows are asked about in rounds of ``size``; each round is appended to the Parquet log when it is
-    done, so a run that breaks off loses at most the round it was in and goes on behind it.
+    ``pause`` follows each response, ``wait`` each of ``retries`` failures. See ``judgelog`` for what a run
+    that breaks off loses.
     """
-    spark.createDataFrame([], ", ".join(f"{k} string" for k in keys) + ", response string").write.mode("ignore").parquet(log)
-    first = [F.col("row_ord")] if "row_ord" in df.columns else []
-    todo = df.select(*keys, "messages", *first).withColumn("__turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*(first or [F.lit(1)])))).where("__turn = 1")  # a key is asked about once
-    while limit is None or limit > 0:
-        before = spark.read.parquet(log)
-        n = before.count()
-        _, left = resume_split(todo, before, keys)
-        asked = left.orderBy(*first, *keys).limit(size if limit is None else min(size, limit))
-        judge_rows(asked, judge, accept, keys, pause).coalesce(1).write.mode("append").parquet(log)
-        done = spark.read.parquet(log).count() - n
-        if not done:
-            break
-        limit = None if limit is None else limit - done
-    return spark.read.parquet(log)
+
+    def ask(messages: list[dict]) -> str:
+        out = call(judge, messages, accept, retries, wait)
+        time.sleep(pause)
+        return out
+
+    return judgelog.fill(spark, df, log, keys, ask, [c for c in ("row_ord",) if c in df.columns], limit, **how)
 
 
 def merge_final(objective: DataFrame, subjective: DataFrame, keys: tuple[str, ...]) -> DataFrame:

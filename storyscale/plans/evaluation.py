@@ -265,6 +265,22 @@ def judge_messages(spark, sf_dir):
     return df.select("row_ord", judge.story_messages(F.col("target_phonics"), F.col("prompt"), F.col("story"))[1]["content"].alias("content"))
 
 
+_PARTS = f"string_agg('[generation_id=' || generation_id || ']' || chr(10) || story, {_q(judge.GAP)} ORDER BY generation_id, row_ord)"
+
+
+@query(O.query(f"SELECT model, prompt_id, CAST(length(content) AS INTEGER) AS chars, md5(content) AS content_md5 FROM (SELECT model, prompt_id, 'Target phonics: ' || arg_min(target_phonics, row_ord) || chr(10) || chr(10) || 'Generation prompt (context only):' || chr(10) || 'Write a decodable story: ' || arg_min(target_phonics, row_ord) || {_q(judge.TOLD)} || {_PARTS} || {_q(judge.consistency_asked())} AS content FROM stories GROUP BY model, prompt_id)", O.STORIES))
+def consistency_messages(spark, sf_dir):
+    """Length and digest of the message on all generations of each model and prompt."""
+    content = F.col("messages")[1]["content"]
+    return judge.consistency_messages(stories(spark, sf_dir)).select("model", "prompt_id", F.length(content).alias("chars"), F.md5(content.cast("binary")).alias("content_md5"))
+
+
+@query(O.query(f"SELECT model, prompt_id, count(*) AS n, CAST(length({_PARTS}) AS BIGINT) AS chars, CAST(strlen({_PARTS}) AS BIGINT) AS bytes FROM stories GROUP BY model, prompt_id", O.STORIES))
+def group_digests(spark, sf_dir):
+    """How many generations each model and prompt have, and how long they are joined in order, however many tasks a group takes."""
+    return judge.group_digests(stories(spark, sf_dir)).drop("crc32")
+
+
 @query(O.query("SELECT s.row_ord, CASE WHEN l.doc_id IS NULL THEN 'to_judge' ELSE 'carried' END AS part FROM stories s LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON s.row_ord = l.doc_id", O.STORIES))
 def judge_resume_split(spark, sf_dir):
     """Rows that are judged already and rows that are still to judge."""

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyscale.functions.lexicon import STORY_DIMENSIONS
+from storyscale.functions.lexicon import DIMENSIONS, STORY_DIMENSIONS
 from storyscale.operators import errors, judge, objective, rollup
-from storyscale.sources import io
+from storyscale.sources import io, judgelog
+from storyscale.sources.shared import stored, work_dir
 
 #: A story's judgement is known by these; seeds repeat with generations.
 STORY_KEYS = ("model", "prompt_id", "generation_id")
 GROUP_KEYS = ("model", "prompt_id")
+#: What a story of the five dimensions is known by.
+FIVE_KEYS = (*STORY_KEYS, "seed")
 _SLICES = (
     "failure_type", "rank", "n_tuned_flagged", "pct_tuned_flagged", "model", "prompt_id", "generation_id", "seed", "target_phonics", "above_level_rate", "title_present", "sentence_count", "incomplete_output",
     "spec_adherence_score", "robustness_score", "task_quality_score", "consistency_score", "story", "spec_adherence_justification", "robustness_justification", "task_quality_justification", "consistency_justification",
@@ -20,24 +23,48 @@ _SCORES = [f"{d}_{k}" for k in ("score", "justification") for d in (*STORY_DIMEN
 
 
 def _judgements(spark: SparkSession, asked: DataFrame, who: judge.Judge, log: str, keys: tuple[str, ...], dims: tuple[str, ...], raw: str, **how) -> DataFrame:
-    """keys with scores, justifications and the JSON of the accepted responses."""
+    """keys with scores, justifications and the JSON of the accepted responses, stored: later conditions on them then copy no validation."""
     replies = judge.judge_with_log(spark, asked, who, log, keys, judge.acceptable(dims), **how)
-    made = judge.present(judge.validate(replies, "response", dims), "raw_json")
+    made = stored(judge.validate(replies, "response", dims), work_dir(spark, "judgements")).where("error IS NULL")
     return made.select(*keys, *[f"{d}_{k}" for d in dims for k in ("score", "justification")], F.col("raw_json").alias(raw))
 
 
+def _put_back(rows: DataFrame, told: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows with what is told of their keys; a null in a key is a value like others."""
+    own = [c for c in told.columns if c not in keys]
+    told = told.select(*[F.col(k).alias(f"__{k}") for k in keys], *own)
+    same = [F.col(k).cast("string").eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.join(told, same, "left").select(*rows.columns, *own)
+
+
 def judged_rows(spark: SparkSession, rows: DataFrame, who: judge.Judge, log: str, pause: float = 0.2, limit: int | None = None, dims: tuple[str, ...] = STORY_DIMENSIONS, **how) -> DataFrame:
     """Scored rows with story scores and, on judged rows, the consistency score of their group; nulls where a row isn't judged.
 
     The logs, one of stories and one of groups, make the run resumable; ``limit`` bounds the stories
     that are asked about in this run. Groups judged once keep their score.
     """
-    asked = rows.withColumn("messages", judge.story_messages(F.col("target_phonics"), F.col("prompt"), F.col("story"), dims))
-    out = rows.join(_judgements(spark, asked, who, f"{log}/stories", STORY_KEYS, dims, "raw_story_judge_json", pause=pause, limit=limit, **how), list(STORY_KEYS), "left")
+    out = judged_stories(spark, rows, who, f"{log}/stories", STORY_KEYS, dims, pause=pause, limit=limit, **how)
     was = F.col(f"{dims[0]}_score").isNotNull()
     groups = _judgements(spark, judge.consistency_messages(out.where(was)), who, f"{log}/groups", GROUP_KEYS, judge.CONSISTENCY, "raw_consistency_judge_json", pause=pause, **how)
     own = [c for c in groups.columns if c not in GROUP_KEYS]
-    return out.join(groups, list(GROUP_KEYS), "left").withColumns({c: F.when(was, F.col(c)) for c in own})
+    return _put_back(out, groups, GROUP_KEYS).withColumns({c: F.when(was, F.col(c)) for c in own})
+
+
+def judged_stories(spark: SparkSession, rows: DataFrame, who: judge.Judge, log: str, keys: tuple[str, ...], dims: tuple[str, ...], **how) -> DataFrame:
+    """Rows with the scores of their stories, judged by ``keys``."""
+    asked = rows.withColumn("messages", judge.story_messages(F.col("target_phonics"), F.col("prompt"), F.col("story"), dims))
+    return _put_back(rows, _judgements(spark, asked, who, log, keys, dims, "raw_story_judge_json", **how), keys)
+
+
+def five_dimensions(spark: SparkSession, rows: DataFrame, who: judge.Judge, log: str, limit: int | None = None, **how) -> DataFrame:
+    """Rows with the five scores of the earlier judge and their total, judged by model, prompt, generation and seed.
+
+    ``limit`` bounds all judged stories, those of earlier runs included; waits double after each failure.
+    """
+    if limit is not None:
+        limit = max(limit - judgelog.replies(spark, log, FIVE_KEYS).count(), 0)
+    out = judged_stories(spark, rows, who, log, FIVE_KEYS, DIMENSIONS, limit=limit, **({"wait": judge.doubling} | how))
+    return out.withColumn("subjective_total", judge.subjective_total(DIMENSIONS))
 
 
 def write_run(rows: DataFrame, to: str) -> None:

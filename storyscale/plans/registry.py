@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyscale.plans import evaluation, texts
+from storyscale.plans import evaluation, files, texts
 from storyscale.plans.query import QUERIES
 
-__all__ = ["QUERIES", "evaluation", "texts"]
+__all__ = ["QUERIES", "evaluation", "files", "texts"]

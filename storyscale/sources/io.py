@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
+import textwrap
+import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyscale.sources import csvscan
+from storyscale.sources.shared import delete, hadoop, work_dir
+
 OUTPUT_COLUMNS = ("model", "prompt_id", "generation_id", "seed", "target_phonics", "prompt", "story")
 
 
@@ -39,12 +47,11 @@ def require_files(spark: SparkSession, *paths: str) -> None:
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = (), empty: bool = False) -> DataFrame:
     """All cells as text, empty ones as '', in the order of ``row_ord``; a byte order mark is dropped.
 
-    Cells may hold line ends and doubled quotes, so a file is read by one task; give many files, or
-    Parquet, for large inputs.
+    Cells may hold line ends and doubled quotes; a large file is read by many tasks all the same (see ``csvscan``).
     """
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+    require_files(spark, path)
+    df = csvscan.read(spark, path)
     require_columns(df, columns, path)
-    df = df.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns]).withColumn("row_ord", F.monotonically_increasing_id())
     return df if empty else require_rows(df, path)
 
 
@@ -61,27 +68,98 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     return require_columns(spark.read.json(path, multiLine=True), ("prompt_id", "target_phonics"), path)
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """A folder of CSV parts with the columns in order; others are left out."""
-    df.select(*[c for c in columns or df.columns if c in df.columns]).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+def _named(df: DataFrame, columns: list[str] | None, strict: bool) -> list[str]:
+    extra = [c for c in df.columns if columns is not None and c not in columns]
+    if strict and extra:
+        raise ValueError(f"columns that the file lacks: {', '.join(extra)}")
+    return [c for c in columns or df.columns if c in df.columns]
 
 
-def export_csv(df: DataFrame, path: str, columns: list[str] | None = None, bom: bool = False) -> None:
-    """One CSV file on the driver, for small results: rows stream through it, never all at once."""
-    names = [c for c in columns or df.columns if c in df.columns]
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with Path(path).open("w", newline="", encoding="utf-8-sig" if bom else "utf-8") as f:
-        out = csv.writer(f)
-        out.writerow(names)
-        for r in df.select(*names).toLocalIterator():
-            out.writerow(["" if x is None else x for x in r])
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """A folder of CSV parts, each with a header; of columns not listed none."""
+    plain = {"quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.select(*_named(df, columns, strict=False)).write.mode("overwrite").options(**plain).csv(path, header=True)
+
+
+def _number(x: Column) -> Column:
+    """A double in the digits that the JVM tells it by, with an exponent only below 0.0001 and from 1e16 on."""
+    digits = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
+    other = F.regexp_replace(x.cast("string"), r"\.0E", "E")
+    for pattern, to in ((r"E(\d)$", "e+0$1"), (r"E(\d+)$", "e+$1"), (r"E-(\d)$", "e-0$1"), ("E-", "e-"), ("Infinity", "inf"), ("NaN", "nan")):
+        other = F.regexp_replace(other, pattern, to)
+    return F.when((x == 0) | F.abs(x).between(1e-4, 9.9e15), digits).otherwise(other)
+
+
+def _cell(df: DataFrame, name: str, alone: bool) -> Column:
+    """A value as a CSV cell, in quotes where it must be."""
+    x, kind = F.col(f"`{name}`"), df.schema[name].dataType.simpleString()
+    if kind == "boolean":
+        x = F.when(x, "True").when(~x, "False")
+    elif kind in ("double", "float"):
+        x = _number(x.cast("double"))
+    elif kind.startswith(("array", "map", "struct", "variant")):
+        x = F.to_json(x)
+    x = F.coalesce(x.cast("string"), F.lit(""))
+    needed = F.regexp_like(x, F.lit('[,"\r\n]')) | (x == "" if alone else F.lit(False))
+    return F.when(needed, F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+
+
+def _joined(df: DataFrame, path: str, end: str, head: str = "", last: str = "", between: bool = False) -> None:
+    """The lines of a one-column frame in order as one file: written in parts by all tasks, whose bytes the file systems put together.
+
+    ``end`` stands behind each line, or with ``between`` only between lines; ``head`` before the first and ``last`` behind all.
+    """
+    spark = df.sparkSession
+    folder = work_dir(spark, "export")
+    df.write.mode("overwrite").option("lineSep", end).text(folder)
+    jvm = spark.sparkContext._jvm
+    fs, at = hadoop(spark, folder)
+    parts = sorted((f.getPath().toString(), f.getLen()) for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
+    to, target = hadoop(spark, path)
+    _, new = hadoop(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = to.create(new, True)
+    out.write(bytearray(head.encode()))
+    gap = bytearray(end.encode())
+    spare, first = len(gap) if between else 0, True
+    for part, size in parts:
+        if size > spare:
+            if between and not first:
+                out.write(gap)
+            source = fs.open(jvm.org.apache.hadoop.fs.Path(part))
+            jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, size - spare)
+            source.close()
+            first = False
+    out.write(bytearray(last.encode()))
+    out.close()
+    to.delete(target, False)
+    if not to.rename(new, target):
+        raise OSError(f"cannot write {path}")
+    delete(spark, folder)
+
+
+def export_csv(df: DataFrame, path: str, columns: list[str] | None = None, bom: bool = False, strict: bool = False) -> None:
+    """One CSV file of the rows in their order (sort them first), lines ending in CR LF.
+
+    Tasks write the lines and only bytes are joined, so the rows never come to the driver. Columns that
+    aren't listed are left out, or with ``strict`` an error.
+    """
+    names = _named(df, columns, strict)
+    head = io.StringIO()
+    csv.writer(head).writerow(names)
+    lines = df.select(F.concat_ws(",", *[_cell(df, n, len(names) == 1) for n in names]).alias("value"))
+    _joined(lines, path, "\r\n", ("\ufeff" if bom else "") + head.getvalue())
 
 
 def export_json(df: DataFrame, path: str) -> None:
-    """One indented JSON array on the driver, for small results."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    rows = [r.asDict(recursive=True) for r in df.toLocalIterator()]
-    Path(path).write_text(json.dumps(rows, indent=2, ensure_ascii=False), encoding="utf-8")
+    """One indented JSON array of the rows in their order, written as ``export_csv`` writes its lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [textwrap.indent(json.dumps(r, indent=2, ensure_ascii=False, default=str), "  ") for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
+
+    some = not df.isEmpty()
+    _joined(df.mapInArrow(run, "value string"), path, ",\n", "[\n" if some else "[", "\n]" if some else "]", between=True)
 
 
 def load_env(path: str, environ: dict[str, str]) -> None:

@@ -24,7 +24,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = _local_root()
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    fs, at = _hadoop(spark, path)
+    fs, at = hadoop(spark, path)
     fs.mkdirs(at)  # only what exists is deleted at the end
     fs.deleteOnExit(at)
     return path
@@ -35,14 +35,15 @@ def _local_root() -> str:
     return "file://" + tempfile.mkdtemp(prefix="storyscale-")
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path on it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder that no plan reads any more."""
-    fs, at = _hadoop(spark, path)
+    fs, at = hadoop(spark, path)
     fs.delete(at, True)
 
 
@@ -62,7 +63,7 @@ def spread(df: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     size = 0
     for f in df.inputFiles():
-        fs, at = _hadoop(spark, f)
+        fs, at = hadoop(spark, f)
         size += fs.getFileStatus(at).getLen()
         if size >= cores * SMALL:
             return df
