@@ -10,9 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyscale.functions import text
 from storyscale.functions.lexicon import DIMENSIONS, STORY_DIMENSIONS
-from storyscale.operators import errors, judge, objective, pairs, profile, prompts, rollup
+from storyscale.operators import errors, gates, judge, objective, pairs, profile, prompts, rollup
 from storyscale.plans import judged, report
 from storyscale.sources import io, judgelog, judges
 from storyscale.sources.lexicon import read_lexicon
@@ -21,41 +20,38 @@ from storyscale.sources.shared import stored, work_dir
 KEYS = ("model", "prompt_id", "generation_id", "seed")
 
 
-def _checked_targets(df: DataFrame) -> DataFrame:
-    """``df``, or an error with the first rows whose targets no pattern has."""
-    bad = df.withColumn("unknown", objective.unknown_targets(text.parse_targets(F.col("target_phonics")))).where(F.size("unknown") > 0).select(*KEYS, "unknown").limit(5).collect()
-    if bad:
-        raise ValueError(f"unknown target_phonics: {[tuple(r) for r in bad]}")
-    return df
+def _scored(spark: SparkSession, a: argparse.Namespace, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The scored rows, stored, in one pass over the input, which also tells the first rows whose targets no pattern has."""
+    unknown = objective.unknown_targets(F.col("targets"))
+    gate = gates.Gate("unknown target_phonics", F.size(unknown) > 0, [*KEYS, unknown.alias("unknown")])
+    rows = gate.watch(objective.scored(io.read_outputs(spark, a.outputs), read_lexicon(spark, a.lexicon)))
+    rows = stored(rows.drop(*[c for c in ("story", "prompt") if c not in keep]), work_dir(spark, "scored"))
+    gate.check()
+    return rows
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Row metrics, summaries and pairs of generated stories."""
-    rows = objective.scored(_checked_targets(io.read_outputs(spark, a.outputs)), read_lexicon(spark, a.lexicon)).persist()  # feeds every view below
+    """Row metrics, summaries, pairs and failure slices of generated stories: six files."""
+    rows = _scored(spark, a, ("story",))
     if a.matched:
         pairs.require_matched(rows)
     io.export_csv(rows.orderBy("row_ord"), f"{a.to}/objective_rows.csv", [c for c in objective.ROW if c != "row_ord"])
-    views = {
-        "objective_summary": rollup.objective_summary(rows, "model").orderBy("model"),
-        "objective_by_prompt": rollup.objective_summary(rows, "model", "prompt_id").orderBy("model", "prompt_id"),
-        "evaluation_summary": rollup.evaluation_summary(rows, with_judge=False),
-        "paired_comparison": pairs.paired_comparison(rows).orderBy(*pairs.KEYS),
-    }
-    for name, df in views.items():
-        io.export_csv(df, f"{a.to}/{name}.csv")
+    judged.write_summaries(rows, f"{a.to}/objective_summary.csv", f"{a.to}/objective_by_prompt.csv")
+    io.export_csv(rollup.evaluation_summary(rows, with_judge=False), f"{a.to}/evaluation_summary.csv")
+    paired = stored(pairs.paired_comparison(rows), work_dir(spark, "pairs"))
+    io.export_csv(paired.orderBy(*pairs.KEYS), f"{a.to}/paired_comparison.csv")
+    judged.write_slices(rows, f"{a.to}/error_analysis.csv")
     print(report.console(rollup.summarize(rows, "model").orderBy("model"), "Summary by model"))
     print(report.console(rollup.summarize(rows, "model", "prompt_id").orderBy("model", "prompt_id"), "Summary by model and prompt"))
-    print(report.console(pairs.means(pairs.paired_comparison(rows)), "Mean differences of pairs"))
-    rows.unpersist()
+    print(report.console(pairs.means(paired), "Mean differences of pairs"))
 
 
 def judge_stories(spark: SparkSession, a: argparse.Namespace) -> None:
     """A judged run: objective rows, judge scores of stories and groups (resumable through Parquet logs), summaries, failures."""
-    df = io.read_outputs(spark, a.outputs)
     io.load_env(a.env, os.environ)
     dims = DIMENSIONS if a.legacy else STORY_DIMENSIONS
     who = judges.recorded(dims=(*dims, *judge.CONSISTENCY)) if a.provider == "recorded" else judges.resolve(a.provider, a.model)
-    rows = stored(objective.scored(_checked_targets(df), read_lexicon(spark, a.lexicon)), work_dir(spark, "scored"))
+    rows = _scored(spark, a, ("story", "prompt"))
     how = {"pause": a.pause, "limit": a.limit, "retries": a.max_retries, "tasks": a.tasks}
     if a.legacy:
         out = stored(judged.five_dimensions(spark, rows, who, f"{a.log}/five", **how), work_dir(spark, "judged"))

@@ -1,7 +1,7 @@
 """Failure slices, representative examples, likely causes, difficulty and concentration.
 
-All rankings are ``row_number() <= k`` filters, which Spark limits within each task before the
-shuffle; ties go by the pair's keys or the row's order, so results are stable.
+Rankings of whole tables share a scan and keep their first rows in each task (``ranking``); ties go by
+the pair's keys or the row's order, so results are stable.
 """
 
 from __future__ import annotations
@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from storyscale.functions.numeric import exact_mean, exact_round, rounded_means
 from storyscale.functions.text import parse_targets
+from storyscale.operators.ordered import numbered
 from storyscale.operators.pairs import pair_rows
+from storyscale.operators.ranking import Ranking, ranked
+from storyscale.sources.shared import stored, work_dir
 from storyscale.sources.tables import KEYS
 
 HIGH_SLICE = 0.25
@@ -45,15 +48,11 @@ def top(df: DataFrame, part: list[str], order: list[Column], k: int, name: str =
 
 
 def error_slices(df: DataFrame, k: int = 8) -> DataFrame:
-    """The worst k tuned rows of each failure type, with how many it has."""
-    tuned = df.where("model = 'tuned'")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    flagged = _labelled(tuned, "failure_type", SLICES)
-    counts = flagged.groupBy("failure_type").agg(F.count(F.lit(1)).alias("n_tuned_flagged"))
-    total = tuned.agg(F.count(F.lit(1)).alias("n_tuned"))
-    order = [zero("spec_adherence_score"), zero("task_quality_score"), zero("robustness_score"), F.desc("above_level_rate"), F.col("row_ord")]
-    worst = top(flagged, ["failure_type"], order, k)
-    return worst.join(counts, "failure_type").join(F.broadcast(total)).withColumn("pct_tuned_flagged", exact_round(F.col("n_tuned_flagged") / F.greatest(F.col("n_tuned"), F.lit(1))))  # total is one row
+    """The worst k tuned rows of each failure type, with how many it has: one scan, one shuffle of a few rows."""
+    order = [F.col("spec_adherence_score"), F.col("task_quality_score"), F.col("robustness_score"), -F.col("above_level_rate")]
+    slices = [Ranking(n, F.expr(c), order, [], F.col("row_ord"), k) for n, c in SLICES]
+    out = ranked(df.where("model = 'tuned'"), slices).withColumnsRenamed({"ranking": "failure_type", "n": "n_tuned_flagged"})
+    return out.withColumn("pct_tuned_flagged", exact_round(F.col("n_tuned_flagged") / F.greatest(F.col("of"), F.lit(1)))).drop("of")
 
 
 def flags(target_phonics: Column) -> dict[str, Column]:
@@ -106,30 +105,12 @@ def likely_cause(mode: Column) -> Column:
     )
 
 
-def _gains(pairs: DataFrame, category: str, order: Column, notes: Column, k: int) -> DataFrame:
-    best = pairs.orderBy(order, *KEYS).limit(k)
-    return top(best.withColumn("category", F.lit(category)).withColumn("notes", notes), ["category"], [order, *map(F.col, KEYS)], k)  # k rows in all
-
-
-def largest_gains(pairs: DataFrame, k: int = 5) -> DataFrame:
-    return _gains(pairs, "largest_compliance_gain", F.desc("compliance_delta"), F.lit("Largest paired gain in objective decodability_compliance."), k)
-
-
 def ceiling_note(delta: Column, tuned: Column) -> Column:
     """What a small gain means."""
     more = F.when((delta == 0) & (tuned >= 0.99), " Ceiling effect: both models already near-perfect on this metric.").when(tuned < WEAK, " Tuned absolute compliance remains relatively weak.").otherwise("")
     return F.concat(F.lit("Smallest paired compliance_delta."), more)
 
 
-def least_gains(pairs: DataFrame, k: int = 5) -> DataFrame:
-    return _gains(pairs, "least_compliance_gain", F.asc("compliance_delta"), ceiling_note(F.col("compliance_delta"), F.col("tuned.decodability_compliance")), k)
-
-
-def least_gain_representative(pairs: DataFrame) -> DataFrame:
-    """The first least gain without ceiling effect, else the first."""
-    return least_gains(pairs).orderBy(F.contains("notes", F.lit("Ceiling effect")), "rank").limit(1)
-
-
 #: Mode, severity column, note.
 MODES = (
     ("low_decodability_adherence", "decodability_adherence_score", "Tuned subjective decodability_adherence_score == 0."),
@@ -140,33 +121,65 @@ MODES = (
 )
 
 
-def failures(pairs: DataFrame) -> DataFrame:
-    """A row for each failure mode of a pair, with category, note and severity (small is bad)."""
+GAINS = ("largest_compliance_gain", "least_compliance_gain")
+
+
+def _rankings(gains: int, more: int) -> list[Ranking]:
+    """Gains by their difference and keys; of each failure mode its worst pair, and the first ``more`` by a shorter order."""
     t = lambda c: F.col(f"tuned.{c}")
-    out = _labelled(pairs, "category", [(m, t(c) >= HIGH_ABOVE if c == "above_level_rate" else t(c) <= 0) for m, c, _ in MODES])
-    severity, note = F.lit(None).cast("double"), F.lit(None).cast("string")
-    for m, c, n in MODES:
-        severity = F.when(F.col("category") == m, -t(c) if c == "above_level_rate" else t(c).cast("double")).otherwise(severity)
-        note = F.when(F.col("category") == m, n).otherwise(note)
-    return out.withColumns({"severity": severity, "note": note})
+    delta, keys, row = F.col("compliance_delta"), list(map(F.col, KEYS)), t("row_ord")
+    out = [Ranking(c, F.lit(True), [sign * delta], keys, row, gains) for c, sign in zip(GAINS, (-1, 1)) if gains]
+    for m, c, _ in MODES:
+        above = c == "above_level_rate"
+        severity = [-t(c) if above else t(c), t("overall_spec_adherence_score")]
+        when = t(c) >= HIGH_ABOVE if above else t(c) <= 0
+        if more:
+            out.append(Ranking(m, when, [*severity, F.lit(0.0) if above else -t("above_level_rate")], [], row, 1))
+            out.append(Ranking(f"{m}+", when, severity, [], row, more + 1))
+    return out
+
+
+def pair_examples(pairs: DataFrame, gains: int = 5, more: int = 4) -> DataFrame:
+    """KEYS, category, rank, notes, compliance_delta, base, tuned, n and of: the largest and smallest gains, each failure mode's worst pair and, ranked from 2, up to ``more`` others.
+
+    All rankings share one scan of the pairs.
+    """
+    out = ranked(pairs, _rankings(gains, more))
+    extra = F.endswith("ranking", F.lit("+"))
+    out = out.withColumns({"category": F.rtrim("ranking", F.lit("+")), "extra": extra})
+    of_mode = Window.partitionBy("category")  # a few rows each
+    out = out.withColumn("rep", F.max(F.when(~F.col("extra") & ~F.col("category").isin(*GAINS), F.col("tuned.row_ord"))).over(of_mode))
+    out = out.where(~F.col("extra") | (F.col("tuned.row_ord") != F.col("rep")))
+    out = out.withColumn("rank", F.when(F.col("extra"), F.row_number().over(Window.partitionBy("category", "extra").orderBy("rank")) + 1).otherwise(F.col("rank")))
+    note = F.lit("Largest paired gain in objective decodability_compliance.")
+    note = F.when(F.col("category") == GAINS[1], ceiling_note(F.col("compliance_delta"), F.col("tuned.decodability_compliance"))).otherwise(note)
+    for m, _, n in MODES:
+        told = F.when(F.col("extra"), F.lit(f"{n} additional flagged example.")).otherwise(F.format_string(f"{n.replace('%', '%%')} n_tuned_flagged=%d/%d.", "n", "of"))
+        note = F.when(F.col("category") == m, told).otherwise(note)
+    return out.where(~F.col("extra") | (F.col("rank") <= more + 1)).withColumn("notes", note).select(*KEYS, "category", "rank", "notes", "compliance_delta", "base", "tuned", "n", "of")
+
+
+def largest_gains(pairs: DataFrame, k: int = 5) -> DataFrame:
+    return pair_examples(pairs, k, 0).where(F.col("category") == GAINS[0])
+
+
+def least_gains(pairs: DataFrame, k: int = 5) -> DataFrame:
+    return pair_examples(pairs, k, 0).where(F.col("category") == GAINS[1])
+
+
+def least_gain_representative(pairs: DataFrame) -> DataFrame:
+    """The first least gain without ceiling effect, else the first."""
+    return least_gains(pairs).orderBy(F.contains("notes", F.lit("Ceiling effect")), "rank").limit(1)
 
 
 def representatives(pairs: DataFrame) -> DataFrame:
     """The worst pair of each mode, with the mode's count among all."""
-    flagged = failures(pairs)
-    above = F.when(F.col("category") == "high_above_level", 0.0).otherwise(-F.col("tuned.above_level_rate"))
-    worst = top(flagged, ["category"], [F.col("severity"), F.col("tuned.overall_spec_adherence_score"), above, F.col("tuned.row_ord")], 1)
-    counts = flagged.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    total = pairs.agg(F.count(F.lit(1)).alias("of"))
-    return worst.join(counts, "category").join(F.broadcast(total)).withColumn("notes", F.format_string("%s n_tuned_flagged=%d/%d.", "note", "n", "of"))  # total is one row
+    return pair_examples(pairs, 0, 1).where("rank = 1")
 
 
 def extras(pairs: DataFrame, k: int = 4) -> DataFrame:
     """Up to k more pairs of each mode, ranked from 2."""
-    rep = representatives(pairs).select("category", F.col("tuned.row_ord").alias("rep"))
-    rest = failures(pairs).join(F.broadcast(rep), "category").where(F.col("tuned.row_ord") != F.col("rep"))  # rep: a row for each mode
-    out = top(rest, ["category"], [F.col("severity"), F.col("tuned.overall_spec_adherence_score"), F.col("tuned.row_ord")], k)
-    return out.withColumn("rank", F.col("rank") + 1).withColumn("notes", F.concat("note", F.lit(" additional flagged example.")))
+    return pair_examples(pairs, 0, k).where("rank > 1")
 
 
 def prompt_stats(df: DataFrame) -> DataFrame:
@@ -190,12 +203,12 @@ def prompt_stats(df: DataFrame) -> DataFrame:
         F.count_if(tuned & (F.col("above_level_rate") >= HIGH_ABOVE)).alias("n_high_above"),
     ).where("n > 0")
     order = ["overall_spec_adherence", "target_phonics_pattern_emphasis", "satisfaction", "decodability_adherence", F.desc("above"), "prompt_id"]
-    return stats.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # a row for each prompt
+    return numbered(stats, order, "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
-def hardest_examples(df: DataFrame, pairs: DataFrame, k: int = 5) -> DataFrame:
-    """The worst pair of each of the k hardest prompts."""
-    hard = prompt_stats(df).where(F.col("rank") <= k).select("prompt_id", "rank", "overall_spec_adherence", "target_phonics_pattern_emphasis", "satisfaction")
+def hardest_examples(df: DataFrame, pairs: DataFrame, k: int = 5, stats: DataFrame | None = None) -> DataFrame:
+    """The worst pair of each of the k hardest prompts (of ``prompt_stats``, if they are at hand)."""
+    hard = (prompt_stats(df) if stats is None else stats).where(F.col("rank") <= k).select("prompt_id", "rank", "overall_spec_adherence", "target_phonics_pattern_emphasis", "satisfaction")
     t = lambda c: F.col(f"tuned.{c}")
     order = [t("overall_spec_adherence_score"), t("target_phonics_pattern_emphasis_score"), t("decodability_adherence_score"), F.desc("tuned.above_level_rate"), t("row_ord")]
     worst = top(pairs.join(F.broadcast(hard), "prompt_id"), ["prompt_id"], order, 1, "__first").drop("__first")  # hard: k rows
@@ -203,20 +216,17 @@ def hardest_examples(df: DataFrame, pairs: DataFrame, k: int = 5) -> DataFrame:
     return worst.withColumn("category", F.lit("prompt_difficulty")).withColumn("notes", notes)
 
 
-def example_rows(frames: list[DataFrame]) -> DataFrame:
-    """The examples of several rankings under each other, with their likely cause."""
+def all_examples(df: DataFrame) -> DataFrame:
+    """Gains, failures and the hardest prompts' worst pairs under each other, with their likely cause.
+
+    The pairs are made once and stored without texts; two scans of them serve all rankings.
+    """
+    pairs = stored(examined_pairs(df), work_dir(df.sparkSession, "pairs"))
     cols = [*KEYS, "category", "rank", "notes", "compliance_delta", "base", "tuned"]
-    out = frames[0].select(*cols)
-    for f in frames[1:]:
-        out = out.unionByName(f.select(*cols))
+    out = pair_examples(pairs).select(cols).unionByName(hardest_examples(df, pairs).select(cols))
     return out.withColumn("likely_cause", likely_cause(F.col("category")))
 
 
-def all_examples(df: DataFrame) -> DataFrame:
-    pairs = examined_pairs(df)
-    return example_rows([largest_gains(pairs), least_gains(pairs), representatives(pairs), extras(pairs), hardest_examples(df, pairs)])
-
-
 def cause_tally(examples: DataFrame) -> DataFrame:
     """How often each cause explains a first-ranked example; gains are no failure."""
     return examples.where("rank = 1 AND category <> 'largest_compliance_gain'").groupBy("likely_cause").agg(F.count(F.lit(1)).alias("n"))

@@ -91,6 +91,21 @@ def target_details(df: DataFrame) -> DataFrame:
     return df.withColumns({"target_distinct": n, "target_credit": exact_round(F.least(n / float(PASS_WORDS), F.lit(1.0))), "target_pass": (n >= PASS_WORDS).cast("int")}).drop("__count")
 
 
+#: Columns of ``wide_targets``.
+WIDE = [f"{p}_target_{k}" for p in DISPLAY for k in ("distinct", "credit", "pass")]
+
+
+def wide_targets(df: DataFrame) -> DataFrame:
+    """``df`` (with words) with WIDE: distinct words, credit and pass of each pattern that the story requests, null of others.
+
+    What ``target_details`` tells in rows; row by row, so without a pivot's shuffle.
+    """
+    df = df.withColumn("__targets", text.parse_targets(F.col("target_phonics"))).withColumns({f"{p}_target_distinct": F.when(F.array_contains("__targets", d), distinct_with(p)) for p, d in DISPLAY.items()})
+    n = {p: F.col(f"{p}_target_distinct") for p in DISPLAY}
+    made = {f"{p}_target_credit": exact_round(F.when(n[p].isNotNull(), F.least(n[p] / float(PASS_WORDS), F.lit(1.0)))) for p in DISPLAY} | {f"{p}_target_pass": (n[p] >= PASS_WORDS).cast("int") for p in DISPLAY}
+    return df.withColumns(made).drop("__targets")
+
+
 PARTS = ("__lines", "__raw", "__low", "__title", "__body", "__end", "__sentences", "__norms")
 
 

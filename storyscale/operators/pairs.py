@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyscale.functions.numeric import exact_round, rounded_means
+from storyscale.operators.ranking import Ranking, ranked
 from storyscale.sources.tables import KEYS
 
 MODELS = ("base", "tuned")
@@ -53,7 +54,10 @@ def key_gate(df: DataFrame) -> DataFrame:
 
 
 def require_matched(df: DataFrame) -> None:
-    """Raise if base and tuned differ in their keys, naming the first five of each side."""
-    found = {s: [tuple(r) for r in key_gate(df).where(F.col("side") == s).orderBy(*KEYS).select(*KEYS).limit(5).collect()] for s in ("only_base", "only_tuned")}
-    if any(found.values()):
+    """Raise if base and tuned differ in their keys, naming the first five of each side: one scan of the rows."""
+    sides = {"only_base": "base IS NOT NULL AND tuned IS NULL", "only_tuned": "base IS NULL AND tuned IS NOT NULL"}
+    keys = [F.col(k) for k in KEYS]
+    rows = ranked(pair_rows(df, ["row_ord"]), [Ranking(n, F.expr(c), [], keys, F.lit(0), 5) for n, c in sides.items()]).orderBy("ranking", "rank").collect()
+    found = {s: [tuple(r[k] for k in KEYS) for r in rows if r["ranking"] == s] for s in sides}
+    if rows:
         raise ValueError(f"base and tuned keys differ: {found}")

@@ -38,6 +38,24 @@ def objective_summary(df: DataFrame, *keys: str) -> DataFrame:
     return titled(df, METRICS | SECONDARY, *keys, targets="prompt_id" in keys)
 
 
+def objective_summaries(df: DataFrame) -> DataFrame:
+    """Titled means of each model and of each model's prompts in one pass: prompt_id and target_phonics are null in a model's own row, which ``of_model`` tells."""
+    groups = df.groupingSets([["model"], ["model", "prompt_id"]], "model", "prompt_id")
+    of_model = F.grouping("prompt_id") == 1
+    out = rounded_means(groups, {t: F.col(k) for k, t in (METRICS | SECONDARY).items()}, of_model.alias("of_model"), F.min_by("target_phonics", "row_ord").alias("target_phonics"), F.count(F.lit(1)).alias("n"))
+    return out.withColumn("target_phonics", F.when(~F.col("of_model"), F.col("target_phonics")))
+
+
+def by_model(summaries: DataFrame) -> DataFrame:
+    """The models' rows of ``objective_summaries``."""
+    return summaries.where("of_model").drop("of_model", "prompt_id", "target_phonics")
+
+
+def by_prompt(summaries: DataFrame) -> DataFrame:
+    """The prompts' rows of ``objective_summaries``."""
+    return summaries.where("NOT of_model").drop("of_model")
+
+
 def subjective_summary(df: DataFrame, *keys: str) -> DataFrame:
     """Of judged rows alone."""
     return titled(df.where(F.col("spec_adherence_score").isNotNull()), JUDGE_METRICS, *keys)

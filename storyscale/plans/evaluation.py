@@ -27,10 +27,11 @@ def scored(spark, sf_dir) -> DataFrame:
 def judged(spark, sf_dir) -> DataFrame:
     """Scored rows with the recorded judge scores, and a group's consistency on its judged rows.
 
-    Rankings read the scored rows many times, so these are scored once and stored without their texts.
+    Rows are scored once and stored without their texts, and stored again with all scores: what stands
+    on them scans them alone.
     """
     rows = stored(scored(spark, sf_dir).drop("story", "prompt"), work_dir(spark, "scored"))
-    return with_consistency(rows.join(recorded_judge(spark, sf_dir), "row_ord", "left"))
+    return stored(with_consistency(rows.join(recorded_judge(spark, sf_dir), "row_ord", "left")), work_dir(spark, "judged"))
 
 
 def with_consistency(df: DataFrame) -> DataFrame:
@@ -80,6 +81,12 @@ def objective_summary_by_prompt(spark, sf_dir):
     return rollup.objective_summary(scored(spark, sf_dir), "model", "prompt_id")
 
 
+@query(O.query(f"SELECT model, prompt_id, prompt_id IS NULL AS of_model, CASE WHEN prompt_id IS NOT NULL THEN arg_min(target_phonics, row_ord) END AS target_phonics, count(*) AS n, {_TITLED} FROM objective GROUP BY GROUPING SETS ((model), (model, prompt_id))", *O.TO_OBJECTIVE))
+def objective_summaries(spark, sf_dir):
+    """Both of these summaries from one scan, by grouping sets."""
+    return rollup.objective_summaries(scored(spark, sf_dir))
+
+
 @query(O.query(f"SELECT model, count(*) AS n, {_JUDGE_TITLED} FROM judged WHERE spec_adherence_score IS NOT NULL GROUP BY model", *TO_JUDGED))
 def subjective_summary(spark, sf_dir):
     """Titled judge means of each model, of judged rows."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyscale.functions.lexicon import DIMENSIONS, STORY_DIMENSIONS
+from storyscale.functions.lexicon import DIMENSIONS, METRICS, SECONDARY, STORY_DIMENSIONS
 from storyscale.operators import errors, judge, objective, rollup
 from storyscale.sources import io, judgelog
 from storyscale.sources.shared import stored, work_dir
@@ -67,6 +67,20 @@ def five_dimensions(spark: SparkSession, rows: DataFrame, who: judge.Judge, log:
     return out.withColumn("subjective_total", judge.subjective_total(DIMENSIONS))
 
 
+def write_summaries(rows: DataFrame, models: str, prompts: str) -> None:
+    """The objective summaries by model and by prompt, of one pass over the rows."""
+    both = stored(rollup.objective_summaries(rows), work_dir(rows.sparkSession, "summaries"))
+    titles = [t for t in (METRICS | SECONDARY).values()]
+    io.export_csv(rollup.by_model(both).orderBy("model"), models, ["model", "n", *titles])
+    io.export_csv(rollup.by_prompt(both).orderBy("model", "prompt_id"), prompts, ["model", "prompt_id", "target_phonics", "n", *titles])
+
+
+def write_slices(rows: DataFrame, path: str) -> None:
+    """The worst rows of each failure type; what isn't judged fails by its own metrics alone."""
+    rows = rows.withColumns({c: F.lit(None).cast("string" if c.endswith("justification") else "int") for c in _SCORES if c not in rows.columns})
+    io.export_csv(errors.error_slices(rows).orderBy("failure_type", "rank"), path, list(_SLICES))
+
+
 def write_run(rows: DataFrame, to: str) -> None:
     """The ten files of a judged run, and the rows as Parquet for the failure report."""
     was = F.col("spec_adherence_score").isNotNull()
@@ -77,11 +91,10 @@ def write_run(rows: DataFrame, to: str) -> None:
     ordered = rows.orderBy("row_ord")
     io.export_csv(ordered, f"{to}/scored_outputs.csv", whole)
     io.export_csv(rollup.evaluation_summary(done), f"{to}/evaluation_summary.csv", ["metric", "metric_key", "metric_family", "base_mean", "tuned_mean", "tuned_minus_base", "n_base", "n_tuned", "note"])
-    io.export_csv(rollup.objective_summary(rows, "model").orderBy("model"), f"{to}/objective/objective_eval_summary.csv")
-    io.export_csv(rollup.objective_summary(rows, "model", "prompt_id").orderBy("model", "prompt_id"), f"{to}/objective/objective_eval_by_prompt.csv")
+    write_summaries(rows, f"{to}/objective/objective_eval_summary.csv", f"{to}/objective/objective_eval_by_prompt.csv")
     io.export_csv(ordered, f"{to}/objective/objective_eval_results.csv", [c for c in objective.ROW if c != "row_ord"])
     io.export_csv(rollup.subjective_summary(done, "model").orderBy("model"), f"{to}/subjective/llm_judge_summary.csv")
     io.export_csv(rollup.subjective_summary(done, "model", "prompt_id").orderBy("model", "prompt_id"), f"{to}/subjective/llm_judge_by_prompt.csv")
     io.export_csv(done.orderBy("row_ord"), f"{to}/subjective/llm_judge_results.csv", [*keys, *_SCORES, "raw_story_judge_json", "raw_consistency_judge_json"])
     io.export_csv(ordered, f"{to}/subjective/final_evaluation.csv", whole)
-    io.export_csv(errors.error_slices(done).orderBy("failure_type", "rank"), f"{to}/error_analysis.csv", list(_SLICES))
+    write_slices(done, f"{to}/error_analysis.csv")

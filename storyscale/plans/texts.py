@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyscale.functions import patterns, text
+from storyscale.functions import patterns, sql, text
 from storyscale.functions.lexicon import DISPLAY, PATTERNS
 from storyscale.functions.numeric import exact_round
-from storyscale.operators import objective, profile, prompts
+from storyscale.operators import objective, patternscan, profile, prompts
 from storyscale.plans import oracle as O
 from storyscale.plans.query import query
-from storyscale.sources.tables import quoted, stories, values
+from storyscale.sources.shared import spread
+from storyscale.sources.tables import quoted, read, stories, values
 
 _VOCAB = "(SELECT word, CAST(sum(freq) AS BIGINT) AS freq FROM counted GROUP BY word)"
 
@@ -55,6 +56,30 @@ def classify_vocab(spark, sf_dir):
     return _vocabulary(spark, sf_dir).select("word", F.col("syl").alias("syllables"), F.array_join(patterns.pattern_names(m), ",").alias("patterns"), F.array_join(patterns.notes(w, m), "; ").alias("notes"))
 
 
+_SPELLED = "list_filter([" + ", ".join(f"CASE WHEN p_{p} THEN '{p}' END" for p in sorted(("digraph", "blend", "final_e", "vowel_team", "r_controlled", "l_controlled", "diphthong", "irregular"))) + "], lambda x: x IS NOT NULL)"
+
+
+@query(O.query(f"SELECT word, array_to_string({_SPELLED}, ',') AS patterns FROM classified", *O.TO_STAGED))
+def classify_by_table(spark, sf_dir):
+    """Spelling patterns of each word, found by an automaton over a table of patterns."""
+    # the table has an irregular word's other patterns too; it stands alone here as in the other classification
+    table = spark.createDataFrame(patternscan.spelled_patterns(), "pattern string, kind string, part string, min_length int")
+    out = patternscan.classified(profile.vocabulary(stories(spark, sf_dir)), table)
+    alone = F.when(F.array_contains("found", "irregular"), F.array(F.lit("irregular"))).otherwise(F.col("found"))
+    return out.select("word", F.array_join(alone, ",").alias("patterns"))
+
+
+@query(O.query(f"SELECT word, total AS freq, CAST(syl AS INT) AS syllables, {O.STAGE} AS stage, array_to_string({O.PATTERN_LIST}, ',') AS patterns FROM classified", *O.TO_STAGED))
+def sql_functions(spark, sf_dir):
+    """Words of the documents counted and classified in plain SQL."""
+    docs = spread(read(spark, sf_dir, "documents").select("text"))
+    return sql.register(spark).sql(
+        """SELECT word, freq, word_syllables(word) AS syllables, word_stage(mask) AS stage, array_join(word_patterns(mask), ',') AS patterns FROM
+           (SELECT *, word_mask(word) AS mask FROM (SELECT word, count(*) AS freq FROM (SELECT explode(words) AS word FROM (SELECT story_words(text) AS words FROM {docs})) GROUP BY word))""",
+        docs=docs,
+    )
+
+
 @query(O.query(f"SELECT word, {O.STAGE} AS stage, NOT p_irregular AND {O._REST} AS short_vowel FROM classified", *O.TO_STAGED))
 def word_stage_vocab(spark, sf_dir):
     """Highest stage of each word and whether it is a short-vowel word."""
@@ -180,6 +205,16 @@ def target_details(spark, sf_dir):
     return objective.target_details(profile.with_words(stories(spark, sf_dir))).select("row_ord", "target", "target_distinct", "target_credit", "target_pass")
 
 
+_WIDE = ", ".join(f"max(n) FILTER (target = '{d}') AS {p}_target_distinct, max({O.rounded('least(n::double / 4, 1::double)')}) FILTER (target = '{d}') AS {p}_target_credit, max(CAST(n >= 4 AS INT)) FILTER (target = '{d}') AS {p}_target_pass" for p, d in DISPLAY.items())
+
+
+@query(O.query(f"SELECT row_ord, {_WIDE} FROM (SELECT row_ord, targets[i] AS target, counts[i] AS n FROM (SELECT *, unnest(generate_series(1, len(targets))) AS i FROM levels)) GROUP BY row_ord", *O.TO_LEVELS))
+def target_details_wide(spark, sf_dir):
+    """A story's requested targets in columns of their own; the others are null."""
+    out = objective.wide_targets(profile.with_words(stories(spark, sf_dir)))
+    return out.select("row_ord", *objective.WIDE)
+
+
 _LEAKS = [(t,) for t in ("Phonics fun", "The FINAL exam", "A short vowel and a digraph", "the cat sat", "R-Controlled and r controlled", "")] + [(None,)]
 
 
