@@ -45,7 +45,7 @@ from storyscale.llm.words import words
 ADD = 0.1
 END = np.uint64(1)  #: stands for the end token among word hashes
 _SLICE = 1 << 21  #: bytes of text whose words are found together
-_BLOCK = 1 << 19  #: tokens that are looked up together
+_BLOCK = 3 << 18  #: tokens that are looked up together
 _GATHER = 1 << 22  #: tokens that are counted before they are shuffled
 _MANY = 255  #: counts from here on lie in a list of their own
 _LARGE = 64  #: followers of a history beyond which its sums are stored
@@ -234,12 +234,19 @@ def _of_ranks(model: Model, ranks: np.ndarray, kinds: dict[str, str]) -> list[np
 
 def _bisect(have: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of each x in its own sorted range of ``have``, and whether it is there."""
-    lo, left, end = lo.astype(np.int64), (hi - lo).astype(np.int64), hi
-    while left.max(initial=0) > 0:
+    place = lo.astype(np.int64)
+    at = np.flatnonzero(hi > lo)
+    first, left, want = place[at], (hi - lo)[at].astype(np.int64), x[at]
+    while len(at):  # most ranges are short, so few rows stay
         half = left >> 1
-        less = (left > 0) & (have[np.minimum(lo + half, len(have) - 1)] < x)
-        lo, left = np.where(less, lo + half + 1, lo), np.where(less, left - half - 1, half)
-    return lo, (lo < end) & (have[np.minimum(lo, len(have) - 1)] == x)
+        less = have[first + half] < want
+        first, left = np.where(less, first + half + 1, first), np.where(less, left - half - 1, half)
+        more = left > 0
+        place[at[~more]] = first[~more]
+        at, first, left, want = at[more], first[more], left[more], want[more]
+    if not len(have):
+        return place, np.zeros(len(place), bool)
+    return place, (place < hi) & (have[np.minimum(place, len(have) - 1)] == x)
 
 
 def _write_starts(name: str, starts: np.ndarray) -> None:
@@ -277,11 +284,14 @@ def _store(place: str, cols: list[np.ndarray], c: np.ndarray) -> np.ndarray:
 
 def _places(model: Model, place: str, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Places of rows in the level of their last column, and whether they are there."""
-    lo = np.zeros(len(cols[0]), np.int64)
-    hi = np.full(len(lo), len(map_array(f"{place}.0", model.kind)))
-    there = np.ones(len(lo), bool)
+    there = np.ones(len(cols[0]), bool)
     for level, x in enumerate(cols):
-        lo, found = _bisect(map_array(f"{place}.{level}", model.kind), lo, hi, x)
+        have = map_array(f"{place}.{level}", model.kind)
+        if level:
+            lo, found = _bisect(have, lo, hi, x)
+        else:  # the first column is sorted through
+            lo = np.searchsorted(have, x)
+            found = have[np.minimum(lo, len(have) - 1)] == x if len(have) else np.zeros(len(x), bool)
         there &= found
         if level < len(cols) - 1:
             at = np.where(there, lo, 0)
