@@ -3,10 +3,11 @@
 Priority 0 is a machine-readable tag, 1 a grant or a distinctive sentence of a license text, 2 a
 license's name, 3 a general notice. A rule's keyword is a literal part of everything it matches, from
 the start of a word on. A version is in a label only where the text names it; a name without one gets the family's label
-(``apache-any``).
+(``apache-any``). Identifiers count one by one in a compound expression (``MIT OR Apache-2.0``).
 
 Shorthands in the rules: ``{2.0}`` a version however it is joined to the name (2, v2, 2.0, version
-2.0; a last zero may lack), ``{L}`` license in either spelling, ``{U}`` a grant's opening words.
+2.0; a last zero may lack), ``{+}`` a plus behind it, ``{L}`` license in either spelling, ``{U}`` a
+grant's opening words. Identifiers and the kinds of Creative Commons make rules by themselves.
 """
 
 from __future__ import annotations
@@ -87,14 +88,18 @@ gpl-2.0|1|general public|{U}(?:gnu )?general public {L}{2.0}
 gpl-2.0|2|gpl|(?:gnu )?gpl{2.0}(?: only)?
 gpl-2.0|2|general public|(?:gnu )?general public {L}{2.0}(?: only)?
 gpl-2.0-or-later|1|gpl|(?:gnu )?gpl{2.0} or (?:any )?(?:later|newer|higher)(?: version)?
+gpl-2.0-or-later|1|gpl|(?:gnu )?gpl{2.0}{+}
 gpl-2.0-or-later|1|general public|(?:gnu )?general public {L}{2.0} or (?:any )?(?:later|newer|higher)(?: version)?
+gpl-2.0-or-later|1|general public|(?:gnu )?general public {L}{2.0}{+}
 gpl-2.0-or-later|1|either version 2|either version 2(?: 0)? of the {L} or at your option any later version
 gpl-3.0|1|gpl|{U}(?:gnu )?gpl{3.0}
 gpl-3.0|1|general public|{U}(?:gnu )?general public {L}{3.0}
 gpl-3.0|2|gpl|(?:gnu )?gpl{3.0}(?: only)?
 gpl-3.0|2|general public|(?:gnu )?general public {L}{3.0}(?: only)?
 gpl-3.0-or-later|1|gpl|(?:gnu )?gpl{3.0} or (?:any )?(?:later|newer|higher)(?: version)?
+gpl-3.0-or-later|1|gpl|(?:gnu )?gpl{3.0}{+}
 gpl-3.0-or-later|1|general public|(?:gnu )?general public {L}{3.0} or (?:any )?(?:later|newer|higher)(?: version)?
+gpl-3.0-or-later|1|general public|(?:gnu )?general public {L}{3.0}{+}
 gpl-3.0-or-later|1|either version 3|either version 3(?: 0)? of the {L} or at your option any later version
 gpl-any|1|gpl|{U}(?:gnu )?gpl(?: {L})?
 gpl-any|1|general public|{U}(?:gnu )?general public {L}
@@ -103,21 +108,29 @@ gpl-any|2|general public|gnu general public {L}
 gpl-any|1|free software|this program is free software you can redistribute it and or modify it
 gpl-any|1|without even the implied|without even the implied warranty of merchantability or fitness for a particular purpose
 gpl-any|1|received a copy|you should have received a copy of the gnu general public {L}
-gpl-any|1|gnu org licenses gpl|gnu org licenses gpl(?: \\d 0| \\d)?
+gpl-any|1|gnu org licenses gpl|gnu org licenses gpl
+gpl-2.0|1|gnu org licenses|gnu org licenses (?:old licenses )?gpl 2 0
+gpl-3.0|1|gnu org licenses|gnu org licenses gpl 3 0
+lgpl-2.1|1|gnu org licenses|gnu org licenses (?:old licenses )?lgpl 2 1
+lgpl-3.0|1|gnu org licenses|gnu org licenses lgpl 3 0
+agpl-3.0|1|gnu org licenses|gnu org licenses agpl 3 0
 gpl-exception|2|exception|(?:gcc runtime library|classpath|linking|font embedding|autoconf|bison) exception
 gpl-any|3|copyleft|copyleft (?:{L}|software)
-lgpl-2.0|2|library general public|(?:gnu )?library general public {L}
+lgpl-2.0|2|library general public|(?:gnu )?library general public {L}{2.0}
+lgpl-any|2|library general public|(?:gnu )?library general public {L}
 lgpl-2.0|2|lgpl|(?:gnu )?lgpl{2.0}
 lgpl-2.1|1|lgpl|{U}(?:gnu )?lgpl{2.1}
 lgpl-2.1|2|lgpl|(?:gnu )?lgpl{2.1}(?: only)?
 lgpl-2.1|2|lesser general public|(?:gnu )?lesser general public {L}{2.1}(?: only)?
 lgpl-2.1-or-later|1|lgpl|(?:gnu )?lgpl{2.1} or (?:any )?(?:later|newer|higher)(?: version)?
+lgpl-2.1-or-later|1|lgpl|(?:gnu )?lgpl{2.1}{+}
 lgpl-2.1-or-later|1|lesser general public|(?:gnu )?lesser general public {L}{2.1} or (?:any )?(?:later|newer|higher)(?: version)?
 lgpl-2.1-or-later|1|either version 2 1|either version 2 1 of the {L} or at your option any later version
 lgpl-3.0|1|lgpl|{U}(?:gnu )?lgpl{3.0}
 lgpl-3.0|2|lgpl|(?:gnu )?lgpl{3.0}(?: only)?
 lgpl-3.0|2|lesser general public|(?:gnu )?lesser general public {L}{3.0}(?: only)?
 lgpl-3.0-or-later|1|lgpl|(?:gnu )?lgpl{3.0} or (?:any )?(?:later|newer|higher)(?: version)?
+lgpl-3.0-or-later|1|lgpl|(?:gnu )?lgpl{3.0}{+}
 lgpl-any|1|lgpl|{U}(?:gnu )?lgpl(?: {L})?
 lgpl-any|2|lgpl|(?:the |gnu )?lgpl(?: {L}d?)?
 lgpl-any|2|lesser general public|(?:gnu )?lesser general public {L}
@@ -127,6 +140,7 @@ agpl-3.0|1|agpl|{U}(?:gnu )?agpl{3.0}
 agpl-3.0|2|agpl|(?:gnu )?agpl{3.0}(?: only)?
 agpl-3.0|2|affero|(?:gnu )?affero (?:general public {L}|gpl){3.0}(?: only)?
 agpl-3.0-or-later|1|agpl|(?:gnu )?agpl{3.0} or (?:any )?(?:later|newer|higher)(?: version)?
+agpl-3.0-or-later|1|agpl|(?:gnu )?agpl{3.0}{+}
 agpl-3.0-or-later|1|affero|(?:gnu )?affero general public {L}{3.0} or (?:any )?(?:later|newer|higher)(?: version)?
 agpl-any|2|agpl|(?:the |gnu )?agpl(?: {L}d?)?
 agpl-any|2|affero|(?:gnu )?affero (?:general public {L}|gpl)
@@ -155,7 +169,8 @@ epl-2.0|2|eclipse|eclipse public {L}{2.0}
 epl-2.0|2|epl|epl{2.0}
 epl-any|1|accompanying materials|this program and the accompanying materials are made available under the terms of the eclipse public {L}
 epl-any|2|eclipse|eclipse public {L}
-edl-1.0|2|eclipse|eclipse distribution {L}(?: v? ?1 0| v1 0)?
+edl-1.0|2|eclipse|eclipse distribution {L}{1.0}
+edl-any|2|eclipse|eclipse distribution {L}
 cddl-1.0|2|cddl|cddl{1.0}
 cddl-1.1|2|cddl|cddl{1.1}
 cddl-1.0|2|common development|common development and distribution {L}{1.0}
@@ -163,8 +178,10 @@ cddl-any|2|common development|common development and distribution {L}
 cddl-any|2|cddl|cddl(?: {L})?
 cpl-1.0|2|common public|common public {L}{1.0}
 cpl-any|2|common public|common public {L}
-ipl-1.0|2|ibm public|ibm public {L}
-cpal-1.0|2|common public attribution|common public attribution {L}
+ipl-1.0|2|ibm public|ibm public {L}{1.0}
+ipl-any|2|ibm public|ibm public {L}
+cpal-1.0|2|common public attribution|common public attribution {L}{1.0}
+cpal-any|2|common public attribution|common public attribution {L}
 eupl-1.1|2|eupl|eupl{1.1}
 eupl-1.2|2|eupl|eupl{1.2}
 eupl-any|2|european union public|european union public {L}
@@ -177,6 +194,7 @@ zlib|1|altered source versions|altered source versions must be plainly marked as
 zlib|1|provided as is without any express|this software is provided as is without any express or implied warranty
 libpng|2|libpng|libpng {L}
 boost-1.0|2|boost software|boost software {L}{1.0}
+boost-1.0|1|boost org|boost org {L} 1 0
 boost-any|2|boost|boost(?: software)? {L}
 boost-any|1|any person or organization obtaining|permission is hereby granted free of charge to any person or organization obtaining a copy of the software
 unlicense|1|free and unencumbered|this is free and unencumbered software released into the public domain
@@ -205,7 +223,8 @@ unicode|2|unicode|unicode (?:inc )?{L}(?: agreement)?
 ncsa|2|ncsa|ncsa open source {L}
 w3c|2|w3c|w3c software(?: notice and)? {L}
 sleepycat|2|sleepycat|sleepycat {L}
-qpl-1.0|2|q public|q public {L}
+qpl-1.0|2|q public|q public {L}{1.0}
+qpl-any|2|q public|q public {L}
 lppl-any|2|latex project public|latex project public {L}
 ecl-2.0|2|educational community|educational community {L}(?: version)? 2 0
 ms-pl|2|microsoft public|microsoft public {L}
@@ -218,12 +237,22 @@ osl-3.0|2|open software|open software {L}{3.0}
 osl-any|2|open software|open software {L}
 afl-3.0|2|academic free|academic free {L}{3.0}
 afl-any|2|academic free|academic free {L}
-upl-1.0|2|universal permissive|universal permissive {L}
+upl-1.0|2|universal permissive|universal permissive {L}{1.0}
+upl-any|2|universal permissive|universal permissive {L}
 mulan-2.0|2|mulan|mulan(?: permissive software {L}|psl){2.0}
 bsl-1.1|2|business source|business source {L}{1.1}
 bsl-any|2|business source|business source {L}
 sspl-1.0|2|sspl|sspl{1.0}
 sspl-any|2|server side public|server side public {L}
+sspl-any|2|sspl|(?:the )?sspl(?: {L})?
+cecill-2.0|2|cecill|cecill{2.0}
+cecill-2.1|2|cecill|cecill{2.1}
+cecill-b|2|cecill|cecill b(?: {L})?
+cecill-c|2|cecill|cecill c(?: {L})?
+cecill-any|2|cecill|cecill(?: free software)?(?: {L})?
+blueoak-1.0.0|2|blueoak|blueoak 1 0 0
+blueoak-1.0.0|2|blue oak|blue oak model {L} 1 0 0
+blueoak-any|2|blue oak|blue oak model {L}
 elastic-2.0|2|elastic|elastic {L}{2.0}
 elastic-any|2|elastic|elastic {L}
 commons-clause|2|commons clause|commons clause(?: {L})?
@@ -232,7 +261,8 @@ odbl-1.0|2|odbl|odbl{1.0}
 odbl-any|2|database licen|(?:open data commons )?open database {L}
 odc-by|2|open data commons|open data commons attribution {L}
 odc-by|2|odc by|odc by
-pddl-1.0|2|dedication and licen|(?:open data commons )?public domain dedication and {L}
+pddl-1.0|2|dedication and licen|(?:open data commons )?public domain dedication and {L}{1.0}
+pddl-any|2|dedication and licen|(?:open data commons )?public domain dedication and {L}
 pddl-1.0|2|pddl|pddl{1.0}
 cdla-permissive|2|community data|community data {L} agreement permissive(?: version)?(?: \\d 0)?
 cdla-sharing|2|community data|community data {L} agreement sharing(?: version)?(?: \\d 0)?
@@ -243,45 +273,6 @@ cc0-1.0|2|cc0|cc0{1.0}(?: universal)?
 cc0-any|2|cc0|cc0(?: {L})?
 cc0-any|2|creative commons|creative commons (?:zero|public domain dedication)
 cc0-any|1|waived all copyright|waived all copyright and related or neighbou?ring rights
-cc-by-1.0|2|cc by|cc by{1.0}
-cc-by-2.0|2|cc by|cc by{2.0}
-cc-by-2.5|2|cc by|cc by{2.5}
-cc-by-3.0|2|cc by|cc by{3.0}
-cc-by-4.0|1|cc by|{U}(?:a )?cc by{4.0}
-cc-by-4.0|2|cc by|cc by{4.0}
-cc-by-sa-2.0|2|cc by sa|cc by sa{2.0}
-cc-by-sa-2.5|2|cc by sa|cc by sa{2.5}
-cc-by-sa-3.0|2|cc by sa|cc by sa{3.0}
-cc-by-sa-4.0|2|cc by sa|cc by sa{4.0}
-cc-by-sa-any|2|cc by sa|cc by sa
-cc-by-nc-2.0|2|cc by nc|cc by nc{2.0}
-cc-by-nc-3.0|2|cc by nc|cc by nc{3.0}
-cc-by-nc-4.0|2|cc by nc|cc by nc{4.0}
-cc-by-nc-any|2|cc by nc|cc by nc
-cc-by-nd-3.0|2|cc by nd|cc by nd{3.0}
-cc-by-nd-4.0|2|cc by nd|cc by nd{4.0}
-cc-by-nd-any|2|cc by nd|cc by nd
-cc-by-nc-sa-3.0|2|cc by nc sa|cc by nc sa{3.0}
-cc-by-nc-sa-4.0|2|cc by nc sa|cc by nc sa{4.0}
-cc-by-nc-sa-any|2|cc by nc sa|cc by nc sa
-cc-by-nc-nd-3.0|2|cc by nc nd|cc by nc nd{3.0}
-cc-by-nc-nd-4.0|2|cc by nc nd|cc by nc nd{4.0}
-cc-by-nc-nd-any|2|cc by nc nd|cc by nc nd
-cc-by-3.0|2|creative commons attribution|creative commons attribution{3.0}(?: international| unported| generic)?(?: {L})?
-cc-by-4.0|2|creative commons attribution|creative commons attribution{4.0}(?: international)?(?: {L})?
-cc-by-any|2|creative commons attribution|creative commons attribution(?: {L})?
-cc-by-sa-3.0|2|creative commons attribution|creative commons attribution share ?alike{3.0}(?: international| unported)?(?: {L})?
-cc-by-sa-4.0|2|creative commons attribution|creative commons attribution share ?alike{4.0}(?: international)?(?: {L})?
-cc-by-sa-any|2|creative commons attribution|creative commons attribution share ?alike(?: {L})?
-cc-by-nc-4.0|2|creative commons attribution|creative commons attribution non ?commercial{4.0}(?: international)?(?: {L})?
-cc-by-nc-any|2|creative commons attribution|creative commons attribution non ?commercial(?: {L})?
-cc-by-nd-any|2|creative commons attribution|creative commons attribution no ?deriv(?:ative)?s?(?: {L})?
-cc-by-nc-sa-4.0|2|creative commons attribution|creative commons attribution non ?commercial share ?alike{4.0}(?: international)?(?: {L})?
-cc-by-nc-sa-any|2|creative commons attribution|creative commons attribution non ?commercial share ?alike(?: {L})?
-cc-by-nc-nd-any|2|creative commons attribution|creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: {L})?
-cc-by-4.0|1|creativecommons org|creativecommons org licenses by 4 0
-cc-by-sa-4.0|1|creativecommons org|creativecommons org licenses by sa 4 0
-cc-by-nc-4.0|1|creativecommons org|creativecommons org licenses by nc 4 0
 cc0-1.0|1|creativecommons org|creativecommons org publicdomain zero 1 0
 cc-any|3|creative commons|(?:under )?(?:a |the )?creative commons(?: \\w+){0,6}? {L}
 openrail-m|2|openrail|(?:creativeml |bigscience |bigcode )?openrail m(?: {L})?
@@ -323,18 +314,70 @@ license-mention|3|dual licensed|dual licensed
 _GRANT = "(?:licensed|released|distributed|available|provided|published|shared|offered|covered|governed) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
 
 
+#: Stands for a plus behind the version of a GPL, at the end of its last word: "or any later version".
+SIGN = "⁺"
+#: Where a raw text has it; no word begins behind it.
+SIGNED = r"(?i)\b([al]?gpl(?:[ -]?v(?:ersion)?)?[ -]?\d(?:\.\d)?|general public licen[cs]e,? (?:v(?:ersion)? ?)?\d(?:\.\d)?)\+(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
+
+
 def _version(m: re.Match) -> str:
     major, minor = m[1].split(".")
     return f"(?: version| v)? ?v?{major}" + ("(?: 0)?" if minor == "0" else f" {minor}")
 
 
+#: Kinds of Creative Commons licenses: the part of the identifier, and the same written out.
+KINDS = {"": "", "-sa": " share ?alike", "-nc": " non ?commercial", "-nd": " no ?deriv(?:ative)?s?(?: works)?", "-nc-sa": " non ?commercial share ?alike", "-nc-nd": " non ?commercial no ?deriv(?:ative)?s?(?: works)?"}
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+
+
+def _creative_commons() -> list[str]:
+    """Rules of each kind, with each version and without one: the identifier, the name written out, and the address."""
+    out = []
+    for kind, written in KINDS.items():
+        label, tag = f"cc-by{kind}", f"cc by{kind.replace('-', ' ')}"
+        ported = "(?: international| unported| generic)?(?: {L})?"
+        for v in CC_VERSIONS:
+            out += [f"{label}-{v}|1|cc by|{{U}}(?:a )?{tag}{{{v}}}", f"{label}-{v}|2|cc by|{tag}{{{v}}}", f"{label}-{v}|2|creative commons attribution|creative commons attribution{written}{{{v}}}{ported}"]
+            out.append(f"{label}-{v}|1|creativecommons org|creativecommons org licenses {tag[3:]} {v.replace('.', ' ')}")
+        out.append(f"{label}-any|2|creative commons attribution|creative commons attribution{written}{ported}")
+        if kind:
+            out.append(f"{label}-any|2|cc by|{tag}")
+    return out
+
+
+#: Identifiers that mean a license wherever they stand: with a version or clauses, but for names of programs.
+PLAIN = tuple(t for t in TAGS if re.search(r"\d", t) and t not in ("php-3.01", "python-2.0", "x11"))
+#: Identifiers that mean one beside another identifier, or in an address or a field.
+NAMED = (*PLAIN, "mit", "isc", "zlib", "unlicense", "ncsa", "postgresql")
+
+
+def _canonical(tag: str) -> str:
+    return tag.replace("-", " ").replace(".", " ")
+
+
+def _identifiers() -> list[Rule]:
+    """Identifiers by themselves, in fields and addresses, and on either side of ``and`` and ``or``."""
+    every = "|".join(sorted(map(_canonical, NAMED), key=len, reverse=True))
+    ends = sorted({_canonical(t).split()[-1] for t in NAMED}, key=lambda w: (-len(w), w))
+    behind = "|".join(f"(?<= {w} )" for w in ends)
+    out = [Rule(t, 2, _canonical(t), _canonical(t)) for t in PLAIN]
+    for t in NAMED:
+        c = _canonical(t)
+        out.append(Rule(t, 1, c, f"(?:opensource org|spdx org) licenses? {c}"))
+        out.append(Rule(t, 2, c, f"{c}(?= (?:and|or) (?:{every}) )"))
+        out.append(Rule(t, 2, c, f"(?:{behind})(?:and|or) {c}"))
+        if t not in PLAIN:
+            out.append(Rule(t, 2, c, f"licen[cs]e {c}"))
+    return out
+
+
 def _rules() -> tuple[Rule, ...]:
-    out = [Rule(t, 0, "spdx license identifier", "spdx license identifier " + t.replace("-", " ").replace(".", " ")) for t in TAGS]
-    for line in _RULES.strip().split("\n"):
+    out = [Rule(t, 0, "spdx license identifier", "spdx license identifier " + _canonical(t)) for t in TAGS]
+    for line in (*_RULES.strip().split("\n"), *_creative_commons()):
         label, priority, keyword, regex = line.split("|", 3)
-        regex = re.sub(r"\{(\d\.\d+)\}", _version, regex.replace("{L}", "licen[cs]e").replace("{U}", _GRANT))
+        regex = re.sub(r"\{(\d\.\d+)\}", _version, regex.replace("{L}", "licen[cs]e").replace("{U}", _GRANT).replace("{+}", SIGN))
         out.append(Rule(label, int(priority), keyword, regex))
-    return tuple(out)
+    return tuple(dict.fromkeys((*out, *_identifiers())))
 
 
 RULES = _rules()

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyscale.llm.license_rules import BASE, RULES, Rule, root_of, roots_regex
+from storyscale.llm.license_rules import BASE, RULES, SIGN, SIGNED, Rule, root_of, roots_regex
 
 #: Chance that a kept detection of a priority names a real license notice.
 CONFIDENCE = (0.99, 0.95, 0.8, 0.5)
@@ -66,7 +66,8 @@ def _flags(spans: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """Words with one space before, between and after them; case is kept."""
+    """Words with one space before, between and after them; case is kept, and the plus behind a GPL's version as SIGN, part of its last word."""
+    text = F.when(F.contains(text, F.lit("+")), F.regexp_replace(text, SIGNED, f"$1{SIGN}")).otherwise(text)
     return F.concat(F.lit(" "), F.btrim(F.regexp_replace(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")), F.lit(" "))
 
 

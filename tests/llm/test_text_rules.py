@@ -8,7 +8,7 @@ from collections import Counter
 import xxhash
 
 from storyscale.llm import licenses, quality, sharding
-from storyscale.llm.license_rules import RULES, TAGS, root_of, roots_regex
+from storyscale.llm.license_rules import RULES, SIGN, SIGNED, TAGS, root_of, roots_regex
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -64,6 +64,8 @@ def expand(parsed):
         elif name in ("MAX_REPEAT", "MIN_REPEAT"):
             low, _, sub = arg
             mine = [x * low for x in expand(sub)] + [x * (low + 1) for x in expand(sub)]
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            mine = expand(arg[1])
         elif name == "IN":
             mine = [chr(a) if str(o) == "LITERAL" else "1" for o, a in arg]
         else:
@@ -85,12 +87,51 @@ def test_license_rules_hold_their_keywords():
     assert all(root_of(r) in root.findall(f" {r.keyword} ") for r in RULES)
 
 
+def test_license_versions_are_told():
+    """A label's version stands in whatever its rule matches."""
+    for r in RULES:
+        version = re.search(r"-(\d+(?:\.\d+)+)", r.label)
+        if version and "clause" not in r.label:
+            digits = version[1].removesuffix(".0").split(".")
+            assert all(re.search(r"(?<!\d)" + " ".join(digits), x) for x in expand(re._parser.parse(r.regex))), r
+
+
 #: Real notices and the labels of the method that they must get.
 REAL = """
 GPLv2|gpl-2.0
 GNU GPL v3|gpl-3.0
 GPL v3 or later|gpl-3.0-or-later
-GPL-2.0+|gpl-2.0
+GPL-2.0+|gpl-2.0-or-later
+GPLv2+|gpl-2.0-or-later
+LGPLv2.1+|lgpl-2.1-or-later
+SPDX-License-Identifier: GPL-3.0+|gpl-3.0-or-later
+MIT OR Apache-2.0|mit apache-2.0
+SPDX-License-Identifier: BSD-3-Clause AND MIT|bsd-3-clause mit
+SPDX-License-Identifier: (MIT OR ISC) AND Zlib|mit isc zlib
+"license": "ISC"|isc
+https://opensource.org/licenses/MIT|mit
+https://creativecommons.org/licenses/by/3.0/|cc-by-3.0
+https://creativecommons.org/licenses/by-nc-sa/4.0/|cc-by-nc-sa-4.0
+https://creativecommons.org/licenses/by-nc-nd/4.0/legalcode|cc-by-nc-nd-4.0
+https://www.boost.org/LICENSE_1_0.txt|boost-1.0
+https://www.gnu.org/licenses/gpl-3.0.html|gpl-3.0
+OFL-1.1|ofl-1.1
+BUSL-1.1|busl-1.1
+UPL-1.0|upl-1.0
+Elastic-2.0|elastic-2.0
+License: Zlib|zlib
+under the SSPL|sspl-any
+CeCILL-2.1|cecill-2.1
+CeCILL-B license|cecill-b
+CeCILL free software license|cecill-any
+Blue Oak Model License 1.0.0|blueoak-1.0.0
+Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International|cc-by-nc-nd-4.0
+Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported|cc-by-nc-sa-3.0
+CC-BY-NC-SA-2.5|cc-by-nc-sa-2.5
+IBM Public License|ipl-any
+Universal Permissive License|upl-any
+two plus two is 2+2|
+Python 2.0 and PHP 3.01 programs at MIT and elsewhere|
 GPL-3.0-or-later|gpl-3.0-or-later
 the GPL license|gpl-any
 GNU General Public License v2.0|gpl-2.0
@@ -109,7 +150,8 @@ LGPL-2.1-or-later|lgpl-2.1-or-later
 the LGPL|lgpl-any
 LGPLv3|lgpl-3.0
 GNU Lesser General Public License v3.0|lgpl-3.0
-GNU Library General Public License|lgpl-2.0
+GNU Library General Public License|lgpl-any
+GNU Library General Public License version 2|lgpl-2.0
 MPL v2.0|mpl-2.0
 MPL-2.0|mpl-2.0
 MPL 1.1|mpl-1.1
@@ -207,7 +249,7 @@ def test_license_real_notices(spark):
     cases = [line.rpartition("|")[::2] for line in REAL.strip().split("\n")]
     assert len(cases) > 100
     got = {r["doc_id"]: r["detections"] for r in licenses.scan(spark.createDataFrame([(i, f"Foo bar. {t}; baz") for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
-    wrong = [(t, want, [s["label"] for s in got[i]]) for i, (t, want) in enumerate(cases) if {s["label"] for s in got[i]} != ({want} if want else set())]
+    wrong = [(t, want, [s["label"] for s in got[i]]) for i, (t, want) in enumerate(cases) if {s["label"] for s in got[i]} != set(want.split())]
     assert not wrong, wrong
 
 
@@ -220,7 +262,8 @@ def test_license_suppression_by_all_pairs(spark):
     texts = [" ".join(r.choice(["", "x ", "or later "]) + r.choice(lines) for _ in range(r.randrange(1, 7))) for _ in range(60)]
     out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     for row in out:
-        canon = f" {' '.join(re.findall(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', row['text'].translate(LOWER)))} "
+        signed = re.sub(SIGNED, rf"\g<1>{SIGN}", row["text"])
+        canon = f" {' '.join(re.findall(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', signed.translate(LOWER)))} "
         spans = set()
         for rule in RULES:
             for m in re.finditer(f" ({rule.regex})(?= )", canon):
