@@ -158,7 +158,8 @@ mpl-1.1|2|mpl|mpl{1.1}
 mpl-2.0|1|mozilla|{U}mozilla public {L}{2.0}
 mpl-2.0|2|mozilla|mozilla public {L}{2.0}
 mpl-2.0|2|mpl|mpl{2.0}
-mpl-2.0|1|source code form is subject|this source code form is subject to the terms of the mozilla public {L}
+mpl-2.0|1|source code form is subject|this source code form is subject to the terms of the mozilla public {L}{2.0}
+mpl-any|1|source code form is subject|this source code form is subject to the terms of the mozilla public {L}
 mpl-any|1|covered code|the contents of this file are subject to the mozilla public {L}(?: version \\d \\d)?.{0,200}? covered code
 mpl-any|2|mozilla|mozilla public {L}
 mpl-any|2|mpl|mpl {L}d?

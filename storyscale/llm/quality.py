@@ -7,8 +7,10 @@ share of good documents. A document is kept if its posterior probability of bein
 the threshold and the base rules do not fail it.
 
 A null or wordless text has zero counts and fails the base rules; an empty table gives no rows
-and the starting accuracies; repeated rows are rated alike. Input columns named like an output
-column give way to it.
+and the starting accuracies; repeated rows are rated alike. A very long text is one row of work,
+counted whole. A posterior that ties with the threshold is kept; patterns of equal count are fitted in
+their own order, so the fit is the same each time. Input columns named like an output column give way
+to it.
 """
 
 from __future__ import annotations
@@ -125,6 +127,20 @@ def with_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     }).drop("__words", "__lines", "__chars", "__windows")
 
 
+#: The counts that need no fit, in DuckDB.
+COUNTS_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS i, w FROM d WHERE len(w) >= {WINDOW}),
+g AS (SELECT doc_id, i, list_slice(w, i, i + {WINDOW - 1}) AS five FROM t),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r CROSS JOIN (SELECT unnest(generate_series(0, {WINDOW - 1})) AS k) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+o AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM o
+"""
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 

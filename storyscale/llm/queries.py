@@ -61,6 +61,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9's rules and base look at, before any fit."""
+    out = quality.with_features(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.base_failed().alias("base_failed"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
@@ -96,9 +102,9 @@ def _on_ready(f: Callable) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _on_ready(f) for f in (op1_decontamination, op2_token_counts, op3_licenses, op4_sharding, op5_toxicity, op6_lm, op7_packing, op8_elias_fano, op9_quality, op10_simhash, op11_runs, op12_interactions, op13_topk)}
+    return {f.__name__: _on_ready(f) for f in (op1_decontamination, op2_token_counts, op3_licenses, op4_sharding, op5_toxicity, op6_lm, op7_packing, op8_elias_fano, op9_quality, quality_counts, op10_simhash, op11_runs, op12_interactions, op13_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL cannot express the others (64-bit hash draws, fitted posteriors, tokenizers, CRC): they are tested against brute force."""
-    return {"op12_interactions": interactions.AUDIT_SQL, "op13_topk": topk.SEARCH_SQL}
+    return {"quality_counts": quality.COUNTS_SQL, "op12_interactions": interactions.AUDIT_SQL, "op13_topk": topk.SEARCH_SQL}

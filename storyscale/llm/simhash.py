@@ -307,7 +307,14 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """``df`` with one row of each group: the one of the smallest id; of rows repeated with their id any one.
 
     With ``similar_texts``, links between texts of similar shingle sets (see ``similar``) join groups too.
+    All columns come back with their values, whatever their names.
     """
+    names = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    kept = _one_of_each(df.toDF(*names.values()), names[id_col], names[text_col], radius, similar_texts)
+    return kept.toDF(*df.columns)
+
+
+def _one_of_each(df: DataFrame, id_col: str, text_col: str, radius: int, similar_texts: bool) -> DataFrame:
     spark = df.sparkSession
     docs = checkpointed(fingerprints(df, text_col, with_sets=similar_texts), work_dir(spark, "simhash-rows"))
     more = None

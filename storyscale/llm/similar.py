@@ -14,7 +14,10 @@ lose some of these pairs, so no fingerprint takes part:
 3. Only sets that met another are written to the shared folder; workers map them into memory and
    verify pairs and groups by the sets themselves.
 
-Copies count once: a set is known by a 64-bit hash of its shingles.
+Copies count once: a set is known by a 64-bit hash of its shingles, so repeated rows and ties add
+nothing. A null text is empty and, like any text without words, links to none; an empty table gives
+no links; very long texts are taken whole, their sets sliced. Columns other than those named are not
+read.
 """
 
 from __future__ import annotations

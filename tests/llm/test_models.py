@@ -245,6 +245,17 @@ def test_near_duplicates_take_awkward_tables(awkward, nothing):
     assert simhash.near_duplicates(awkward).count() == awkward.count() and simhash.near_duplicates(nothing).count() == 0
     kept = simhash.one_of_each(awkward)
     assert kept.columns == awkward.columns and simhash.one_of_each(nothing).count() == 0
+    odd = ["fp", "__id", "__fp", "__set", "__n", "id", "root", "first"]
+    named = awkward.selectExpr("doc_id", "text", *[f"'mine {c}' AS {c}" for c in odd])
+    for same in (False, True):
+        back = simhash.one_of_each(named, similar_texts=same)
+        assert back.columns == named.columns and {tuple(r)[2:] for r in back.collect()} == {tuple(f"mine {c}" for c in odd)}
+    texts = {(r["doc_id"], r["text"]) for r in awkward.collect()}
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} <= texts
+    groups = {}
+    for r in simhash.near_duplicates(awkward).collect():
+        groups.setdefault(r["component_id"], set()).add(r["doc_id"])
+    assert {min(g, key=lambda x: (x is None, x or 0)) for g in groups.values()} == set(groups)
     # rows 1 to 3 have no word and go together, as do the three copies
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "5", "6", "8", "9", "None"]
 
