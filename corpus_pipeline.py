@@ -6,7 +6,8 @@ before kept; all but the last return the columns of documents. Stages are writte
 shared folder between each other.
 
 Columns beyond those of documents pass through with their values, whatever their names; what the operators define for nulls, empty and
-repeated rows holds for the stages (see their modules). An empty table gives no pieces.
+repeated rows and very long texts, which every stage takes whole, holds for the stages (see their modules). Ties: of a group's rows the
+one of the smallest id stays, and of rows that repeat that id and text any one. An empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyscale.operators import ordered
@@ -10,7 +11,9 @@ from storyscale.sources import csvscan, io
 from storyscale.sources.shared import spread, work_dir
 from storyscale.sources.tables import read
 
-_DIGEST = ["doc_id", F.col("lang"), F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5")]
+
+def _digest(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"), *more)
 
 
 @query("SELECT doc_id, lang, CAST(length(text) AS INTEGER) AS chars, md5(text) AS text_md5 FROM documents")
@@ -18,7 +21,7 @@ def csv_scan(spark, sf_dir):
     """The documents through a folder of CSV files, whose cells hold line ends and quotes, and the parallel scan."""
     folder = work_dir(spark, "csv-scan")
     io.write_csv(spread(read(spark, sf_dir, "documents")), folder, ["doc_id", "lang", "text"])
-    return csvscan.read(spark, folder).withColumn("doc_id", F.col("doc_id").cast("long")).select(*_DIGEST)
+    return _digest(csvscan.read(spark, folder))
 
 
 @query("SELECT doc_id, lang, CAST(length(text) AS INTEGER) AS chars, md5(text) AS text_md5, row_number() OVER (ORDER BY lang, length(text), doc_id) AS place FROM documents")
@@ -28,4 +31,4 @@ def csv_sorted_export(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     io.export_csv(docs.orderBy("lang", F.length("text"), "doc_id"), path)
     rows = csvscan.read(spark, path)
-    return ordered.numbered(rows, ["row_ord"], "place").withColumn("doc_id", F.col("doc_id").cast("long")).select(*_DIGEST, "place")
+    return _digest(ordered.numbered(rows, ["row_ord"], "place"), "place")
