@@ -57,6 +57,7 @@ def judge_stories(spark: SparkSession, a: argparse.Namespace) -> None:
         out = stored(judged.five_dimensions(spark, rows, who, f"{a.log}/five", **how), work_dir(spark, "judged"))
         out.write.mode("overwrite").parquet(f"{a.to}/scored_rows.parquet")
         io.export_csv(out.orderBy("row_ord"), f"{a.to}/judge_rows.csv", [*KEYS, *[f"{d}_{k}" for d in dims for k in ("score", "justification")], "subjective_total"])
+        print(report.interpretation(rollup.interpretation(out), rollup.hardest_prompts(out)))
     else:
         judged.write_run(stored(judged.judged_rows(spark, rows, who, a.log, **how), work_dir(spark, "judged")), a.to)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyscale.functions.lexicon import JUDGE_METRICS, METRICS, SECONDARY, SECONDARY_NOTE
+from storyscale.functions.lexicon import DIMENSIONS, JUDGE_METRICS, METRICS, SECONDARY, SECONDARY_NOTE
 from storyscale.functions.numeric import exact_round, rounded_means
 
 #: Summary column, row metric, decimals.
@@ -81,3 +81,35 @@ def evaluation_summary(df: DataFrame, with_judge: bool = True) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(t).alias("metric"), F.lit(k).alias("metric_key"), F.lit(f).alias("metric_family"), F.col(f"`{k}.base`").alias("base_mean"), F.col(f"`{k}.tuned`").alias("tuned_mean"), F.lit(note).alias("note")) for k, t, f, note in families])
     long = wide.select("n_base", "n_tuned", F.inline(rows))
     return long.withColumn("tuned_minus_base", F.when((F.col("n_base") > 0) & (F.col("n_tuned") > 0), exact_round(F.col("tuned_mean") - F.col("base_mean"))))
+
+
+#: Metric, its row column, whether more is better (1) or worse (-1), and the least difference that counts.
+FLAGS = (
+    ("mean_decodability_compliance", "decodability_compliance", 1, 0.01),
+    ("mean_weighted_above_level_rate", "weighted_above_level_rate", -1, 0.01),
+    ("mean_target_satisfaction_rate", "target_satisfaction_rate", 1, 0.01),
+    ("phonics_leakage_rate", "phonics_leakage_rate", -1, 0.01),
+    *[(f"mean_{d}", f"{d}_score", 1, 0.05) for d in DIMENSIONS],
+)
+
+
+def interpretation(df: DataFrame) -> DataFrame:
+    """metric, family, the means b and t of base and tuned (judge scores: of judged rows), their verdict and row counts, in one pass."""
+    was = F.col(f"{DIMENSIONS[0]}_score").isNotNull()
+    of = {(n, m): (F.col("model") == m) & (was if margin == 0.05 else F.lit(True)) for n, _, _, margin in FLAGS for m in ("base", "tuned")}
+    means = {f"{n}.{m}": F.when(of[n, m], F.col(c)) for n, c, _, _ in FLAGS for m in ("base", "tuned")}
+    counts = [F.count_if(when).alias(f"{n}.n_{m}") for (n, m), when in of.items()]
+    cell = lambda n, k: F.col(f"`{n}.{k}`")
+    rows = F.array(*[F.struct(F.lit(n).alias("metric"), F.lit("judge" if margin == 0.05 else "objective").alias("family"), cell(n, "base").alias("b"), cell(n, "tuned").alias("t"), F.lit(s).alias("s"), F.lit(margin).alias("m"), cell(n, "n_base").alias("n_base"), cell(n, "n_tuned").alias("n_tuned")) for n, _, s, margin in FLAGS])
+    gain = F.col("s") * (F.col("t") - F.col("b"))
+    verdict = F.when(gain > F.col("m"), "improved").when(gain < -F.col("m"), "regressed").otherwise("unchanged")
+    return rounded_means(df, means, *counts).select(F.inline(rows)).select("metric", "family", "b", "t", verdict.alias("verdict"), "n_base", "n_tuned")
+
+
+HARDEST = ("overall_spec_adherence", "decodability_adherence", "target_phonics_pattern_emphasis", "narrative_completeness")
+
+
+def hardest_prompts(df: DataFrame, k: int = 3) -> DataFrame:
+    """The k prompts that the judge finds hardest for the tuned model."""
+    done = df.where((F.col("model") == "tuned") & F.col(f"{HARDEST[0]}_score").isNotNull())
+    return dimension_means(done, HARDEST, "prompt_id").drop("n").orderBy(*[f"mean_{d}" for d in HARDEST], "prompt_id").limit(k)

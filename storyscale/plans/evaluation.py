@@ -11,6 +11,7 @@ from storyscale.functions.lexicon import DIMENSIONS, JUDGE_METRICS, METRICS, SEC
 from storyscale.functions.numeric import exact_round, rounded_means
 from storyscale.functions.text import truncate
 from storyscale.operators import errors, judge, objective, pairs, rollup
+from storyscale.plans import judged as judged_plan
 from storyscale.plans import oracle as O
 from storyscale.plans.query import query
 from storyscale.sources.shared import stored, work_dir
@@ -272,10 +273,12 @@ def judge_messages(spark, sf_dir):
     return df.select("row_ord", judge.story_messages(F.col("target_phonics"), F.col("prompt"), F.col("story"))[1]["content"].alias("content"))
 
 
+_TOLD = f"length({_q(_TEXT[0])} || target_phonics || {_q(_TEXT[1])} || 'Write a decodable story: ' || target_phonics || {_q(_TEXT[2])} || story || {_q(_TEXT[3])})"
 _PARTS = f"string_agg('[generation_id=' || generation_id || ']' || chr(10) || story, {_q(judge.GAP)} ORDER BY generation_id, row_ord)"
+_GROUP = f"'Target phonics: ' || arg_min(target_phonics, row_ord) || chr(10) || chr(10) || 'Generation prompt (context only):' || chr(10) || 'Write a decodable story: ' || arg_min(target_phonics, row_ord) || {_q(judge.TOLD)} || {_PARTS} || {_q(judge.consistency_asked())}"
 
 
-@query(O.query(f"SELECT model, prompt_id, CAST(length(content) AS INTEGER) AS chars, md5(content) AS content_md5 FROM (SELECT model, prompt_id, 'Target phonics: ' || arg_min(target_phonics, row_ord) || chr(10) || chr(10) || 'Generation prompt (context only):' || chr(10) || 'Write a decodable story: ' || arg_min(target_phonics, row_ord) || {_q(judge.TOLD)} || {_PARTS} || {_q(judge.consistency_asked())} AS content FROM stories GROUP BY model, prompt_id)", O.STORIES))
+@query(O.query(f"SELECT model, prompt_id, CAST(length(content) AS INTEGER) AS chars, md5(content) AS content_md5 FROM (SELECT model, prompt_id, {_GROUP} AS content FROM stories GROUP BY model, prompt_id)", O.STORIES))
 def consistency_messages(spark, sf_dir):
     """Length and digest of the message on all generations of each model and prompt."""
     content = F.col("messages")[1]["content"]
@@ -288,6 +291,23 @@ def group_digests(spark, sf_dir):
     return judge.group_digests(stories(spark, sf_dir)).drop("crc32")
 
 
+def by_length(messages: list[dict]) -> str:
+    """A judge whose scores follow from the message's length, so that a whole judged run can be held against SQL."""
+    score = len(messages[1]["content"]) % 3
+    return json.dumps({d: {"score": score, "justification": "By length."} for d in (*STORY_DIMENSIONS, *judge.CONSISTENCY)})
+
+
+@query(O.query(
+    f"""SELECT s.row_ord, {', '.join(f'f.score AS {d}_score' for d in STORY_DIMENSIONS)}, g.score AS consistency_score FROM stories s
+    JOIN (SELECT model, prompt_id, generation_id, CAST(arg_min({_TOLD}, row_ord) % 3 AS INTEGER) AS score FROM stories GROUP BY ALL) f ON f.model = s.model AND f.prompt_id = s.prompt_id AND f.generation_id = s.generation_id
+    JOIN (SELECT model, prompt_id, CAST(length({_GROUP}) % 3 AS INTEGER) AS score FROM stories GROUP BY model, prompt_id) g ON g.model = s.model AND g.prompt_id = s.prompt_id""", O.STORIES))
+def judged_run(spark, sf_dir):
+    """Scores of all stories and groups by a judged run from messages to log, validation and merge."""
+    tasks = spark.sparkContext.defaultParallelism
+    out = judged_plan.judged_rows(spark, stories(spark, sf_dir), by_length, work_dir(spark, "judged-log"), pause=0, tasks=tasks)
+    return out.select("row_ord", *[f"{d}_score" for d in (*STORY_DIMENSIONS, *judge.CONSISTENCY)])
+
+
 @query(O.query("SELECT s.row_ord, CASE WHEN l.doc_id IS NULL THEN 'to_judge' ELSE 'carried' END AS part FROM stories s LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON s.row_ord = l.doc_id", O.STORIES))
 def judge_resume_split(spark, sf_dir):
     """Rows that are judged already and rows that are still to judge."""
@@ -320,20 +340,12 @@ def combined_summary(spark, sf_dir):
     return o.join(s, "model", "full_outer")
 
 
-_FLAGS = (("mean_decodability_compliance", "decodability_compliance", 1, 0.01), ("mean_weighted_above_level_rate", "weighted_above_level_rate", -1, 0.01), ("mean_target_satisfaction_rate", "target_satisfaction_rate", 1, 0.01), ("phonics_leakage_rate", "phonics_leakage_rate", -1, 0.01), *[(f"mean_{d}", f"{d}_score", 1, 0.05) for d in DIMENSIONS])
-
-
 @query(O.query(" UNION ALL ".join(
     f"SELECT '{n}' AS metric, b, t, CASE WHEN {s} * (t - b) > {m}::double THEN 'improved' WHEN {s} * (t - b) < -{m}::double THEN 'regressed' ELSE 'unchanged' END AS verdict FROM (SELECT {O.rounded(O.mean(f'''CASE WHEN model = 'base' THEN {c} END'''))} AS b, {O.rounded(O.mean(f'''CASE WHEN model = 'tuned' THEN {c} END'''))} AS t FROM judged WHERE {'spec_adherence_score IS NOT NULL' if m == 0.05 else 'TRUE'})"
-    for n, c, s, m in _FLAGS), *TO_JUDGED))
+    for n, c, s, m in rollup.FLAGS), *TO_JUDGED))
 def interpretation_flags(spark, sf_dir):
     """Which means the tuned model improved or worsened beyond a margin."""
-    df = judged(spark, sf_dir)
-    was = F.col("spec_adherence_score").isNotNull()
-    means = {f"{n}.{m}": F.when((F.col("model") == m) & (was if margin == 0.05 else F.lit(True)), F.col(c)) for n, c, _, margin in _FLAGS for m in pairs.MODELS}
-    rows = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}.base`").alias("b"), F.col(f"`{n}.tuned`").alias("t"), F.lit(s).alias("s"), F.lit(m).alias("m")) for n, _, s, m in _FLAGS])
-    gain = F.col("s") * (F.col("t") - F.col("b"))
-    return rounded_means(df, means).select(F.inline(rows)).select("metric", "b", "t", F.when(gain > F.col("m"), "improved").when(gain < -F.col("m"), "regressed").otherwise("unchanged").alias("verdict"))
+    return rollup.interpretation(judged(spark, sf_dir)).select("metric", "b", "t", "verdict")
 
 
 @query(O.query("SELECT row_ord, CAST(" + " + ".join(f"{d}_score" for d in DIMENSIONS) + " AS INT) AS subjective_total FROM judge", O.JUDGED))
@@ -348,9 +360,7 @@ _HARD = _means([(f"mean_{d}", f"{d}_score", 4) for d in ("overall_spec_adherence
 @query(O.query(f"SELECT * FROM (SELECT prompt_id, {_HARD} FROM judged WHERE model = 'tuned' AND spec_adherence_score IS NOT NULL GROUP BY prompt_id) ORDER BY mean_overall_spec_adherence, mean_decodability_adherence, mean_target_phonics_pattern_emphasis, mean_narrative_completeness, prompt_id LIMIT 3", *TO_JUDGED))
 def judge_hardest_prompts(spark, sf_dir):
     """The three prompts that the judge finds hardest for the tuned model."""
-    df = judged(spark, sf_dir).where("model = 'tuned' AND spec_adherence_score IS NOT NULL")
-    dims = ("overall_spec_adherence", "decodability_adherence", "target_phonics_pattern_emphasis", "narrative_completeness")
-    return rollup.dimension_means(df, dims, "prompt_id").drop("n").orderBy(*[f"mean_{d}" for d in dims], "prompt_id").limit(3)
+    return rollup.hardest_prompts(judged(spark, sf_dir))
 
 
 # -- failures -------------------------------------------------------------------------------------

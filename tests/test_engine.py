@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from storyscale import cli
 from storyscale.functions import numeric, patterns, text
+from storyscale.functions.lexicon import DIMENSIONS
 from storyscale.operators import judge, objective, pairs, profile, rollup
 from storyscale.plans import judged, evaluation, report
 from storyscale.sources import io, judges
@@ -237,11 +238,32 @@ def test_command_profile(tmp_path):
 
 
 def test_report(spark, sf):
-    out = report.error_report(evaluation.judged(spark, sf))
-    assert "## Likely causes" in out and "| all tuned outputs |" in out
+    told = evaluation.judged(spark, sf).join(stories(spark, sf).select("row_ord", F.concat(F.lit("```\n"), F.left("story", F.lit(60))).alias("story")), "row_ord").withColumn("coherence_justification", F.lit("Told so."))
+    out = report.error_report(told)
+    sections = dict(x.split("\n\n", 1) for x in out.removeprefix("## ").split("\n\n## "))
+    assert list(sections) == ["How to read this", "Largest gains", "Smallest gains", "Failure modes", "Prompt difficulty", "Concentration", "Conditions harder than average", "Examples", "Likely causes"]
+    assert sections["Largest gains"].count("\n| ") == 5 and "| all tuned outputs |" in sections["Concentration"]
+    assert "Most difficult prompt: " in sections["Prompt difficulty"] and sections["Conditions harder than average"].count("\n- ") == 5
+    examples = sections["Examples"].split("### ")[1:]
+    assert len(examples) == 8  # two gains, five modes, the hardest prompt
+    assert all("- Judge on coherence: Told so." in x and x.count("````text\n```\n") == 2 and "\n- Base: compliance" in x for x in examples)
+    assert all(x in sections["Failure modes"] for x in report.MODE_NOTES) and "% |" in sections["Failure modes"]
+    plain = report.error_report(evaluation.judged(spark, sf))
+    assert "Tuned story" not in plain and "## Likely causes" in plain
     assert report.percent(0.12345) == "12.3%" and report.percent(None) == "n/a"
 
 
+def test_interpretation(spark):
+    rows = [("base", "p", 0.5, 0.2, 0.5, 0.0, 1), ("tuned", "p", 0.6, 0.3, 0.505, 0.0, 2), ("tuned", "q", 0.6, 0.3, 0.505, 0.0, None)]
+    df = spark.createDataFrame(rows, "model string, prompt_id string, decodability_compliance double, weighted_above_level_rate double, target_satisfaction_rate double, phonics_leakage_rate double, score int")
+    df = df.withColumns({f"{d}_score": F.col("score") for d in DIMENSIONS})
+    out = report.interpretation(rollup.interpretation(df), rollup.hardest_prompts(df))
+    good, bad = out.split("Regressed by the metrics:")[0], out.split("Regressed by the metrics:")[1]
+    assert "decodability compliance: 0.500 to 0.600" in good and "weighted above level rate: 0.200 to 0.300" in bad and "satisfaction" not in out
+    assert "coherence: 1.00 to 2.00" in out and "  - p: " in out and "  - q: " not in out
+    assert "missing" in report.interpretation(rollup.interpretation(df.where("model = 'tuned'")), rollup.hardest_prompts(df))
+
+
 def test_env_file(tmp_path):
     (tmp_path / ".env").write_text("# note\nA=1\nexport B='two'\nC\n")
     env = {"A": "0"}
