@@ -31,4 +31,4 @@ def csv_sorted_export(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     io.export_csv(docs.orderBy("lang", F.length("text"), "doc_id"), path)
     rows = csvscan.read(spark, path)
-    return _digest(ordered.numbered(rows, ["row_ord"], "place"), "place")
+    return ordered.numbered(_digest(rows, "row_ord"), ["row_ord"], "place").drop("row_ord")  # numbered without texts
