@@ -64,7 +64,8 @@ def flagged(df: DataFrame, labels: DataFrame, part_col: str = "lang", id_col: st
     told = labels.groupBy(F.col(id_col).alias("id")).agg(*[F.coalesce(F.max(F.col(c) == 1), F.lit(False)).alias(n) for c, n in (("quality", "good"), ("toxic", "toxic"))])
     told = checkpointed(told.where("good OR toxic"), work_dir(spark, "interactions-labels"))
     copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
-    out = rows.join(first, "digest", "left").join(told, "id", "left")
+    # both sides grow with the table, so neither is broadcast, however well its file is packed
+    out = rows.join(first.hint("merge"), "digest", "left").join(told.hint("merge"), "id", "left")
     bit = F.when(copy, F.lit(1 << len(single))).otherwise(F.lit(0))
     out = out.select("part", F.col("mask").bitwiseOR(bit).alias("mask"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")])
     return out, "".join(single) + COPY

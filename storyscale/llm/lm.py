@@ -50,6 +50,7 @@ _GATHER = 1 << 22  #: tokens that are counted before they are shuffled
 _MANY = 255  #: counts from here on lie in a list of their own
 _LARGE = 64  #: followers of a history beyond which its sums are stored
 SAMPLE = 64  #: triples for each bucket that are sampled to cut ranges by
+PARTITION = 1 << 24  #: tokens from which there are more ranges than the session's shuffle partitions ask for, each a third of it
 _U = np.uint64
 
 Discounts = tuple[float, float, float]
@@ -408,6 +409,7 @@ def train(df: DataFrame, text_col: str = "text", path: str | None = None, wide:
     model = Model(path, bases, tokens, ends, wide or bases[-1] >= (1 << 32) - 1)
     if not tokens:
         return model
+    wanted = max(wanted, -(-tokens // PARTITION))  # a task merges a range in memory
     model = model._replace(edges=_edges(texts, model, wanted))
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
