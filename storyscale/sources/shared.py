@@ -54,17 +54,11 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt out to all cores if its files hold less than SMALL bytes for each of them.
+    """``df`` dealt out to all cores if it has less than SMALL bytes for each of them.
 
     Such a table may have fewer row groups than there are cores, so most would stand idle. Larger
     tables are read as they are, without this shuffle.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = 0
-    for f in df.inputFiles():
-        fs, at = hadoop(spark, f)
-        size += fs.getFileStatus(at).getLen()
-        if size >= cores * SMALL:
-            return df
-    return df.repartition(cores)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # Spark's estimate, from the files' sizes
+    return df if size >= cores * SMALL else df.repartition(cores)
