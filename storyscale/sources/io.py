@@ -129,6 +129,7 @@ def _joined(df: DataFrame, path: str, end: str, head: str = "", last: str = "",
             jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, size - spare)
             source.close()
             first = False
+        fs.delete(jvm.org.apache.hadoop.fs.Path(part), False)  # so that the lines are hardly stored twice
     out.write(bytearray(last.encode()))
     out.close()
     to.delete(target, False)
