@@ -293,10 +293,14 @@ def group_digests(spark, sf_dir):
 
 def by_length(messages: list[dict]) -> str:
     """A judge whose scores follow from the message's length, so that a whole judged run can be held against SQL."""
-    score = len(messages[1]["content"]) % 3
+    content = messages[1]["content"]
+    score = (len(content) if isinstance(content, str) else sum(map(len, content))) % 3
     return json.dumps({d: {"score": score, "justification": "By length."} for d in (*STORY_DIMENSIONS, *judge.CONSISTENCY)})
 
 
+by_length.reads_parts = True
+
+
 @query(O.query(
     f"""SELECT s.row_ord, {', '.join(f'f.score AS {d}_score' for d in STORY_DIMENSIONS)}, g.score AS consistency_score FROM stories s
     JOIN (SELECT model, prompt_id, generation_id, CAST(arg_min({_TOLD}, row_ord) % 3 AS INTEGER) AS score FROM stories GROUP BY ALL) f ON f.model = s.model AND f.prompt_id = s.prompt_id AND f.generation_id = s.generation_id

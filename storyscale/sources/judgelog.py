@@ -1,15 +1,15 @@
 """A log of judge responses, written by a Python data source with a commit protocol.
 
-The log is a folder. ``plans/<plan>`` holds the rows that one run asks about, told once, before the
-first request: keys, messages, the row's turn, and its chunk of a few turns. Each chunk's responses
-are one Parquet file of ``replies``, named by plan and chunk and moved there in one step as soon as
+The log is a folder. ``plans/<plan>`` holds what one run asks about, told once, before the first
+request: keys, their turn, and its chunk of a few turns. The texts stay out of it: they are dealt to
+the tasks once, each behind its turn, and read in a stream. Each chunk's responses are one Parquet file of ``replies``, named by plan and chunk and moved there in one step as soon as
 the chunk is through. A task that runs again finds the files of its chunks and asks about the others
 alone; a run that breaks off leaves what it has, and the next one's plan holds only keys without a
 response. So a key is asked about again only if its chunk was not through: once more for each time
 that a run dies. The driver commits a plan by a list of its files in ``commits``, from the messages of
 its tasks; aborting deletes nothing, since responses cost.
 
-Requests run in as many tasks as asked for, one at a time in each.
+Requests run in as many tasks as asked for, one at a time in each; a task has a stretch of the turns.
 """
 
 from __future__ import annotations
@@ -17,7 +17,10 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -36,7 +39,12 @@ CHUNK = 64
 #: Tasks that ask at once.
 TASKS = 4
 
+#: Bytes of texts that a task hands to Python at once.
+BATCH = 8 << 20
+
 Ask = Callable[[list[dict]], str]
+#: Messages of a turn, from the plan's row and the rows behind it.
+Read = Callable[[Row, Iterator[Row]], list[dict]]
 
 
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -57,10 +65,20 @@ class Done(WriterCommitMessage):
 
 
 class ReplyWriter(DataSourceWriter):
-    """Asks about the rows of one task, chunk by chunk."""
+    """Asks about the turns of one task, chunk by chunk. Without ``read`` each row is a turn and has its messages."""
+
+    def __init__(self, log: str, plan: str, keys: tuple[str, ...], ask: Ask, read: Read | None = None) -> None:
+        self.log, self.plan, self.keys, self.ask, self.read = log, plan, keys, ask, read
 
-    def __init__(self, log: str, plan: str, keys: tuple[str, ...], ask: Ask) -> None:
-        self.log, self.plan, self.keys, self.ask = log, plan, keys, ask
+    def _turns(self, rows: Iterator[Row]) -> Iterator[tuple[Row, Iterator[Row]]]:
+        """The plan's row of each turn and the rows behind it; rows that no turn of the plan has are passed over."""
+        if self.read is None:
+            yield from ((r, iter([r])) for r in rows)
+            return
+        for _, turn in groupby(rows, itemgetter("turn")):
+            head = next(turn)
+            if head["number"] is not None:
+                yield head, turn
 
     def _there(self, name: str) -> bool:
         fs, path = _place(f"{self.log}/replies/{name}")
@@ -81,14 +99,15 @@ class ReplyWriter(DataSourceWriter):
                 self._put(done[-1], out)
                 out.clear()
 
-        for r in rows:
-            if r["chunk"] != chunk:
+        read = self.read or whole
+        for head, turn in self._turns(rows):
+            if head["chunk"] != chunk:
                 finish()
-                chunk = r["chunk"]
+                chunk = head["chunk"]
                 done.append(f"{self.plan}-{chunk:010d}.parquet")
                 there = self._there(done[-1])
             if not there:
-                out.append((*(r[k] for k in self.keys), self.ask([m.asDict() for m in r["messages"]])))
+                out.append((*(head[k] for k in self.keys), self.ask(read(head, turn))))
                 asked += 1
         finish()
         return Done(done, asked)
@@ -137,24 +156,65 @@ def same(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> Column:
     return out
 
 
+@contextmanager
+def _batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of BATCH bytes for a writer, which makes Python objects of a whole batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def whole(head: Row, rows: Iterator[Row]) -> list[dict]:
+    """The messages of the first row."""
+    for r in rows:
+        return [m.asDict() for m in r["messages"]]
+    raise RuntimeError("a row of the plan is gone: the rows differ each time that they are read")
+
+
+def with_turn(df: DataFrame, keys: tuple[str, ...], order: list[str], *others: str | Column) -> DataFrame:
+    """keys as text, turn (by ``order``, then keys) and other columns of ``df``."""
+    named = [F.col(k).cast("string").alias(k) for k in keys]
+    return df.select(*named, F.struct(*order, *named).alias("turn"), *others)
+
+
 def fill(spark: SparkSession, df: DataFrame, log: str, keys: tuple[str, ...], ask: Ask, order: list[str], limit: int | None = None, tasks: int = TASKS, chunk: int = CHUNK) -> DataFrame:
     """``replies`` after asking about the keys of ``df`` that the log lacks, ``limit`` of them at most, in ``order``.
 
     ``df`` has a column messages; of rows of one key the first in order is asked about.
     """
+    rows = with_turn(df, keys, order, "messages")
+    turns = rows.groupBy(*keys).agg(F.min("turn").alias("turn"))
+    return fill_turns(spark, turns, rows.drop(*keys), log, keys, ask, whole, [], limit, tasks, chunk)
+
+
+def fill_turns(
+    spark: SparkSession, turns: DataFrame, rows: DataFrame, log: str, keys: tuple[str, ...], ask: Ask, read: Read, within: list[str | Column], limit: int | None = None, tasks: int = TASKS, chunk: int = CHUNK
+) -> DataFrame:
+    """``replies`` after asking about the ``turns`` (keys, turn and more) whose keys the log lacks, ``limit`` of them at most.
+
+    ``rows`` (turn and more) hold the texts: those of a turn pass behind it, in the order ``within``, through
+    ``read``. They move once, to the task of their turn, and are never whole in a row, a plan or an aggregate.
+    """
     ship(spark)
     root = _ready(spark, log)
-    columns = [*[F.col(k).cast("string").alias(k) for k in keys], "messages"]
-    first = df.select(*columns, F.struct(*order, *keys).alias("turn")).groupBy(*keys).agg(F.min_by("messages", "turn").alias("messages"), F.min("turn").alias("turn"))
     have = replies(spark, log, keys).select(*keys)
-    left = first.join(have, same(first, have, keys), "left_anti")
+    left = turns.join(have.hint("merge"), same(turns, have, keys), "left_anti")
     if limit is not None:
         left = left.orderBy("turn").limit(limit)
     plan = uuid.uuid4().hex
-    rows = ordered.numbered(left, ["turn"], "number", 0).drop("turn").withColumn("chunk", F.expr(f"number div {chunk}"))
-    rows = stored(rows, f"{root}/plans/{plan}")
-    if not rows.isEmpty():
-        spark.dataSource.register(_source(ReplyWriter(root, plan, keys, ask)))
-        mine = rows.withColumn("task", (F.col("chunk") % tasks).cast("int")).repartitionById(tasks, F.col("task")).sortWithinPartitions("number")
-        mine.select(*keys, "chunk", "messages").write.format("judge_log").mode("append").save()
+    told = ordered.numbered(left, ["turn"], "number", 0).withColumn("chunk", F.expr(f"number div {chunk}"))
+    told = stored(told, f"{root}/plans/{plan}")
+    if n := told.count():
+        each = chunk * -(-n // (chunk * tasks))  # turns of a task, in whole chunks
+        starts = told.agg(F.sort_array(F.collect_list(F.when(F.col("number") % each == 0, F.col("turn")))).alias("starts"), F.max("turn").alias("last"))  # a turn for each task
+        both = told.unionByName(rows, allowMissingColumns=True).crossJoin(F.broadcast(starts)).where("turn <= last")
+        task = F.greatest(F.size(F.filter("starts", lambda s: s <= F.col("turn"))) - 1, F.lit(0))
+        mine = both.withColumn("task", task).drop("starts", "last").repartitionById(tasks, F.col("task")).sortWithinPartitions("turn", F.col("number").isNull(), *within)
+        spark.dataSource.register(_source(ReplyWriter(root, plan, keys, ask, read)))
+        with _batches(spark):
+            mine.drop("task").write.format("judge_log").mode("append").save()
     return replies(spark, log, keys)
