@@ -48,6 +48,7 @@ _SLICE = 1 << 21  #: bytes of text whose words are found together
 _BLOCK = 3 << 18  #: tokens that are looked up together
 _GATHER = 1 << 22  #: tokens that are counted before they are shuffled
 _MANY = 255  #: counts from here on lie in a list of their own
+_OFTEN = 16  #: lookups in a sorted range from which it is searched alone
 _LARGE = 64  #: followers of a history beyond which its sums are stored
 SAMPLE = 64  #: triples for each bucket that are sampled to cut ranges by
 PARTITION = 1 << 24  #: tokens from which there are more ranges than the session's shuffle partitions ask for, each a third of it
@@ -94,31 +95,77 @@ def _changes(cols: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _parts(key: np.ndarray, bits: list[int]) -> Iterator[np.ndarray]:
+    """The columns of so many bits each that numbers are put together from."""
+    for i, n in enumerate(bits):
+        yield (key >> _U(sum(bits[i + 1 :]))) & _U((1 << n) - 1)
+
+
+def _distinct(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers of so many bits in order, a row of each, and for each row its place among them."""
+    n = len(key)
+    low = n.bit_length()
+    drop = max(bits + low - 64, 0)
+    both = key.astype(_U)
+    both >>= _U(drop)
+    both <<= _U(low)
+    both |= np.arange(n, dtype=_U)
+    both.sort()  # costs far less than a sort of places
+    order = (both & _U((1 << low) - 1)).view(np.int64)
+    key = key[order].view(_U) if drop else both >> _U(low)
+    del both  # blocks may be large
+    if drop and np.any(key[1:] < key[:-1]):  # numbers that differ in the lowest bits alone
+        again = np.argsort(key)
+        order, key = order[again], key[again]
+    first = _changes([key])
+    key, row = key[first], order[first]
+    at = np.empty(n, np.int64)
+    at[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+    return key, row, at
+
+
 def _summed(cols: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of columns in lexicographic order with the sums of their counts (rows of an array; none: one each)."""
+    """Distinct rows of columns in lexicographic order with the sums of their counts (rows of an array; none: one each); empties the list."""
     if not len(cols[0]):
         return cols, np.zeros(0, np.int64) if counts is None else counts
-    if len(cols) > 1 and cols[0].itemsize == 4:
-        order = np.lexsort((*cols[:1:-1], (cols[0].astype(_U) << _U(32)) | cols[1]))
-    else:
-        order = np.lexsort(cols[::-1])
-    for i, c in enumerate(cols):
-        cols[i] = c[order]
-    first = _changes(cols)
-    sums = np.diff(np.append(first, len(order))) if counts is None else np.add.reduceat(counts[order], first, axis=0)
-    return [c[first] for c in cols], sums
+    rows, kinds, lows = len(cols[0]), [c.dtype for c in cols], [c.min() for c in cols]
+    bits = [int(c.max() - low).bit_length() for c, low in zip(cols, lows)]
+    if sum(bits) > 64:
+        order = np.lexsort((*cols[:1:-1], (cols[0].astype(_U) << _U(32)) | cols[1]) if cols[0].itemsize == 4 else cols[::-1])
+        for i, c in enumerate(cols):
+            cols[i] = c[order]
+        first = _changes(cols)
+        distinct = [c[first] for c in cols]
+    else:  # a row is one number, whose sort costs far less
+        key = (cols[0] - lows[0]).astype(_U)
+        for c, low, n in zip(cols[1:], lows[1:], bits[1:]):
+            key <<= _U(n)
+            key |= (c - low).astype(_U)
+        cols.clear()
+        if counts is None:
+            key.sort()
+        else:
+            order = np.argsort(key)
+            key = key[order]
+        first = _changes([key])
+        distinct = [x.astype(kind) + low for x, kind, low in zip(_parts(key[first], bits), kinds, lows)]
+    return distinct, np.diff(np.append(first, rows)) if counts is None else np.add.reduceat(counts[order], first, axis=0)
+
+
+def _span(cols: list[np.ndarray], edge: Edge) -> tuple[int, int]:
+    """Bounds of the sorted rows of columns that equal the edge."""
+    lo, hi = 0, len(cols[0])
+    for c, x in zip(cols, edge):
+        x = c.dtype.type(x)
+        lo, hi = lo + int(np.searchsorted(c[lo:hi], x)), lo + int(np.searchsorted(c[lo:hi], x, "right"))
+    return lo, hi
 
 
 def _cut(cols: list[np.ndarray], edges: tuple[Edge, ...]) -> list[int]:
     """Bounds of the ranges that the edges cut sorted rows of columns into."""
     out = [0]
     for edge in edges:
-        lo, hi = 0, len(cols[0])
-        for c, x in zip(cols, edge):
-            x = c.dtype.type(x)
-            lo, hi = lo + int(np.searchsorted(c[lo:hi], x)), lo + int(np.searchsorted(c[lo:hi], x, "right"))
-            last = lo
-        out.append(last)
+        out.append(_span(cols, edge)[0])
     return [*out, len(cols[0])]
 
 
@@ -165,25 +212,26 @@ def _counts(data: bytes, wide: int) -> np.ndarray:
     return _unpack(data, "<u4").reshape(wide, -1).T.astype(np.int64)
 
 
-def _gathered(blocks: Iterator[list[np.ndarray]], cut: Callable[[list[np.ndarray]], list[int]]) -> Iterator[pa.RecordBatch]:
-    """Counted rows of columns as a row for each bucket; ``cut`` gives the buckets' bounds among sorted rows."""
-    waiting, n = [], 0
+def _gathered(blocks: Iterator[tuple], count: Callable[[np.ndarray, np.ndarray], tuple], cut: Callable[[list[np.ndarray]], list[int]]) -> Iterator[pa.RecordBatch]:
+    """What ``count`` makes of the tokens of many texts, as a row for each bucket; ``cut`` gives the buckets' bounds among sorted rows."""
+    hs, starts, n = [], [], 0
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.list_(pa.binary())), ("counts", pa.binary())])
 
     def out() -> pa.RecordBatch:
-        cols = [np.concatenate(x) for x in zip(*waiting)]
-        waiting.clear()  # before the sort, which needs as much again
-        cols, c = _summed(cols)
+        h, s = np.concatenate(hs), np.concatenate(starts)
+        hs.clear()  # before the sort, which needs as much again
+        cols, c = count(h, s)
         bounds = cut(cols)
         rows = [_told(b, 0, [x[i:j] for x in cols], c[i:j]) for b, (i, j) in enumerate(zip(bounds, bounds[1:])) if i < j]
         return pa.RecordBatch.from_pylist(rows, schema)
 
-    for cols in blocks:
-        waiting.append(cols)
-        n += len(cols[0])
+    for h, s, _ in blocks:
+        hs.append(h)
+        starts.append(s + n)
+        n += len(h)
         if n >= _GATHER:
             yield out()
-            waiting, n = [], 0
+            starts, n = [], 0
     if n:
         yield out()
 
@@ -233,21 +281,29 @@ def _of_ranks(model: Model, ranks: np.ndarray, kinds: dict[str, str]) -> list[np
     return outs
 
 
-def _bisect(have: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each x in its own sorted range of ``have``, and whether it is there."""
-    place = lo.astype(np.int64)
-    at = np.flatnonzero(hi > lo)
-    first, left, want = place[at], (hi - lo)[at].astype(np.int64), x[at]
-    while len(at):  # most ranges are short, so few rows stay
-        half = left >> 1
-        less = have[first + half] < want
-        first, left = np.where(less, first + half + 1, first), np.where(less, left - half - 1, half)
-        more = left > 0
-        place[at[~more]] = first[~more]
-        at, first, left, want = at[more], first[more], left[more], want[more]
+def _within(have: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each x in the sorted range of ``have`` of its group, and whether it is there.
+
+    A group's x, sorted, begin at ``first``, which also has their number; ``lo`` and ``hi`` bound its range.
+    """
+    rows = np.diff(first)
+    place, end = np.repeat(lo, rows), np.repeat(hi, rows)
     if not len(have):
         return place, np.zeros(len(place), bool)
-    return place, (place < hi) & (have[np.minimum(place, len(have) - 1)] == x)
+    often = (rows >= _OFTEN) & (hi > lo)
+    for i, j, a, b in zip(*(c[often].tolist() for c in (first[:-1], first[1:], lo, hi))):
+        place[i:j] += have[a:b].searchsorted(x[i:j])
+    at = np.flatnonzero((end > place) & np.repeat(~often, rows))
+    base, left, want = place[at], (end - place)[at], x[at]
+    while len(at):  # most ranges are short, so few rows stay
+        half = (left + 1) >> 1
+        base += np.where(have[base + (half - 1)] < want, half, 0)
+        left -= half
+        more = left > 0
+        if np.count_nonzero(more) * 2 < len(at):
+            place[at] = base
+            at, base, left, want = at[more], base[more], left[more], want[more]
+    return place, (place < end) & (have[np.minimum(place, len(have) - 1)] == x)
 
 
 def _write_starts(name: str, starts: np.ndarray) -> None:
@@ -284,20 +340,14 @@ def _store(place: str, cols: list[np.ndarray], c: np.ndarray) -> np.ndarray:
 
 
 def _places(model: Model, place: str, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of rows in the level of their last column, and whether they are there."""
-    there = np.ones(len(cols[0]), bool)
-    for level, x in enumerate(cols):
-        have = map_array(f"{place}.{level}", model.kind)
-        if level:
-            lo, found = _bisect(have, lo, hi, x)
-        else:  # the first column is sorted through
-            lo = np.searchsorted(have, x)
-            found = have[np.minimum(lo, len(have) - 1)] == x if len(have) else np.zeros(len(x), bool)
-        there &= found
-        if level < len(cols) - 1:
-            at = np.where(there, lo, 0)
-            lo, hi = (np.where(there, _starts(f"{place}.{level}", at + i), 0) for i in (0, 1))
-    return lo, there
+    """Places of distinct rows of two columns, in order, in the second level, and whether they are there."""
+    first = _changes(cols[:1])
+    x, have = cols[0][first], map_array(f"{place}.0", model.kind)
+    lo = np.searchsorted(have, x)
+    found = have[np.minimum(lo, len(have) - 1)] == x if len(have) else np.zeros(len(x), bool)
+    at = np.where(found, lo, 0)
+    lo, hi = (np.where(found, _starts(f"{place}.0", at + i), 0) for i in (0, 1))
+    return _within(map_array(f"{place}.1", model.kind), lo, hi, cols[1], np.append(first, len(cols[1])))
 
 
 def _counts_at(place: str, i: np.ndarray) -> np.ndarray:
@@ -310,15 +360,14 @@ def _counts_at(place: str, i: np.ndarray) -> np.ndarray:
     return c
 
 
-def _run_counts(model: Model, cols: list[np.ndarray]) -> np.ndarray:
-    """Numbers of distinct pairs or triples in order; 0 of unknown ones."""
-    order = len(cols) - 2  # 0: pairs, 1: triples
+def _pair_counts(model: Model, cols: list[np.ndarray]) -> np.ndarray:
+    """Numbers of distinct pairs in order; 0 of unknown ones."""
     out = np.zeros(len(cols[0]), np.int64)
-    bounds = _cut(cols, model.edges[1 - order])
-    for b in sorted(model.filled[1 - order]):
+    bounds = _cut(cols, model.edges[1])
+    for b in sorted(model.filled[1]):
         if bounds[b] < bounds[b + 1]:
             part = slice(bounds[b], bounds[b + 1])
-            place = f"{model.path}/{('pairs', 'triples')[order]}/{b:06d}"
+            place = f"{model.path}/pairs/{b:06d}"
             i, there = _places(model, place, [c[part] for c in cols])
             out[part] = np.where(there, _counts_at(place, np.where(there, i, 0)), 0)
     return out
@@ -326,43 +375,44 @@ def _run_counts(model: Model, cols: list[np.ndarray]) -> np.ndarray:
 
 def _sums(c: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Of each run of counts the sum, and how many are one, two and more."""
-    return np.add.reduceat(np.stack([c, c == 1, c == 2, c > 2], axis=1).astype(np.int64), first, axis=0)
+    return np.stack([np.add.reduceat(x, first, dtype=np.int64) for x in (c, c == 1, c == 2, c > 2)])
 
 
-def _histories(model: Model, cols: list[np.ndarray]) -> np.ndarray:
-    """``_sums`` of the followers of distinct pairs in order, as histories of triples; 0 of unknown ones."""
-    out = np.zeros((len(cols[0]), 4), np.int64)
-    bounds = _cut([*cols, np.zeros(len(cols[0]), cols[0].dtype)], model.edges[0])
-    for b in sorted(model.filled[0]):
-        if bounds[b] < bounds[b + 1]:
-            place = f"{model.path}/triples/{b:06d}"
-            at, there = _places(model, place, [c[bounds[b] : bounds[b + 1]] for c in cols])
-            rows, at = bounds[b] + np.flatnonzero(there), at[there]
-            if not len(at):
-                continue
-            lo = _starts(f"{place}.1", at)
-            n = _starts(f"{place}.1", at + 1) - lo
-            large = n > _LARGE
-            if large.any():
-                stored = map_array(f"{place}.large", "<u8").reshape(5, -1)
-                out[rows[large]] = stored[1:, np.searchsorted(stored[0], at[large].astype(_U))].T
-            lo, n, rows = lo[~large], n[~large], rows[~large]
-            if len(n):
-                first = np.cumsum(n) - n
-                out[rows] = _sums(_counts_at(place, np.arange(n.sum()) + np.repeat(lo - first, n)), first)
-    if model.split:
-        keys = {k: i for i, k in enumerate(zip(*(c.tolist() for c in cols)))} if len(cols[0]) < len(model.split) else None
-        for k, sums in model.split.items():
-            i = keys.get(k) if keys is not None else _find(cols, k)
-            if i is not None:
-                out[i] = sums
-    return out
-
+def _followed(model: Model, pairs: list[np.ndarray], words_: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_sums`` of the followers of distinct pairs in order, and the counts of some words behind them; 0 of unknown ones.
 
-def _find(cols: list[np.ndarray], key: Edge) -> int | None:
-    """The place of a row among sorted rows."""
-    i = _cut(cols, (key,))[1]
-    return i if i < len(cols[0]) and all(int(c[i]) == x for c, x in zip(cols, key)) else None
+    The words behind a pair, sorted, begin at ``first``, which also has their number.
+    """
+    sums, out = np.zeros((4, len(pairs[0])), np.int64), np.zeros(len(words_), np.int64)
+    spans = [_span(pairs, e[:2]) for e in model.edges[0]]  # pairs that lie in two buckets are looked up in both
+    cuts = [int(first[i]) + _span([words_[first[i] : first[j]]], e[2:])[0] for (i, j), e in zip(spans, model.edges[0])]
+    froms, tos = [0, *(i for i, _ in spans)], [*(j for _, j in spans), len(pairs[0])]
+    bounds = [0, *cuts, len(words_)]
+    for b in sorted(model.filled[0]):
+        i, j = froms[b], tos[b]
+        if i == j:
+            continue
+        place = f"{model.path}/triples/{b:06d}"
+        at, there = _places(model, place, [c[i:j] for c in pairs])
+        at = np.where(there, at, 0)
+        lo, hi = (np.where(there, _starts(f"{place}.1", at + k), 0) for k in (0, 1))
+        large = np.flatnonzero(hi - lo > _LARGE)
+        if len(large):
+            stored = map_array(f"{place}.large", "<u8").reshape(5, -1)
+            sums[:, i + large] = stored[1:, np.searchsorted(stored[0], at[large].astype(_U))]
+        small = np.flatnonzero(there & (hi - lo <= _LARGE))
+        if len(small):
+            n = (hi - lo)[small]
+            begin = np.cumsum(n) - n
+            sums[:, i + small] = _sums(_counts_at(place, np.arange(n.sum()) + np.repeat(lo[small] - begin, n)), begin)
+        part = slice(bounds[b], bounds[b + 1])
+        of = np.clip(first[i : j + 1], part.start, part.stop) - part.start
+        found, there = _within(map_array(f"{place}.2", model.kind), lo, hi, words_[part], of)
+        out[part] = np.where(there, _counts_at(place, np.where(there, found, 0)), 0)
+    for k, s in model.split.items():
+        i, j = _span(pairs, k)
+        sums[:, i:j] = np.array(s)[:, None]
+    return sums, out
 
 
 def _discounted(c: np.ndarray, d: Discounts) -> np.ndarray:
@@ -389,7 +439,7 @@ def train(df: DataFrame, text_col: str = "text", path: str | None = None, wide:
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upper = np.arange(1, n_words, dtype=_U) << _U(shift)
-        return _gathered(([h] for h, _, _ in _blocks(batches)), lambda k: [0, *np.searchsorted(k[0], upper).tolist(), len(k[0])])
+        return _gathered(_blocks(batches), lambda h, _: _summed([h]), lambda k: [0, *np.searchsorted(k[0], upper).tolist(), len(k[0])])
 
     schema_a = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("tokens", pa.int64()), ("ends", pa.int64())])
 
@@ -413,7 +463,7 @@ def train(df: DataFrame, text_col: str = "text", path: str | None = None, wide:
     model = model._replace(edges=_edges(texts, model, wanted))
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _gathered((_triples(model, h, starts) for h, starts, _ in _blocks(batches)), lambda cols: _cut(cols, model.edges[0]))
+        return _gathered(_blocks(batches), lambda h, starts: _counted_triples(model, h, starts), lambda cols: _cut(cols, model.edges[0]))
 
     told = "bucket int, kind int, keys array<binary>, counts binary, seen array<long>"
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.list_(pa.binary())), ("counts", pa.binary()), ("seen", pa.list_(pa.int64()))])
@@ -427,8 +477,8 @@ def train(df: DataFrame, text_col: str = "text", path: str | None = None, wide:
             first = _store(place, cols, c)
             sums = _sums(c, first)
             large = np.flatnonzero(np.diff(np.append(first, len(c))) > _LARGE)
-            write_file(f"{place}.large", [np.concatenate([large[None], sums[large].T]).astype("<u8")])
-            ends = [int(x) for i in sorted({0, len(first) - 1}) for x in (cols[0][first[i]], cols[1][first[i]], *sums[i])]
+            write_file(f"{place}.large", [np.concatenate([large[None], sums[:, large]]).astype("<u8")])
+            ends = [int(x) for i in sorted({0, len(first) - 1}) for x in (cols[0][first[i]], cols[1][first[i]], *sums[:, i])]
             pairs, n = _summed(cols[1:])
             bounds = _cut(pairs, model.edges[1])
             yield _rows([numbers(3, b, c, ends)] + [_told(to, 1, [x[i:j] for x in pairs], n[i:j]) for to, (i, j) in enumerate(zip(bounds, bounds[1:])) if i < j], schema)
@@ -444,7 +494,7 @@ def train(df: DataFrame, text_col: str = "text", path: str | None = None, wide:
             first = _store(f"{path}/pairs/{b:06d}", cols, n)
             histories = _summed(cols[1:])
             made = [numbers(2, b, n, [])]
-            for kind, ((words_,), counts) in enumerate((([cols[0][first]], _sums(n, first)), histories)):
+            for kind, ((words_,), counts) in enumerate((([cols[0][first]], _sums(n, first).T), histories)):
                 bounds = np.searchsorted(words_, np.array([*bases, model.words + 1]).astype(words_.dtype))
                 made += [_told(to, 2 + kind, [words_[i:j]], counts[i:j]) for to, (i, j) in enumerate(zip(bounds, bounds[1:])) if i < j]
             yield _rows(made, schema)
@@ -504,11 +554,10 @@ def _edges(texts: DataFrame, model: Model, wanted: int) -> tuple[tuple[Edge, ...
     return cuts(rows, 3 * wanted), cuts(sorted(r[1:] for r in rows), 2 * wanted)
 
 
-def _numbered(model: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes' ranks (-1: unknown), the distinct hash of each token, and the rank of each."""
-    distinct, at = np.unique(h, return_inverse=True)
-    known = _ranks(model, distinct)
-    return known, at, known[at]
+def _numbered(model: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes' ranks (-1: unknown), and the distinct hash of each token; both in the order of hashes."""
+    distinct, _, at = _distinct(h, 64)
+    return _ranks(model, distinct), at
 
 
 def _before(x: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
@@ -521,60 +570,81 @@ def _before(x: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
 
 def _triples(model: Model, h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """Each token behind the two before it, as numbers of words."""
-    w = _numbered(model, h)[2]
+    known, at = _numbered(model, h)
+    w = known[at]
     v = _before(w, starts, model.words)
     return [x.astype(model.kind) for x in (_before(v, starts, model.words), v, w)]
 
 
-# -- scoring -------------------------------------------------------------------------------------
+def _counted_triples(model: Model, h: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct triples of the model's words in order and their counts."""
+    known, w = _numbered(model, h)
+    start, bits = len(known), len(known).bit_length()
+    if 3 * bits > 64:
+        return _summed(_triples(model, h, starts))
+    v = _before(w, starts, start)
+    key = _before(v, starts, start).view(_U)  # numbered within the block, a triple is one number
+    for x in (v, w):
+        key <<= _U(bits)
+        key |= x.view(_U)
+    del v, w, x
+    key.sort()
+    first, ranks = _changes([key]), np.append(known, model.words).astype(model.kind)
+    key, c = key[first], np.diff(first, append=len(key))
+    del first
+    return [ranks[x.view(np.int64)] for x in _parts(key, [bits] * 3)], c
 
 
-def _distinct(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of columns in order, and for each row its place among them."""
-    order = np.lexsort(cols[::-1]) if cols[0].itemsize > 4 or len(cols) < 2 else np.lexsort((*cols[:1:-1], (cols[0].astype(_U) << _U(32)) | cols[1]))
-    ordered = [c[order] for c in cols]
-    first = _changes(ordered)
-    at = np.empty(len(order), np.int64)
-    at[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-    return [c[first] for c in ordered], at
+# -- scoring -------------------------------------------------------------------------------------
 
 
 def _score(model: Model, h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """n_tokens, n_known, base_score and score of each text of a block."""
     n_tokens = np.diff(np.append(starts, len(h)))
     vocabulary = model.words + 1
-    known, at, w = _numbered(model, h)
+    known, at = _numbered(model, h)
     have = np.flatnonzero(known >= 0)
-    c, histories, total, back = (np.zeros(len(known), t) for t in (np.int64, np.int64, np.int64, float))
+    c, histories = (np.zeros(len(known), np.int64) for _ in range(2))
     kinds = {"histories": "<u8", "total": "<u8", "back": "<f8"}
-    if len(have):
-        c[have], histories[have], total[have], back[have] = _of_ranks(model, known[have], {"count": "<u8", **kinds})
-    p = (_discounted(histories, model.discounts[0]) / max(model.pairs, 1) + model.low_back_off / vocabulary)[at]
+    # the block's known words are numbered in their order, with the start of a text behind them
+    start, ranks = len(have), np.append(known[have], model.words)
+    total, back = np.zeros(start + 1, np.int64), np.zeros(start + 1)
+    if model.tokens:
+        _, total[start:], back[start:] = _of_ranks(model, ranks[start:], kinds)
+    if start:
+        c[have], histories[have], total[:start], back[:start] = _of_ranks(model, known[have], {"count": "<u8", **kinds})
+    word = _discounted(histories, model.discounts[0]) / max(model.pairs, 1) + model.low_back_off / vocabulary
+    p = word[at]
     if model.tokens:
-        v = _before(w, starts, model.words)
-        u = _before(v, starts, model.words)
-        _, start_total, start_back = (x[0] for x in _of_ranks(model, np.array([model.words]), kinds))
-        p = _interpolated(p, [v, w], _before(total[at], starts, start_total), _before(back[at], starts, start_back), model, model.discounts[1])
-        both = np.flatnonzero((u >= 0) & (v >= 0))
-        pairs, pair = _distinct([x[both].astype(model.kind) for x in (u, v)])
-        sums = _histories(model, pairs)
-        kept = (sums[:, 1:] @ np.array(model.discounts[2])) / np.maximum(sums[:, 0], 1)
-        of, weight = np.zeros(len(h), np.int64), np.ones(len(h))
-        of[both], weight[both] = sums[pair, 0], kept[pair]
-        p = _interpolated(p, [u, v, w], of, weight, model, model.discounts[2])
+        number, ranks, bits = np.full(len(known), -1), ranks.astype(model.kind), start.bit_length()
+        number[have] = np.arange(start)
+        w = number[at]
+        v = _before(w, starts, start)
+        both, odd = np.flatnonzero((v >= 0) & (w >= 0)), np.flatnonzero((v >= 0) & (w < 0))
+        p[odd] = _interpolated(p[odd], 0, total[v[odd]], back[v[odd]], model.discounts[1])
+        pairs, _, place = _distinct(v[both] << bits | w[both], 2 * bits)
+        first, last = (x.astype(np.int64) for x in _parts(pairs, [bits, bits]))
+        # a text's first token stands behind two starts, the pair after all others
+        cols = [np.append(ranks[x], ranks[start]) for x in (first, last)]
+        p[both] = _interpolated(word[have][last], _pair_counts(model, cols)[:-1], total[first], back[first], model.discounts[1])[place]
+        pair = np.full(len(h), -1)
+        pair[both] = place
+        pair, bits2 = _before(pair, starts, len(pairs)), len(pairs).bit_length()
+        three, odd = np.flatnonzero((pair >= 0) & (w >= 0)), np.flatnonzero((pair >= 0) & (w < 0))
+        triples, row, place = _distinct(pair[three] << bits | w[three], bits2 + bits)
+        of, last = (x.astype(np.int64) for x in _parts(triples, [bits2, bits]))
+        (total, *few), counts = _followed(model, cols, ranks[last], np.searchsorted(of, np.arange(len(pairs) + 2)))
+        back = sum(d * n for d, n in zip(model.discounts[2], few)) / np.maximum(total, 1)
+        p[odd] = _interpolated(p[odd], 0, total[pair[odd]], back[pair[odd]], model.discounts[2])
+        p[three] = _interpolated(p[three[row]], counts, total[of], back[of], model.discounts[2])[place]
     base_of = lambda c: np.log10((c + ADD) / (model.tokens + ADD * vocabulary))
     sums_of = lambda x: np.add.reduceat(x, starts)
     return [n_tokens, sums_of((c > 0)[at].astype(np.int64)), sums_of(base_of(c)[at]), sums_of(np.log10(p))]
 
 
-def _interpolated(low: np.ndarray, cols: list[np.ndarray], total: np.ndarray, back: np.ndarray, model: Model, d: Discounts) -> np.ndarray:
-    """Probabilities of tokens behind histories of ``total`` followers, which leave ``back`` to the lower order ``low``."""
-    p = np.where(total > 0, back * low, low)
-    seen = np.flatnonzero((total > 0) & (cols[-1] >= 0))
-    if len(seen):
-        runs, at = _distinct([x[seen].astype(model.kind) for x in cols])
-        p[seen] += _discounted(_run_counts(model, runs), d)[at] / total[seen]
-    return p
+def _interpolated(low: np.ndarray, counts: np.ndarray | int, total: np.ndarray, back: np.ndarray, d: Discounts) -> np.ndarray:
+    """Probabilities of words counted so often behind histories of ``total`` followers, which leave ``back`` to the lower order ``low``."""
+    return np.where(total > 0, back * low + _discounted(counts, d) / np.maximum(total, 1), low)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

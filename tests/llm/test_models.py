@@ -154,6 +154,60 @@ def test_lm(spark, docs, awkward, wide):
     assert len(model.edges[0]) > 4 and model.split
 
 
+def test_lm_sorts_numbers_alone(docs, monkeypatch):
+    """A block's words, pairs and triples are sorted as single numbers, which costs a tenth of a sort by columns."""
+    model = lm.train(docs)
+    (h, starts, _), *_ = lm._blocks(docs.select("text").toArrow().to_batches())
+    want = {r["doc_id"]: r["score"] for r in lm.score(docs, model).collect()}
+
+    def refused(*_):
+        raise AssertionError("sorted by columns")
+
+    monkeypatch.setattr(np, "lexsort", refused)
+    monkeypatch.setattr(np, "argsort", refused)
+    ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+    for i, x in zip(ids, lm._score(model, h, starts)[3]):
+        assert math.isclose(x, want[i], rel_tol=1e-9)
+    twice = np.append(h, h)
+    cols, c = lm._counted_triples(model, twice, np.append(starts, starts + len(h)))
+    assert c.sum() == len(twice) and (c % 2 == 0).all() and len(cols) == 3
+
+
+@pytest.mark.parametrize("most", [9, 1 << 31])
+@pytest.mark.parametrize("kind", ["<u4", "<u8"])
+def test_lm_sums_rows(most, kind):
+    """Columns that fit one number of 64 bits and columns that don't."""
+    r = np.random.default_rng(3)
+    cols = [r.choice(r.integers(5, most, 6), 500).astype(kind) for _ in range(3)]
+    n = r.integers(1, 9, 500)
+    want, of = np.unique(np.stack(cols), axis=1, return_inverse=True)
+    for counts, sums in ((None, np.bincount(of)), (n, np.bincount(of, n))):
+        out, got = lm._summed(list(cols), counts)
+        assert all(np.array_equal(a, b) and a.dtype == kind for a, b in zip(out, want, strict=True)) and np.array_equal(got, sums)
+
+
+@pytest.mark.parametrize("low", [0, 60])
+def test_lm_distinct_numbers(low):
+    """Numbers that differ in their lowest bits alone, and in their highest alone."""
+    r = np.random.default_rng(4)
+    key = (np.uint64(1) << np.uint64(62)) + (r.integers(0, 4, 999).astype(np.uint64) << np.uint64(low))
+    want, at = np.unique(key, return_inverse=True)
+    got, row, place = lm._distinct(key, 64)
+    assert np.array_equal(got, want) and np.array_equal(key[row], want) and np.array_equal(place, at)
+    assert [len(x) for x in lm._distinct(key[:0], 64)] == [0, 0, 0]
+
+
+def test_lm_places_within_ranges():
+    r = np.random.default_rng(5)
+    sizes, rows = r.choice([0, 1, 2, 3, 7, 64, 900], 300), r.choice([0, 1, 2, 40], 300)
+    ranges = [np.sort(r.choice(2000, k, replace=False)).astype(np.uint32) for k in sizes]
+    wanted = [np.sort(r.choice(2002, k, replace=False)).astype(np.uint32) for k in rows]
+    hi = np.cumsum(sizes)
+    place, there = lm._within(np.concatenate(ranges), hi - sizes, hi, np.concatenate(wanted), np.append(0, np.cumsum(rows)))
+    want = [(lo + np.searchsorted(a, x), x in a) for lo, a, xs in zip(hi - sizes, ranges, wanted) for x in xs]
+    assert list(zip(place.tolist(), there.tolist())) == want
+
+
 @pytest.mark.parametrize("most", [3, 3000])
 def test_lm_starts(tmp_path, most):
     starts = np.cumsum(np.random.default_rng(1).integers(1, most, 1000))
